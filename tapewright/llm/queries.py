@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from tapewright.llm.byte_bpe import op10_byte_bpe
+from tapewright.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from tapewright.llm.language_id import op9_language_id
 from tapewright.llm.packing import op6_packing
 from tapewright.llm.token_counts import op1_token_counts
+from tapewright.llm.toxicity import op7_toxicity
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op6_packing": op6_packing, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_byte_bpe": op10_byte_bpe,
+}
+ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
