@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
         if not n:
             continue
         text = batch.column(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if i > start and held + size > most:
@@ -65,4 +66,4 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return pa.compute.fill_null(batch.column(column), "").to_pylist()
+    return pc.fill_null(batch.column(column), "").to_pylist()

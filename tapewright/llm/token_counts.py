@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tapewright.llm.common import by_bytes, shipped, table, texts_of
@@ -57,7 +58,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         counter = _counter(name, vocab.value)
         for batch in by_bytes(batches, "text"):
             n = counter(texts_of(batch))
-            size = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), size, pa.array(n, pa.int64()), pa.array([x > over for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
