@@ -1,0 +1 @@
+"""Nothing here: the jobs are batch jobs, without watermarks or stream state."""
