@@ -16,30 +16,35 @@ from tapewright.llm.minhash_dedup import minhash_dedup
 from tapewright.llm.packing import pack
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id isn't among those of `gone`."""
-    return docs.join(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(docs.columns)
+#: Up to so many ids to leave out are broadcast; beyond, they and the documents meet in a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Rows of docs whose doc_id isn't among those of `gone`; all rows that repeat a doc_id share its fate, rows without one stay."""
+    ids = written(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), name)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more by a machine trained on the labelled ones go."""
-    scored = toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return without(docs, scored.where("predicted = 1"))
+    return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or unlike any of the languages learned, go."""
-    return without(docs, language_id.language_id(docs, language_id.train(docs)).where("rejected"))
+    return language_id.with_known_language(docs, language_id.train(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts (but for white space) one stays."""
-    return without(docs, exact_dedup(docs).where("NOT kept"))
+    return without(docs, exact_dedup(docs).where("NOT kept"), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a similarity of 0.8 or more of five-word shingles, the one with the smallest doc_id stays."""
-    return without(docs, minhash_dedup(docs, least=80).where("NOT kept"))
+    return without(docs, minhash_dedup(docs, least=80).where("NOT kept"), "near-copies")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,6 +251,27 @@ def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col:
 _scorers: dict[int, tuple[list[str], Scorer]] = {}
 
 
+def _scorer(key: int, sent) -> tuple[list[str], Scorer]:
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = [x for x, _ in sent.value], Scorer([Model.loads(m) for _, m in sent.value])
+    return _scorers[key]
+
+
+def with_known_language(docs: DataFrame, models: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:
+    """The rows that aren't rejected, with all their columns; no text is shuffled. Without a model all rows with a letter stay."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(models), hash(tuple(m for _, m in models))
+
+    def run(batches):
+        _, scorer = _scorer(key, sent)
+        for batch in by_bytes(batches, text_col):
+            sums = scorer.of(texts_of(batch, text_col))
+            rejected = decide(scorer.models, sums)[3] if scorer.models else sums[:, -1] == 0
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, models: list[tuple[str, bytes]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, cross_entropy, rejected) of every row.
 
@@ -262,10 +283,7 @@ def language_id(docs: DataFrame, models: list[tuple[str, bytes]], id_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def predict(batches):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = [x for x, _ in sent.value], Scorer([Model.loads(m) for _, m in sent.value])
-        names, scorer = _scorers[key]
+        names, scorer = _scorer(key, sent)
         for batch in by_bytes(batches, "text"):
             n = batch.num_rows
             if names:

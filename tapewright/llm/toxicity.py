@@ -295,6 +295,20 @@ def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
+def without_toxic(docs: DataFrame, model: bytes, text_col: str = "text", reject: float = 0.5) -> DataFrame:
+    """The rows scored below `reject`, with all their columns; rows are scored where they lie, so no text is shuffled."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), hash(model)
+
+    def run(batches):
+        if key not in _machines:
+            _machines.clear()
+            _machines[key] = Machine.loads(sent.value)
+        for batch in by_bytes(batches, text_col):
+            yield batch.filter(pa.array(_machines[key].score(texts_of(batch, text_col)) < reject))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
