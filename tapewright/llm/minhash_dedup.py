@@ -20,7 +20,6 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -166,26 +165,68 @@ def _with_sets(batches):
 
 
 def _near_pairs(least: int, most: int):
-    """Of one block of a shared key: pairs of different components at most `most` apart whose sizes allow a link."""
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[~frame["right"]], frame[frame["right"]]
-        out = []
-        if len(left) and len(right):
-            matrix = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(-1, HASHES)
-            node, comp, size = left["node"].to_numpy(), left["component"].to_numpy(), left["n_shingles"].to_numpy()
-            for x, c, n, sig, minor in zip(right["node"], right["component"], right["n_shingles"], right["sig"], right["minor"], strict=True):
-                ok = (comp != c) & (100 * np.minimum(size, n) >= least * np.maximum(size, n))
-                at = np.flatnonzero(ok)
-                if len(at):
-                    apart = (matrix[at] != np.frombuffer(sig, np.uint16)).sum(axis=1)
-                    near = at[apart <= most]
-                    out.append(pd.DataFrame({"a": x, "b": node[near], "apart": apart[apart <= most]}))
-        if not out:
-            return pd.DataFrame({"a": [], "b": [], "apart": []}).astype("int64")
-        return pd.concat(out).astype("int64")
-
-    return pairs
+    """From rows sorted by (key, lb, rb, right): the pairs of a left and a right row of one block that are of different components, at most `most` apart, and whose sizes allow a link."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        node, comp, size = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+        minor, right = t.column("minor").to_numpy(), t.column("right").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        starts = np.flatnonzero(_begins(t))
+        a, b, apart = [], [], []
+        held_left, held_right, held = [], [], 0
+
+        def measure() -> None:
+            if not held_left:
+                return
+            x, y = np.concatenate(held_left), np.concatenate(held_right)
+            for i in range(0, len(x), 8192):
+                p, q = x[i : i + 8192], y[i : i + 8192]
+                d = (sig[p] != sig[q]).sum(axis=1)
+                near = d <= most
+                a.append(node[p[near]]), b.append(node[q[near]]), apart.append(d[near])
+            held_left.clear(), held_right.clear()
+
+        for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
+            cut = start + int(np.searchsorted(right[start:end], True))
+            if start == cut or cut == end:
+                continue
+            left, other = slice(start, cut), slice(cut, end)
+            ok = comp[left, None] != comp[None, other]
+            ok &= 100 * np.minimum(size[left, None], size[None, other]) >= least * np.maximum(size[left, None], size[None, other])
+            ok &= ~minor[left, None] | (node[left, None] < node[None, other])  # two minor rows meet both ways
+            x, y = np.nonzero(ok)
+            held_left.append(x + start), held_right.append(y + cut)
+            held += len(x)
+            if held > 1 << 20:
+                measure()
+                held = 0
+        measure()
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v or [none]).astype(np.int64)) for v in (a, b, apart)], ["a", "b", "apart"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = np.flatnonzero(_begins(t))[-1:]  # the last block may go on in the next batch
+            cut = int(last[0]) if len(last) else 0
+            if cut:
+                yield pairs(t.slice(0, cut).combine_chunks())
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs(held.combine_chunks())
+
+    return run
+
+
+def _begins(t: pa.Table) -> np.ndarray:
+    """Where a block (key, lb, rb) begins."""
+    out = np.zeros(t.num_rows, bool)
+    out[:1] = True
+    for c in ("key", "lb", "rb"):
+        v = t.column(c).to_numpy()
+        out[1:] |= v[1:] != v[:-1]
+    return out
 
 
 def linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -232,7 +273,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows_of.withColumn("lb", own("lefts")).withColumn("rb", steps("rights")).withColumn("right", F.lit(False))
     right = rows_of.where("minor").withColumn("rb", own("rights")).withColumn("lb", steps("lefts")).withColumn("right", F.lit(True))
-    near = left.unionByName(right).groupBy("key", "lb", "rb").applyInPandas(_near_pairs(least, most_apart(least)), "a long, b long, apart long")
+    blocks = left.unionByName(right).select("key", "lb", "rb", "right", "node", "component", "n_shingles", "minor", "sig")
+    near = blocks.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "right").mapInArrow(_near_pairs(least, most_apart(least)), "a long, b long, apart long")
     todo = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct(), "near-pairs")
 
     take = 1
