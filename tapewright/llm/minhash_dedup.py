@@ -35,7 +35,7 @@ BLOCK = 1024
 #: Up to so many nodes to look at, their ids are broadcast to the second reading of the texts; beyond, ids and texts meet in a shuffle.
 BROADCAST_IDS = 2_000_000
 _MULTIPLY = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(HASHES + WORDS + 2)], np.uint64)
-_ADD = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(HASHES)], np.uint64)
+_ODD = (_MULTIPLY[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _words: dict[bytes, int] = {}
 
 
@@ -90,25 +90,19 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """BITS bits of HASHES minima for each set that isn't empty."""
+    """BITS bits of HASHES minima for each set that isn't empty. A shingle's k-th hash is (its low half * an odd number) xor its high half."""
     out = np.zeros((len(sets), HASHES), np.uint16)
-    row = 0
-    while row < len(sets):
-        end, held = row, 0
-        while end < len(sets) and (end == row or held + len(sets[end]) <= 2048):
-            held += len(sets[end])
-            end += 1
-        starts = np.cumsum([0, *(len(s) for s in sets[row : end - 1])])
-        x = np.concatenate(sets[row:end])
-        low = None
-        for a in range(0, len(x), 2048) if end == row + 1 else (0,):
-            part = x[a : a + 2048] if end == row + 1 else x
-            with np.errstate(over="ignore"):
-                h = (part[:, None] * _MULTIPLY[WORDS : WORDS + HASHES] + _ADD) >> np.uint64(32)
-            h = h.min(axis=0, keepdims=True) if end == row + 1 else np.minimum.reduceat(h, starts, axis=0)
-            low = h if low is None else np.minimum(low, h)
-        out[row:end] = low.astype(np.uint16)
-        row = end
+    h = np.empty((256, HASHES), np.uint32)  # small enough for the cache
+    for row, s in enumerate(sets):
+        low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+        best = None
+        for a in range(0, len(s), 256):
+            own = h[: min(256, len(s) - a)]
+            np.multiply(low[a : a + 256, None], _ODD, out=own)
+            np.bitwise_xor(own, high[a : a + 256, None], out=own)
+            least = own.min(axis=0)
+            best = least if best is None else np.minimum(best, least)
+        out[row] = best.astype(np.uint16)
     return out
 
 
