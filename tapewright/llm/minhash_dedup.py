@@ -9,10 +9,10 @@ out. So every pair within `apart` shares a key, and keys are compared by an equi
 `apart` lies 3.7 standard deviations above the distance expected at the least similarity asked for.
 
 Which links are looked at: equal sets are one node from the start. In a first round each node is compared with the pivot
-(smallest node) that it shares most keys with. After that only pairs of different components need a look: within each shared
-key the pairs at most `apart` apart, nearest first, until none is left. All links are confirmed on the full sets, and no
-pair is ever skipped but those whose ends are already known to be connected, so components come out whole while a group of
-n near copies costs about n comparisons. Keys shared by many nodes are compared block by block.
+(smallest node) that it shares most keys with. After that only pairs of different components need a look. Within each shared
+key the nodes are found that lie at most `apart` from one of another component, and for each two components such nodes meet
+with their full sets until a link is found. No pair is written down, and none is skipped but those whose ends are connected
+already, so components come out whole. Keys and components of many nodes are compared block by block.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import by_bytes, table, written
@@ -31,7 +31,7 @@ from tapewright.llm.components import components
 WORDS = 5
 HASHES, BITS, WIDTH, DEVIATIONS = 128, 16, 4, 3.7
 CHUNKS = HASHES // WIDTH
-BLOCK = 1024
+BLOCK, SETS_BLOCK = 1024, 256
 #: Up to so many nodes to look at, their ids are broadcast to the second reading of the texts; beyond, ids and texts meet in a shuffle.
 BROADCAST_IDS = 2_000_000
 _MULTIPLY = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(HASHES + WORDS + 2)], np.uint64)
@@ -107,7 +107,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def keys_of(sig: np.ndarray, errors: int) -> np.ndarray:
-    """A column of 64-bit keys for each chunk, and for the first `errors` chunks, which allow one, a column for each position left out."""
+    """A column of 64-bit keys for each chunk, and for the first `errors` chunks, which allow one, a column for each position left out. The low byte is the column's number."""
     s = sig.astype(np.uint64)
     out = []
     with np.errstate(over="ignore"):
@@ -119,10 +119,20 @@ def keys_of(sig: np.ndarray, errors: int) -> np.ndarray:
                 for k in range(WIDTH):
                     if k != gap:
                         h = _mixed(h + (chunk[:, k] + np.uint64(1)) * _MULTIPLY[k])
-                out.append(h)
+                out.append((h & ~np.uint64(255)) | np.uint64(len(out)))
     return np.column_stack(out).view(np.int64)
 
 
+def first_shared_slot(x: np.ndarray, y: np.ndarray, errors: int) -> np.ndarray:
+    """For rows of signatures that share a key, the number of the first key they share: each pair is looked at there alone."""
+    same = (x == y).reshape(len(x), CHUNKS, WIDTH)
+    n = same.sum(axis=2)
+    chunk = ((n == WIDTH) | ((np.arange(CHUNKS) < errors) & (n == WIDTH - 1))).argmax(axis=1)
+    rows = np.arange(len(x))
+    gap = np.where(n[rows, chunk] == WIDTH, 0, same[rows, chunk].argmin(axis=1))
+    return np.where(chunk < errors, chunk * WIDTH + gap, errors * WIDTH + chunk - errors)
+
+
 def _set_hash(s: np.ndarray) -> int:
     import xxhash
 
@@ -158,15 +168,33 @@ def _with_sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _near_pairs(least: int, most: int):
-    """From rows sorted by (key, lb, rb, right): the pairs of a left and a right row of one block that are of different components, at most `most` apart, and whose sizes allow a link."""
+def _blocks(keys: list[str], work):
+    """Calls work(table, starts of its blocks) on whole blocks, rows of equal `keys`, of sorted batches."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            begins = _begins(t, keys)
+            cut = int(np.flatnonzero(begins)[-1]) if t.num_rows else 0  # the last block may go on in the next batch
+            if cut:
+                yield work(t.slice(0, cut).combine_chunks(), np.flatnonzero(begins[:cut]))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield work(held.combine_chunks(), np.flatnonzero(_begins(held, keys)))
+
+    return run
+
+
+def _near_nodes(least: int, most: int):
+    """From blocks of a shared key, left rows first: for each two components with a pair of a left and a right row at most `most` apart, whose sizes allow a link, the nodes of such pairs."""
+    errors = with_error(most)
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        node, comp, size = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    def work(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, comp, size, key = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "key"))
         minor, right = t.column("minor").to_numpy(), t.column("right").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-        starts = np.flatnonzero(_begins(t))
-        a, b, apart = [], [], []
+        found = [np.zeros((0, 3), np.int64)]
         held_left, held_right, held = [], [], 0
 
         def measure() -> None:
@@ -175,9 +203,12 @@ def _near_pairs(least: int, most: int):
             x, y = np.concatenate(held_left), np.concatenate(held_right)
             for i in range(0, len(x), 8192):
                 p, q = x[i : i + 8192], y[i : i + 8192]
-                d = (sig[p] != sig[q]).sum(axis=1)
-                near = d <= most
-                a.append(node[p[near]]), b.append(node[q[near]]), apart.append(d[near])
+                near = (sig[p] != sig[q]).sum(axis=1) <= most
+                p, q = p[near], q[near]
+                own = first_shared_slot(sig[p], sig[q], errors) == (key[p] & 255)
+                p, q = p[own], q[own]
+                low, high = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
+                found.append(np.unique(np.concatenate([np.column_stack([low, high, node[p]]), np.column_stack([low, high, node[q]])]), axis=0))
             held_left.clear(), held_right.clear()
 
         for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
@@ -195,34 +226,75 @@ def _near_pairs(least: int, most: int):
                 measure()
                 held = 0
         measure()
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v or [none]).astype(np.int64)) for v in (a, b, apart)], ["a", "b", "apart"])
+        rows = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(3)], ["low", "high", "node"])
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            last = np.flatnonzero(_begins(t))[-1:]  # the last block may go on in the next batch
-            cut = int(last[0]) if len(last) else 0
-            if cut:
-                yield pairs(t.slice(0, cut).combine_chunks())
-            held = t.slice(cut)
-        if held is not None and held.num_rows:
-            yield pairs(held.combine_chunks())
+    return _blocks(["key", "lb", "rb"], work)
 
-    return run
 
+def _one_link(least: int):
+    """From blocks of two components' nodes, left rows first: a link between them on their full sets, if there is any."""
 
-def _begins(t: pa.Table) -> np.ndarray:
-    """Where a block (key, lb, rb) begins."""
+    def work(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, right = t.column("node").to_numpy(), t.column("right").to_numpy()
+        sets = t.column("shingles").combine_chunks()
+        values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
+        out_a, out_b = [], []
+        for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
+            cut = start + int(np.searchsorted(right[start:end], True))
+            if start == cut or cut == end:
+                continue
+            own = values[ends[start] : ends[end]]
+            _, word = np.unique(own, return_inverse=True)
+            sizes = np.diff(ends[start : end + 1])
+            row = np.repeat(np.arange(end - start), sizes)
+            width, n_left = int(word.max()) + 1, cut - start
+            step = max(1, (4 << 20) // width)  # rows of a dense part, 16 MB
+            link = None
+            for a in range(0, n_left, step):
+                x = _dense(row, word, a, min(n_left, a + step), width)
+                for b in range(n_left, end - start, step):
+                    y = _dense(row, word, b, min(end - start, b + step), width)
+                    shared = x @ y.T  # counts below 2^24 are exact
+                    i, j = np.nonzero(100 * shared >= least * (sizes[a : a + len(x), None] + sizes[None, b : b + len(y)] - shared))
+                    if len(i):
+                        link = start + a + int(i[0]), start + b + int(j[0])
+                        break
+                if link:
+                    break
+            if link:
+                out_a.append(int(node[link[0]])), out_b.append(int(node[link[1]]))
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return _blocks(["low", "high", "lb", "rb"], work)
+
+
+def _dense(row: np.ndarray, word: np.ndarray, first: int, end: int, width: int) -> np.ndarray:
+    out = np.zeros((end - first, width), np.float32)
+    a, b = np.searchsorted(row, [first, end])
+    out[row[a:b] - first, word[a:b]] = 1
+    return out
+
+
+def _begins(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a block begins."""
     out = np.zeros(t.num_rows, bool)
     out[:1] = True
-    for c in ("key", "lb", "rb"):
+    for c in keys:
         v = t.column(c).to_numpy()
         out[1:] |= v[1:] != v[:-1]
     return out
 
 
+def _dealt(rows: DataFrame, on_left: Column, on_right: Column) -> DataFrame:
+    """Rows dealt to `lefts` x `rights` blocks (lb, rb): those on the left to one lb and all rb, those on the right to one rb and all lb."""
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where(on_left).withColumn("lb", own("lefts")).withColumn("rb", steps("rights")).withColumn("right", F.lit(False))
+    right = rows.where(on_right).withColumn("rb", own("rights")).withColumn("lb", steps("lefts")).withColumn("right", F.lit(True))
+    return left.unionByName(right)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Those of the pairs (a, b) with 100 * shared shingles >= least * all shingles, on the full sets."""
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -263,29 +335,14 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "key", "node", "component", "n_shingles", "sig", (F.col("component") != F.col("major")).alias("minor"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("lefts"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rights"),
     ), "mixed-keys")
-    own = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows_of.withColumn("lb", own("lefts")).withColumn("rb", steps("rights")).withColumn("right", F.lit(False))
-    right = rows_of.where("minor").withColumn("rb", own("rights")).withColumn("lb", steps("lefts")).withColumn("right", F.lit(True))
-    blocks = left.unionByName(right).select("key", "lb", "rb", "right", "node", "component", "n_shingles", "minor", "sig")
-    near = blocks.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "right").mapInArrow(_near_pairs(least, most_apart(least)), "a long, b long, apart long")
-    todo = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart").distinct(), "near-pairs")
-
-    take = 1
-    while True:
-        label = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-        open_ = todo.join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", "apart", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca != cb")
-        open_ = written(open_, "open-pairs")
-        if open_.isEmpty():
-            break
-        # of each node the nearest few in each other component, then more
-        turn = Window.partitionBy("a", "cb").orderBy("apart", "b")
-        ranked = written(open_.withColumn("turn", F.row_number().over(turn)), "ranked-pairs")
-        found = linked(ranked.where(F.col("turn") <= take), sets, least)
-        links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-        known = components(links)
-        todo = ranked.where(F.col("turn") > take).select("a", "b", "apart")
-        take *= 8
+    blocks = _dealt(rows_of, F.lit(True), F.col("minor")).select("key", "lb", "rb", "right", "node", "component", "n_shingles", "minor", "sig")
+    near = blocks.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "right").mapInArrow(_near_nodes(least, most_apart(least)), "low long, high long, node long")
+    # nodes of two components that may be linked meet with their sets, in blocks; one link is enough to join the two
+    asked = written(near.distinct().join(known.withColumnRenamed("component", "c"), "node", "left").withColumn("is_high", F.coalesce("c", "node") == F.col("high")).drop("c"), "near-nodes")
+    counts = asked.groupBy("low", "high").agg(F.ceil(F.count_if(~F.col("is_high")) / SETS_BLOCK).cast("int").alias("lefts"), F.ceil(F.count_if("is_high") / SETS_BLOCK).cast("int").alias("rights"))
+    pairs = _dealt(asked.join(counts, ["low", "high"]), ~F.col("is_high"), F.col("is_high")).select("low", "high", "lb", "rb", "right", "node")
+    found = pairs.join(sets, "node").repartition("low", "high", "lb", "rb").sortWithinPartitions("low", "high", "lb", "rb", "right").mapInArrow(_one_link(least), "a long, b long")
+    known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     named = nodes.select("node", "id").join(known, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
