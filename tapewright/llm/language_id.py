@@ -61,7 +61,7 @@ def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(ORDER):
             part = code * _MIX[k]
-            running[k:] += part[: len(code) - k] if k else part
+            running[k:] += part[: max(len(code) - k, 0)]
             ok = place >= k
             full[k, ok] = _mixed(running[ok] + np.uint64((k + 1) << 56))
     own = place > 0
