@@ -9,10 +9,10 @@ out. So every pair within `apart` shares a key, and keys are compared by an equi
 `apart` lies 3.7 standard deviations above the distance expected at the least similarity asked for.
 
 Which links are looked at: equal sets are one node from the start. In a first round each node is compared with the pivot
-(smallest node) that it shares most keys with. After that only pairs of different components need a look. Within each shared
-key the nodes are found that lie at most `apart` from one of another component, and for each two components such nodes meet
-with their full sets until a link is found. No pair is written down, and none is skipped but those whose ends are connected
-already, so components come out whole. Keys and components of many nodes are compared block by block.
+(smallest node) that it shares most keys with. After that only pairs of different components need a look. Pairs of different
+components that share a key and lie at most `apart` apart connect nodes to groups, and in a group nodes of different components
+meet with their full sets. Tasks hand on what pairs connect, an edge a node at most, and never the pairs; none is skipped but
+those whose ends are connected already, so components come out whole. Large keys and groups are compared block by block.
 """
 
 from __future__ import annotations
@@ -186,29 +186,51 @@ def _blocks(keys: list[str], work):
     return run
 
 
-def _near_nodes(least: int, most: int):
-    """From blocks of a shared key, left rows first: for each two components with a pair of a left and a right row at most `most` apart, whose sizes allow a link, the nodes of such pairs."""
+def _forest(p: np.ndarray, q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between rows p and q, as few as keep connected what they connect, as nodes: each row with the smallest row it reaches."""
+    rows, ends = np.unique(np.concatenate([p, q]), return_inverse=True)
+    x, y = ends[: len(p)], ends[len(p) :]
+    label = np.arange(len(rows))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low), np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low), np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(rows))
+    return node[rows[own]], node[rows[label[own]]]
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + [f[c] for f in found])) for c in (0, 1)], ["a", "b"])
+
+
+def _near_edges(least: int, most: int):
+    """From blocks of a shared key, left rows first: what pairs of a left and a right row connect that are of different components, at most `most` apart, and whose sizes allow a link. At most an edge a row."""
     errors = with_error(most)
 
     def work(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         node, comp, size, key = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "key"))
         minor, right = t.column("minor").to_numpy(), t.column("right").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-        found = [np.zeros((0, 3), np.int64)]
-        held_left, held_right, held = [], [], 0
+        found, held_left, held_right, held = [], [], [], 0
 
         def measure() -> None:
             if not held_left:
                 return
             x, y = np.concatenate(held_left), np.concatenate(held_right)
+            near = []
             for i in range(0, len(x), 8192):
                 p, q = x[i : i + 8192], y[i : i + 8192]
-                near = (sig[p] != sig[q]).sum(axis=1) <= most
-                p, q = p[near], q[near]
+                ok = (sig[p] != sig[q]).sum(axis=1) <= most
+                p, q = p[ok], q[ok]
                 own = first_shared_slot(sig[p], sig[q], errors) == (key[p] & 255)
-                p, q = p[own], q[own]
-                low, high = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
-                found.append(np.unique(np.concatenate([np.column_stack([low, high, node[p]]), np.column_stack([low, high, node[q]])]), axis=0))
+                near.append((p[own], q[own]))
+            found.append(_forest(np.concatenate([n[0] for n in near]), np.concatenate([n[1] for n in near]), node))
             held_left.clear(), held_right.clear()
 
         for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
@@ -226,47 +248,42 @@ def _near_nodes(least: int, most: int):
                 measure()
                 held = 0
         measure()
-        rows = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, c])) for c in range(3)], ["low", "high", "node"])
+        return _edges(found)
 
     return _blocks(["key", "lb", "rb"], work)
 
 
-def _one_link(least: int):
-    """From blocks of two components' nodes, left rows first: a link between them on their full sets, if there is any."""
+def _links(least: int):
+    """From blocks of a near group, left rows first: what links between a left and a right row of different components connect, on the full sets."""
 
     def work(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        node, right = t.column("node").to_numpy(), t.column("right").to_numpy()
+        node, comp, right = (t.column(c).to_numpy() for c in ("node", "component", "right"))
         sets = t.column("shingles").combine_chunks()
         values, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
-        out_a, out_b = [], []
+        found = []
         for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
             cut = start + int(np.searchsorted(right[start:end], True))
             if start == cut or cut == end:
                 continue
-            own = values[ends[start] : ends[end]]
-            _, word = np.unique(own, return_inverse=True)
+            _, word = np.unique(values[ends[start] : ends[end]], return_inverse=True)
             sizes = np.diff(ends[start : end + 1])
             row = np.repeat(np.arange(end - start), sizes)
             width, n_left = int(word.max()) + 1, cut - start
             step = max(1, (4 << 20) // width)  # rows of a dense part, 16 MB
-            link = None
+            p, q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a in range(0, n_left, step):
                 x = _dense(row, word, a, min(n_left, a + step), width)
                 for b in range(n_left, end - start, step):
                     y = _dense(row, word, b, min(end - start, b + step), width)
                     shared = x @ y.T  # counts below 2^24 are exact
                     i, j = np.nonzero(100 * shared >= least * (sizes[a : a + len(x), None] + sizes[None, b : b + len(y)] - shared))
-                    if len(i):
-                        link = start + a + int(i[0]), start + b + int(j[0])
-                        break
-                if link:
-                    break
-            if link:
-                out_a.append(int(node[link[0]])), out_b.append(int(node[link[1]]))
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                    i, j = i + start + a, j + start + b
+                    ok = comp[i] != comp[j]
+                    p.append(i[ok]), q.append(j[ok])
+            found.append(_forest(np.concatenate(p), np.concatenate(q), node))
+        return _edges(found)
 
-    return _blocks(["low", "high", "lb", "rb"], work)
+    return _blocks(["group", "lb", "rb"], work)
 
 
 def _dense(row: np.ndarray, word: np.ndarray, first: int, end: int, width: int) -> np.ndarray:
@@ -336,12 +353,14 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.ceil(F.col("all") / BLOCK).cast("int").alias("lefts"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rights"),
     ), "mixed-keys")
     blocks = _dealt(rows_of, F.lit(True), F.col("minor")).select("key", "lb", "rb", "right", "node", "component", "n_shingles", "minor", "sig")
-    near = blocks.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "right").mapInArrow(_near_nodes(least, most_apart(least)), "low long, high long, node long")
-    # nodes of two components that may be linked meet with their sets, in blocks; one link is enough to join the two
-    asked = written(near.distinct().join(known.withColumnRenamed("component", "c"), "node", "left").withColumn("is_high", F.coalesce("c", "node") == F.col("high")).drop("c"), "near-nodes")
-    counts = asked.groupBy("low", "high").agg(F.ceil(F.count_if(~F.col("is_high")) / SETS_BLOCK).cast("int").alias("lefts"), F.ceil(F.count_if("is_high") / SETS_BLOCK).cast("int").alias("rights"))
-    pairs = _dealt(asked.join(counts, ["low", "high"]), ~F.col("is_high"), F.col("is_high")).select("low", "high", "lb", "rb", "right", "node")
-    found = pairs.join(sets, "node").repartition("low", "high", "lb", "rb").sortWithinPartitions("low", "high", "lb", "rb", "right").mapInArrow(_one_link(least), "a long, b long")
+    near = blocks.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "right").mapInArrow(_near_edges(least, most_apart(least)), "a long, b long")
+    # all that near pairs connect is a group; in it nodes of different components meet with their sets, in blocks
+    groups = components(near).withColumnRenamed("component", "group")
+    asked = written(groups.join(known, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")), "near-nodes")
+    counts = asked.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    counts = counts.where(F.col("all") > F.col("most")).select("group", "major", F.ceil(F.col("all") / SETS_BLOCK).cast("int").alias("lefts"), F.ceil((F.col("all") - F.col("most")) / SETS_BLOCK).cast("int").alias("rights"))
+    dealt = _dealt(asked.join(counts, "group"), F.lit(True), F.col("component") != F.col("major")).select("group", "lb", "rb", "right", "node", "component")
+    found = dealt.join(sets, "node").repartition("group", "lb", "rb").sortWithinPartitions("group", "lb", "rb", "right").mapInArrow(_links(least), "a long, b long")
     known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     named = nodes.select("node", "id").join(known, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
