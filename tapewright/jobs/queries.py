@@ -148,7 +148,7 @@ def _(spark, sf):
     return files.parse_factor_text(lines.select(text.alias("value")), ["mkt_rf", "smb"])
 
 
-@query("s8_merge_factors", "date:d mkt_rf:f wml:f", "SELECT date, mkt_rf, wml FROM factors WHERE day(date) % 7 <> 0 AND day(date) % 5 <> 0", "factors")
+@query("s8_merge_factors", "date:d mkt_rf:g wml:g", "SELECT date, mkt_rf, wml FROM factors WHERE day(date) % 7 <> 0 AND day(date) % 5 <> 0", "factors")
 def _(spark, sf):
     f = load(spark, sf, "factors")
     return files.merge_factors(f.where(F.dayofmonth("date") % 7 != 0).drop("wml"), f.where(F.dayofmonth("date") % 5 != 0).select("date", "wml"))
@@ -168,7 +168,7 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("s11_write_flat", "date:d mkt_rf:f smb:f hml:f wml:f rf:f", "SELECT * FROM factors", "factors")
+@query("s11_write_flat", "date:d mkt_rf:g smb:g hml:g wml:g rf:g", "SELECT * FROM factors", "factors")
 def _(spark, sf):
     path = scratch_path(spark, "factors")
     files.write_flat(load(spark, sf, "factors"), path)
@@ -230,7 +230,7 @@ def _(spark, sf):
 _EXCESS = {"ex": "SELECT d.sym, d.date, d.ret - f.rf AS exret, f.mkt_rf, f.smb, f.hml, f.wml FROM (SELECT sym, date, close / lag(close) OVER (PARTITION BY sym ORDER BY date) - 1 AS ret FROM daily) d JOIN factors f ON d.date = f.date WHERE d.ret IS NOT NULL"}
 
 
-@query("p7_j1_excess_return", "sym:s date:d exret:f mkt_rf:f", "SELECT * FROM ex", "daily factors", _EXCESS)
+@query("p7_j1_excess_return", "sym:s date:d exret:g mkt_rf:g", "SELECT * FROM ex", "daily factors", _EXCESS)
 def _(spark, sf):
     return exposures.excess_returns(load(spark, sf, "daily"), load(spark, sf, "factors"))
 
@@ -297,7 +297,7 @@ def _(spark, sf):
     return load(spark, sf, "raw_bars").select("seq", num.decay((F.col("seq") % 250).cast("double"), 60).alias("w"))
 
 
-@query("p19_net_return", "config:s date:d ret:f", "SELECT config, date, (gross - fees - traded * 0.00005) / 1000000 AS ret FROM days", also=DAYS)
+@query("p19_net_return", "config:s date:d ret:g", "SELECT config, date, (gross - fees - traded * 0.00005) / 1000000 AS ret FROM days", also=DAYS)
 def _(spark, sf):
     return _stand_in_days(spark, sf).select("config", "date", num.net_return(0.5e-4).alias("ret"))
 
@@ -383,7 +383,7 @@ def _(spark, sf):
     return folds.test_rows(_long(spark, sf), _folds(spark, sf), ["label"]).groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
 
 
-@query("j7_returns_with_factors", "config:s date:d ret:f mkt_rf:f", "SELECT d.config, d.date, (gross - fees) / 1000000 AS ret, mkt_rf FROM days d JOIN factors f ON d.date = f.date", "factors", DAYS)
+@query("j7_returns_with_factors", "config:s date:d ret:g mkt_rf:g", "SELECT d.config, d.date, (gross - fees) / 1000000 AS ret, mkt_rf FROM days d JOIN factors f ON d.date = f.date", "factors", DAYS)
 def _(spark, sf):
     return _stand_in_days(spark, sf).withColumn("ret", num.net_return()).join(load(spark, sf, "factors"), "date")
 
