@@ -223,7 +223,7 @@ def _near_edges(least: int, most: int):
             if not held_left:
                 return
             x, y = np.concatenate(held_left), np.concatenate(held_right)
-            near = []
+            near = [(x[:0], y[:0])]
             for i in range(0, len(x), 8192):
                 p, q = x[i : i + 8192], y[i : i + 8192]
                 ok = (sig[p] != sig[q]).sum(axis=1) <= most
