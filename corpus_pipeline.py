@@ -16,15 +16,28 @@ from tapewright.llm.minhash_dedup import minhash_dedup
 from tapewright.llm.packing import pack
 
 
-#: Up to so many ids to leave out are broadcast; beyond, they and the documents meet in a shuffle.
+#: Up to so many rows to leave out are broadcast as their numbers; beyond, they and the documents meet in a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """Rows of docs whose doc_id isn't among those of `gone`; all rows that repeat a doc_id share its fate, rows without one stay."""
-    ids = written(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), name)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str, DataFrame]:
+    """docs with a row number, written once so that it doesn't change; the number's column; (key, text) of every row.
+
+    A key is (no_id, doc_id, row): unlike doc_id it is never null and never repeated, and keys are in the order of doc_id, null ids last.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), name)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
+    return docs, row, docs.select(key.alias("key"), "text")
+
+
+def without(docs: DataFrame, row: str, gone: DataFrame, name: str) -> DataFrame:
+    """Rows of docs whose row number isn't in a key of `gone`, without the number."""
+    rows = written(gone.select(F.col("key.row").alias(row)), name)
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    return docs.join(rows, row, "left_anti").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +51,15 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (but for white space) one stays."""
-    return without(docs, exact_dedup(docs).where("NOT kept"), "copies")
+    """Of rows with equal texts (but for white space) one stays, whatever their ids: the longest, then the smallest doc_id, null ids last."""
+    docs, row, keyed = numbered(docs, "numbered")
+    return without(docs, row, exact_dedup(keyed, "key").where("NOT kept"), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 or more of five-word shingles, the one with the smallest doc_id stays."""
-    return without(docs, minhash_dedup(docs, least=80).where("NOT kept"), "near-copies")
+    """Of rows connected by a similarity of 0.8 or more of five-word shingles, one with the smallest doc_id stays, null ids last."""
+    docs, row, keyed = numbered(docs, "near-numbered")
+    return without(docs, row, minhash_dedup(keyed, "key", least=80).where("NOT kept"), "near-copies")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

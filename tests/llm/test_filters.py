@@ -192,3 +192,21 @@ def test_pipeline_against_brute_force(spark, sf):
     assert got == want
 
 
+
+
+def test_pipeline_drops_rows_and_not_ids(spark, sf):
+    """Repeated rows, repeated ids with other texts and null ids: of each class of copies exactly one row stays."""
+    base = [words(80, 900 + i) for i in range(5)]
+    near = lambda i, k: " ".join([*base[i][:k], "edit", *base[i][k + 1 :]])
+    text = [" ".join(w) for w in base]
+    schema = "doc_id long, text string, row string"
+    copies = [(5, text[0]), (5, text[0]), (7, text[0]), (1, text[1]), (2, text[1]), (2, text[2]), (None, text[3]), (None, text[3]), (None, text[0]), (9, text[4])]
+    docs = spark.createDataFrame([(*x, "r") for x in copies], schema).repartition(3)
+    kept = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, text[0]), (1, text[1]), (2, text[2]), (None, text[3]), (9, text[4])])
+    rows = [(5, text[0]), (5, near(0, 40)), (1, text[1]), (2, near(1, 40)), (2, text[2]), (None, near(2, 30)), (None, text[3]), (None, near(3, 40)), (9, text[4])]
+    docs = spark.createDataFrame([(*x, "r") for x in rows], schema).repartition(3)
+    kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
+    assert {x for x in kept if x[0] in (1, 2, 9)} == {(1, text[1]), (2, text[2]), (9, text[4])}
+    assert sum(kept.values()) == 5 and sum(x[0] == 5 for x in kept) == 1 and sum(x[0] is None for x in kept) == 1
