@@ -3,10 +3,12 @@
 1. Equal vectors are one node. Centroids are fitted on a bounded sample; a node belongs to its OVERLAP nearest clusters.
 2. Each cluster (a shard) builds a graph: every node keeps, of its nearest neighbours, those that no kept one is much closer
    to (robust pruning), with the reverse edges. Adjacency lists of a node in several shards are united.
-3. Every node is looked up in its PROBES nearest shards: a greedy best-first search from the shard's medoid, and from what is
-   in range the search goes on as long as neighbours lie within the range and a margin around it.
+3. Every node is looked up in its PROBES nearest shards: a greedy best-first search from its own place in the shard, if it is
+   there, and from rows that together lead to every row of the shard; from what is in range the search goes on as long as
+   neighbours lie within the range and a margin around it.
 4. Pairs found are verified by their cosine in double precision. Recall is audited against brute force for a bounded set of
-   nodes over all nodes; below RECALL the number of probes is doubled, up to all shards.
+   nodes over all nodes; below RECALL the number of probes is doubled, up to all shards, and if that isn't enough, all blocks
+   of nodes are compared exactly.
 
 A cluster of more than SHARD_MOST nodes is several shards (by a hash of the node), all of which its queries search, so a
 task's memory is bounded whatever the data.
@@ -105,12 +107,32 @@ def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
     return [np.unique(np.array(a + b[: 2 * DEGREE], np.int64)) for a, b in zip(out, back, strict=True)]
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, q: np.ndarray, least: float) -> np.ndarray:
-    """Rows of x with a cosine of at least `least` with q, as far as the graph leads there from `start`."""
+def entries(x: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Rows from which the graph leads to all rows: the medoid, then the most central row not reached yet, until none is left."""
+    seen, out = np.zeros(len(x), bool), []
+    for start in np.argsort(-(x @ x.mean(axis=0)), kind="stable"):
+        if seen[start]:
+            continue
+        out.append(start)
+        seen[start] = True
+        at = np.array([start])
+        while len(at):
+            at = np.unique(np.concatenate([lists[i] for i in at]))
+            at = at[~seen[at]]
+            seen[at] = True
+    return np.array(out, np.int64)
+
+
+def range_search(x: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Rows of x with a cosine of at least `least` with q, as far as the graph leads there from `starts`."""
     seen = np.zeros(len(x), bool)
-    seen[start] = True
-    ids, cos, done = np.array([start]), x[[start]] @ q, np.zeros(1, bool)
+    seen[starts] = True
+    cos = x[starts] @ q
+    order = np.argsort(-cos, kind="stable")
+    ids, cos, done = starts[order], cos[order], np.zeros(len(starts), bool)
     found_ids, found_cos = [ids], [cos]
+    keep = max(BEAM, int((cos >= least - MARGIN).sum()))
+    ids, cos, done = ids[:keep], cos[:keep], done[:keep]
     while True:
         open_ = np.flatnonzero(~done)
         if not len(open_):
@@ -149,9 +171,12 @@ def _search(least: float):
                 own = np.asarray(own, np.int64)
                 at = np.minimum(np.searchsorted(node, own), len(node) - 1)
                 lists.append(np.unique(at[node[at] == own]))
-            start = int((x @ x.mean(axis=0)).argmax())
-            for q_node, q in zip(right["node"].to_numpy(), _matrix(right["vec"]), strict=True):
-                for i in range_search(x, lists, start, q, least - 1e-6):
+            starts = entries(x, lists)
+            asked = right["node"].to_numpy()
+            own_at = np.minimum(np.searchsorted(node, asked), len(node) - 1)
+            for q_node, q, own in zip(asked, _matrix(right["vec"]), own_at, strict=True):
+                from_ = np.union1d(starts, own) if node[own] == q_node else starts
+                for i in range_search(x, lists, from_, q, least - 1e-6):
                     if node[i] != q_node:
                         a, b = (q, x[i]) if q_node < node[i] else (x[i], q)
                         out["a"].append(min(q_node, node[i])), out["b"].append(max(q_node, node[i])), out["cosine"].append(float((a * b).sum()))
@@ -198,6 +223,36 @@ def links_of(nodes: DataFrame, least: float, probes: int, centres, n_nodes: int)
     return written(found.where(F.col("cosine") >= least).dropDuplicates(["a", "b"]), "links")
 
 
+def _compare(least: float):
+    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[~frame["right"]], frame[frame["right"]]
+        out = {"a": [np.zeros(0, np.int64)], "b": [np.zeros(0, np.int64)], "cosine": [np.zeros(0)]}
+        if len(left) and len(right):
+            x, y, p, q = _matrix(left["vec"]), _matrix(right["vec"]), left["node"].to_numpy(), right["node"].to_numpy()
+            for start in range(0, len(x), 256):
+                i, j = np.nonzero(x[start : start + 256] @ y.T >= least - 1e-6)
+                i += start
+                if key[1] == key[2]:  # a block with itself
+                    i, j = i[p[i] < q[j]], j[p[i] < q[j]]
+                for at in range(0, len(i), 16384):
+                    m, n = i[at : at + 16384], j[at : at + 16384]
+                    out["a"].append(np.minimum(p[m], q[n])), out["b"].append(np.maximum(p[m], q[n])), out["cosine"].append((x[m] * y[n]).sum(axis=1))
+        return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
+
+    return compare
+
+
+def exact_links(nodes: DataFrame, least: float) -> DataFrame:
+    """All links (a, b, cosine), a < b: every block of about SHARD_MOST nodes meets every block with vectors of its length once."""
+    blocks = nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit(13)), F.col("blocks")).cast("int")
+    dealt = nodes.select("node", "vec", "dim").join(F.broadcast(blocks), "dim").withColumn("block", block)
+    left = dealt.select("dim", F.col("block").alias("lb"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("rb"), "node", "vec", F.lit(False).alias("right"))
+    right = dealt.select("dim", F.explode(F.sequence(F.lit(0), "block")).alias("lb"), F.col("block").alias("rb"), "node", "vec", F.lit(True).alias("right"))
+    found = left.unionByName(right).groupBy("dim", "lb", "rb").applyInPandas(_compare(least), "a long, b long, cosine double")
+    return written(found.where(F.col("cosine") >= least), "links")
+
+
 def recall_of(nodes: DataFrame, links: DataFrame, least: float, audited: int = AUDITED) -> tuple[int, int]:
     """(found, true) links of a bounded set of nodes, by brute force over all nodes."""
     some = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").select("node", "vec", "dim").limit(audited).collect()
@@ -256,7 +311,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     while True:
         links = links_of(nodes, least, min(probes, all_probes), centres, n_nodes)
         found, true = recall_of(nodes, links, least)
-        if found >= RECALL * true or probes >= all_probes:
+        if found >= RECALL * true:
+            break
+        if probes >= all_probes:
+            links = exact_links(nodes, least)
             break
         probes *= 2
 

@@ -153,3 +153,30 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert got[1006]["component_id"] == 1005 and got[1005]["n_links"] == 1
     assert got[None]["kept"] and got[None]["component_id"] is None
     assert emb.embedding_dedup(df.limit(0)).count() == 0
+
+
+def grouped_vectors(groups=10, size=130, dim=16):
+    """Groups of near, unequal vectors far from each other, and what brute force links."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(groups, dim)), size, axis=0) + rng.normal(size=(groups * size, dim)) * 0.1
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    return v, near
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_groups_larger_than_the_pool(spark, monkeypatch, lost):
+    """Each group is an island of its shard's graph; if the search finds nothing at all, the links are found exactly."""
+    if lost:
+        monkeypatch.setattr(emb, "range_search", lambda *_: [])
+        monkeypatch.setattr(emb, "SHARD_MOST", 500)
+    else:
+        monkeypatch.setattr(emb, "exact_links", None, raising=False)
+    v, near = grouped_vectors()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r for r in emb.embedding_dedup(df).collect()}
+    want = closed(range(len(v)), zip(*np.nonzero(near), strict=True))
+    found, true = sum(r["n_links"] for r in got.values()), int(near.sum())
+    assert true >= found >= (1 if lost else 0.99) * true
+    assert sum(got[i]["component_id"] == want[i] for i in want) >= (1 if lost else 0.99) * len(v)
