@@ -2,9 +2,10 @@
 
 Templates (short characteristic passages of licences) are indexed by word and position. A first pass counts over all
 documents how many hold each template word, which gives the words' inverse document frequencies. The second pass looks up
-each file's highest-ranked licence words, gathers for every template the positions at which those words would put its
-beginning, and takes a beginning that two of them agree on (or one, where the template has one such word); it is a match if
-enough of the template's words stand at their places and all of its mandatory key phrases occur there.
+each template's own rarest words, gathers the positions at which those words would put its beginning, and takes a beginning
+that two of them agree on (or one, where the template has one such word); it is a match if enough of the template's words
+stand at their places and all of its mandatory key phrases occur there. So many of a template's words are looked up that two
+of them are at their places wherever enough of all its words are; a file that holds too few of them is passed over.
 
 The phrases asked for by name are found beside it at all their places, from the position of their rarest word.
 """
@@ -12,7 +13,7 @@ The phrases asked for by name are found beside it at all their places, from the
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,8 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 ]
-#: Words looked up in a file, and the share of a template's words that must stand at their places.
-LOOKED_UP, LEAST = 12, 0.8
+#: The share of a template's words that must stand at their places.
+LEAST = 0.8
 
 #: A-Z to a-z, other ASCII that is neither letter nor digit to a space; bytes beyond ASCII stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -54,13 +55,15 @@ class Index:
     def __init__(self, templates, phrases, frequency: dict[bytes, int], n_docs: int):
         self.idf = lambda w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1))
         self.templates = [(label, words_of(text), [words_of(p) for p in must]) for label, text, must in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for at, w in enumerate(words):
-                self.postings[w].append((t, at))
-        self.rank = {w: (-self.idf(w), w) for w in self.postings}
-        self.known = set(self.postings)
+        self.known = {w for _, words, _ in self.templates for w in words}
         self.needed = [2 if len(set(words)) > 1 else 1 for _, words, _ in self.templates]
+        self.counts = [Counter(words) for _, words, _ in self.templates]
+        #: how many of a template's words must stand at their places, and the places of its rarest words that are looked up
+        self.enough = [next(n for n in range(len(words) + 1) if n >= LEAST * len(words) or n / len(words) >= LEAST) for _, words, _ in self.templates]
+        self.rare = [
+            sorted(range(len(words)), key=lambda i: (-self.idf(words[i]), words[i], i))[: len(words) - enough + needed]
+            for (_, words, _), enough, needed in zip(self.templates, self.enough, self.needed, strict=True)
+        ]
         self.phrases = []
         for text, label in phrases:
             words = words_of(text)
@@ -92,10 +95,12 @@ class Index:
                     base.add(label)
         found, best = set(), 1.0 if base else 0.0
         votes: Counter = Counter()
-        for w in sorted(own, key=self.rank.__getitem__)[:LOOKED_UP]:
-            for t, position in self.postings[w]:
-                for i in at(w):
-                    votes[t, i - position] += 1
+        for t, (_, template, _) in enumerate(self.templates):
+            if sum(n for w, n in self.counts[t].items() if w in own) >= self.enough[t]:
+                for position in self.rare[t]:
+                    if template[position] in own:
+                        for i in at(template[position]):
+                            votes[t, i - position] += 1
         for (t, start), n in votes.items():
             label, template, must = self.templates[t]
             if n < self.needed[t]:

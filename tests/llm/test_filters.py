@@ -210,3 +210,24 @@ def test_pipeline_drops_rows_and_not_ids(spark, sf):
     kept = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
     assert {x for x in kept if x[0] in (1, 2, 9)} == {(1, text[1]), (2, text[2]), (9, text[4])}
     assert sum(kept.values()) == 5 and sum(x[0] == 5 for x in kept) == 1 and sum(x[0] is None for x in kept) == 1
+
+
+def test_every_licence_of_several_is_found():
+    """All pairs, triples and quadruples of passages in one text, and passages with a fifth of their words changed."""
+    from itertools import combinations
+
+    from tapewright.llm.license_scan import TEMPLATES, Index, words_of
+
+    index = Index(TEMPLATES, PHRASES, {b"license": 3, b"software": 2}, 1000)
+    for n in (1, 2, 3, 4):
+        for some in combinations(TEMPLATES, n):
+            text = " and then some other words ".join(t for _, t, _ in some)
+            assert index.scan(words_of(text))[4] >= {label for label, _, _ in some}, some
+    everything = " between ".join(t for _, t, _ in TEMPLATES)
+    for t, (label, template, must) in enumerate(index.templates):
+        held = {i for p in must for i in range(len(template)) if template[i : i + len(p)] == p for i in range(i, i + len(p))}
+        free = [i for i in index.rare[t] if i not in held][: len(template) - index.enough[t]]
+        changed = [b"changed" if i in free else w for i, w in enumerate(template)]
+        others = words_of(" between ".join(x for k, (_, x, _) in enumerate(TEMPLATES) if index.templates[k][0] != label))
+        assert label in index.scan([*others, b"x", *changed])[4]
+    assert index.scan(words_of(everything))[4] == {label for label, _, _ in TEMPLATES}
