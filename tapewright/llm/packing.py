@@ -2,7 +2,8 @@
 
 1. Each document's ids are cut into pieces of `width` and a remainder; no id is lost. One Python pass, written once.
 2. The histogram of lengths has at most `width` bins whatever the corpus; the driver places its bins longest first, each
-   into the shortest packs (those with most room) that still hold it, and counts packing patterns, not packs.
+   into the shortest packs (those with most room) that still hold it or, if none does, together into new ones, and counts
+   packing patterns, not packs.
 3. Every piece gets its rank among the pieces of its length from per-partition counts, and a placement is a range of ranks
    of one length, so pieces and patterns meet by an interval lookup in a small table of checked size.
 
@@ -85,7 +86,8 @@ def ids_encoder(data: bytes):
 def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int, int, int, int, int]]:
     """Placements (length, first rank, end rank, first sequence, offset) that pack histogram[length] pieces of each length.
 
-    Lengths are placed longest first into the shortest packs with room. A pack pattern is a tuple of lengths with the number
+    Lengths are placed longest first into the shortest packs with room; of those left without one, as many as fit share a new
+    pack. A pack pattern is a tuple of lengths with the number
     of packs that follow it; a step takes packs of one pattern and moves as many as needed to the pattern with one more length.
     """
     shortest: list[tuple[int, tuple[int, ...]]] = []  # heap of (used, pattern)
@@ -112,8 +114,13 @@ def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int
                 if not packs[pattern]:
                     del packs[pattern]
                     heapq.heappop(shortest)
-            else:
-                pattern, n = (), left
+            else:  # new packs, each with as many as fit, and one with the rest
+                fit = width // length
+                if left >= fit:
+                    put((length,) * fit, left // fit)
+                if left % fit:
+                    put((length,) * (left % fit), 1)
+                break
             left -= n
             put((*pattern, length), n)
     out, ranks, first = [], dict.fromkeys(histogram, 0), 0

@@ -134,3 +134,19 @@ def test_encoder_of_latin_words_equals_the_library():
     texts = ["Éa Ñandú ''s 'LL ÀÉ İx ſ Ω½ ²3 ǅ", "éa ŉx Ĳ ß ẞ", "ÿŸ Žž ÷ × µ ª º 10² don't CAN'T 'S", "éa Å", "a,b...c;;d--e", "MiXeD123abc4"]
     want = [x.ids for x in tokenizer("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(b"".join(b for part in x for b in part), "<u4").tolist() for x in ids_encoder(data)(texts)] == want
+
+
+@pytest.mark.parametrize(("length", "n"), [(600, 10_000), (300, 9_999), (1, 5_000), (1024, 7), (1025, 7)])
+def test_pieces_of_one_length_share_sequences(length, n):
+    """A hot length alone needs no more sequences than hold it; with others it leaves little padding."""
+    room = Counter()
+    for _, r0, r1, first, offset in shortest_pack_first({length: n}, 2048):
+        for k in range(r1 - r0):
+            room[first + k] += length
+            assert offset % length == 0
+    assert len(room) == -(-n // (2048 // length)) and sum(room.values()) == n * length and max(room.values()) <= 2048
+    r = np.random.default_rng(length)
+    histogram = Counter(np.minimum(2048, np.maximum(1, r.lognormal(5.5, 1, 20_000))).astype(int).tolist()) + Counter({min(length, 700): 10_000})
+    placed = shortest_pack_first(histogram, 2048)
+    used = max(first + r1 - r0 for _, r0, r1, first, _ in placed)
+    assert used <= 1.1 * sum(k * v for k, v in histogram.items()) / 2048 and len(placed) < 20_000
