@@ -10,8 +10,8 @@
    nodes over all nodes; below RECALL the number of probes is doubled, up to all shards, and if that isn't enough, all blocks
    of nodes are compared exactly.
 
-A cluster of more than SHARD_MOST nodes is several shards (by a hash of the node), all of which its queries search, so a
-task's memory is bounded whatever the data.
+A cluster of more than SHARD_MOST nodes is several shards (by a hash of the node), all of which its queries search, in as
+many turns as its own questions need, so a task's memory is bounded whatever the data.
 """
 
 from __future__ import annotations
@@ -185,7 +185,12 @@ def _search(least: float):
     return search
 
 
-def links_of(nodes: DataFrame, least: float, probes: int, centres, n_nodes: int) -> DataFrame:
+def turns_of(asking: DataFrame) -> DataFrame:
+    """(dim, cluster, turns): in how many parts the questions to each cluster's shards come, of about QUERIES_MOST each."""
+    return asking.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / QUERIES_MOST).cast("long").alias("turns"))
+
+
+def links_of(nodes: DataFrame, least: float, probes: int, centres) -> DataFrame:
     """Verified links (a, b, cosine) between nodes, a < b, by graph search in `probes` shards a node."""
     spark = nodes.sparkSession
     sent = spark.sparkContext.broadcast(centres)
@@ -213,11 +218,12 @@ def links_of(nodes: DataFrame, least: float, probes: int, centres, n_nodes: int)
     graph = members.groupBy(*key).applyInPandas(_build, "node long, near array<long>")
     united = graph.select("node", F.explode("near").alias("near")).distinct().groupBy("node").agg(F.collect_list("near").alias("near"))
     left = written(members.join(united, "node", "left").select(*key, "node", "vec", F.coalesce("near", F.array().cast("array<long>")).alias("near")), "graph")
-    asked = base.mapInArrow(assign(probes), schema).join(F.broadcast(sizes), ["dim", "cluster"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    asking = base.mapInArrow(assign(probes), schema)
+    turns = written(turns_of(asking), "turns")
+    asked = asking.join(F.broadcast(turns), ["dim", "cluster"]).join(F.broadcast(sizes), ["dim", "cluster"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     # a shard that many nodes ask is read by several tasks, each with some of the questions
-    turns = max(1, -(-n_nodes * probes // (QUERIES_MOST * max(1, sum(len(c) for c in centres.values())))))
-    asked = asked.withColumn("turn", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(turns)))
-    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
+    asked = asked.withColumn("turn", F.pmod(F.xxhash64("node", F.lit(5)), F.col("turns"))).drop("turns")
+    left = left.join(F.broadcast(turns), ["dim", "cluster"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
     key = [*key, "turn"]
     found = left.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(least), "a long, b long, cosine double")
     return written(found.where(F.col("cosine") >= least).dropDuplicates(["a", "b"]), "links")
@@ -307,9 +313,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     centres = {r["dim"]: np.frombuffer(bytes(r["data"]), np.float64).reshape(r["k"], -1) for r in got}
     for dim in per_dim:  # so few of a length that none was drawn
         centres.setdefault(dim, np.eye(1, dim))
-    probes, all_probes, n_nodes = PROBES, max((len(c) for c in centres.values()), default=1), sum(per_dim.values())
+    probes, all_probes = PROBES, max((len(c) for c in centres.values()), default=1)
     while True:
-        links = links_of(nodes, least, min(probes, all_probes), centres, n_nodes)
+        links = links_of(nodes, least, min(probes, all_probes), centres)
         found, true = recall_of(nodes, links, least)
         if found >= RECALL * true:
             break

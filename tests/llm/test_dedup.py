@@ -180,3 +180,9 @@ def test_groups_larger_than_the_pool(spark, monkeypatch, lost):
     found, true = sum(r["n_links"] for r in got.values()), int(near.sum())
     assert true >= found >= (1 if lost else 0.99) * true
     assert sum(got[i]["component_id"] == want[i] for i in want) >= (1 if lost else 0.99) * len(v)
+
+
+def test_questions_to_a_hot_cluster_come_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(emb, "QUERIES_MOST", 100)
+    asking = spark.range(1300).selectExpr("id AS node", "2 AS dim", "CAST(if(id < 1000, 0, 1 + id % 30) AS int) AS cluster")
+    assert {r["cluster"]: r["turns"] for r in emb.turns_of(asking).collect()} == {0: 10, **dict.fromkeys(range(1, 31), 1)}
