@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import table
 
 MOST_RULES = 2_000_000
+#: Distinct lengths of rules' paths; beyond, no rule is left out but an error raised.
+MOST_LENGTHS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules (host and path, verdict) of the registered query.
@@ -105,7 +107,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     host, path = split_url(pages[url_col])
     urls = pages.select(pages[id_col].alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     rules = rules.select("rule", "verdict").where("rule IS NOT NULL AND verdict IS NOT NULL")
-    sizes = [r[0] for r in rules.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().orderBy("n").limit(10_000).collect()]
+    sizes = [r[0] for r in rules.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().orderBy("n").limit(MOST_LENGTHS + 1).collect()]
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"over {MOST_LENGTHS} lengths of rules' paths")
     id_type = pages.schema[id_col].dataType.simpleString()
     if rules.count() > most_rules:
         return _joined(urls, rules, sizes, otherwise).withColumnRenamed("id", id_col)

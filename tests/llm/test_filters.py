@@ -231,3 +231,15 @@ def test_every_licence_of_several_is_found():
         others = words_of(" between ".join(x for k, (_, x, _) in enumerate(TEMPLATES) if index.templates[k][0] != label))
         assert label in index.scan([*others, b"x", *changed])[4]
     assert index.scan(words_of(everything))[4] == {label for label, _, _ in TEMPLATES}
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_too_many_lengths_of_rules_raise(spark, monkeypatch, most):
+    import tapewright.llm.url_filter as urls
+
+    monkeypatch.setattr(urls, "MOST_LENGTHS", 3, raising=False)
+    pages = spark.createDataFrame([(1, "http://a.com/xxxx")], "page_id long, url string")
+    rules = lambda n: spark.createDataFrame([("a.com/" + "x" * k, "block") for k in range(n)], "rule string, verdict string")
+    assert url_filter(pages, rules(3), most_rules=most).first()["rule"] == "a.com/xx"
+    with pytest.raises(ValueError, match="lengths"):
+        url_filter(pages, rules(4), most_rules=most)
