@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
@@ -19,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm.common import by_bytes, shipped, table, texts_of
+from tapewright.llm.common import Memo, by_bytes, resident, shipped, table, texts_of
 from tapewright.llm.pieces import PieceCache, batched
 
 
@@ -60,7 +61,7 @@ class ByteBPE:
         """True if BPE, merging the two tokens' joint bytes, keeps the border between them."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._fits(a, b)
         return known
@@ -128,51 +129,58 @@ class ByteBPE:
                 last, t = out[-1] if out else -1, shorter[t]
 
 
-_coders: dict[int, tuple[ByteBPE, PieceCache]] = {}
-
-
 def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
-def coder(data: bytes, pattern: str) -> tuple[ByteBPE, PieceCache]:
-    key = hash((data, pattern))
-    if key not in _coders:
-        import regex
-
-        bpe, find = ByteBPE(read_ranks(data)), regex.compile(pattern).findall
-        known: dict[str, bytes] = {}  # ids as unsigned 32-bit numbers: small, and no work for the garbage collector
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            if len(known) > 400_000:
-                known.clear()
-            out = []
-            for matches in map(find, pieces):
-                for m in matches:
-                    if m not in known:
-                        known[m] = array("I", bpe.encode(m.encode())).tobytes()
-                out.append(known[matches[0]] if len(matches) == 1 else b"".join(map(known.__getitem__, matches)))
-            return out
-
-        _coders[key] = bpe, PieceCache(encode, spaced=True, most=800_000)
-    return _coders[key]
+def coder(data: bytes, pattern: str) -> tuple[ByteBPE, Callable[[list[str]], Iterable[list[list[bytes]]]]]:
+    """The tables and a memo of pieces. Texts are cut at spaces only for the pattern that is known to let no match across."""
+    import regex
+
+    bpe, find = ByteBPE(read_ranks(data)), regex.compile(pattern).finditer
+    known = Memo()  # ids as unsigned 32-bit numbers: small, and no work for the garbage collector
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        known.room()
+        out, new = [], {}
+        for piece in pieces:
+            ids = []
+            for m in find(piece):
+                m = m.group()
+                if not m:
+                    continue
+                got = known.get(m)
+                if got is None:
+                    got = new.get(m)
+                if got is None:
+                    got = new[m] = array("I", bpe.encode(m.encode())).tobytes()
+                ids.append(got)
+            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
+        known.fill(list(new), list(new.values()))
+        return out
+
+    if pattern == public_tokenizers.PATTERN:
+        return bpe, lambda texts, cache=PieceCache(encode, spaced=True): batched(cache.of, texts)
+    return bpe, lambda texts: ([[x]] for x in encode(texts))
 
 
 def byte_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row, and with ids=True the ids and the decoded text as well.
 
     ranks: path of a `.tiktoken` file; pattern: its split pattern, each match of which is encoded by itself. Null text
-    counts as empty: no tokens. Repeated or null ids stay rows of their own; other columns are not read.
+    counts as empty: no tokens. Long texts are encoded whole, in parts where the pattern has safe cuts. Repeated or null ids
+    stay rows of their own; other columns are not read. An empty table gives an empty result.
     """
     vocab = shipped(docs.sparkSession, ranks)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        bpe, cache = coder(vocab.value, pattern)
+        data = vocab.value
+        bpe, encode = resident(("bpe", hash(data), pattern), lambda: coder(data, pattern))
         digits = {i: str(i) for i in bpe.bytes_of}
         for batch in by_bytes(batches, "text", 1 << 20):
             out: list[list] = [[], [], [], [], []]
-            for parts in batched(cache.of, texts_of(batch)):
+            for parts in encode(texts_of(batch)):
                 doc = np.frombuffer(b"".join(chain.from_iterable(parts)), np.uint32).tolist()
                 decoded = b"".join(map(bpe.bytes_of.__getitem__, doc))
                 out[0].append(len(doc))

@@ -2,27 +2,72 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LANG_LIMIT = 1000
+#: Bytes that an operator's memo of words may take in a worker process before it is emptied.
+MEMO_MOST = 64 << 20
+_resident: dict = {}
+_own_folder: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, as in tests, a folder of our own."""
+    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, as in tests on one machine, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
+        found = _own_folder[0]
     return found.rstrip("/")
 
 
+class Memo(dict):
+    """Values by key in a worker process, with the bytes they take; `room` empties it beyond `most`, so memory is bounded whatever the keys."""
+
+    def __init__(self, most: int = MEMO_MOST):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def fill(self, keys: list, values: list) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.held += 100 * len(keys) + sum(map(sys.getsizeof, keys)) + sum(map(sys.getsizeof, values))
+
+    def room(self) -> bool:
+        """True if it had to be emptied."""
+        full = self.held > self.most
+        if full:
+            self.clear()
+            self.held = 0
+        return full
+
+
+def resident(key: tuple, build: Callable[[], object]):
+    """What an operator keeps in a worker process between tasks (its model and memos). Workers are used again by later stages: another operator's is let go first."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _hand_back()
+        _resident[key] = build()
+    return _resident[key]
+
+
+def _hand_back() -> None:
+    """Free memory of this process goes back to the system, where the C library can do that."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df as a table in the shared folder, read again: it cuts the lineage, and a lost executor costs no recomputation."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import LANG_LIMIT, by_bytes, fold, table, texts_of
+from tapewright.llm.common import Memo, by_bytes, fold, resident, table, texts_of
 
 ORDER = 5
+#: Labels; beyond, the models of all languages don't fit in a worker, and none is left out but an error raised.
+LANG_LIMIT = 1000
 START, END = "\x02", "\x03"
 UND = "und"
 #: Of the texts kept for calibration, the share within the limit, and the room left above it.
@@ -159,12 +161,11 @@ def _gram_hash(grams: list[str], k: int) -> np.ndarray:
 class Scorer:
     """Log-probabilities of white-space tokens under every language, each distinct token once."""
 
-    def __init__(self, models: list[Model], most: int = 600_000):
-        self.models, self.most, self.find = models, most, _letters()
+    def __init__(self, models: list[Model]):
+        self.models, self.find, self.at = models, _letters(), Memo()
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
         self.values = np.zeros((1024, len(self.models) + 2), np.float32)  # a log-probability a language, characters, words
 
     def _add(self, new: list[str]) -> None:
@@ -184,11 +185,12 @@ class Scorer:
                 self.values[first : first + n, j] = np.bincount(to, m.log_p(grams, contexts)[back], n)
             self.values[first : first + n, -2] = np.bincount(to, minlength=n)
             self.values[first : first + n, -1] = np.bincount(owner, minlength=n)
-        self.at.update(zip(new, range(first, first + n), strict=True))
+        self.at.fill(new, range(first, first + n))
+        self.at.held += n * self.values.itemsize * self.values.shape[1]
 
     def of(self, texts: list[str]) -> np.ndarray:
         """A row for each text: a log-probability for each language, characters, words."""
-        if len(self.at) > self.most:
+        if self.at.room():
             self.clear()
         split = [t.split() for t in texts]
         self._add(list(set(chain.from_iterable(split)).difference(self.at)))
@@ -248,14 +250,8 @@ def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col:
     return sorted((r["lang"], bytes(r["model"])) for r in got)
 
 
-_scorers: dict[int, tuple[list[str], Scorer]] = {}
-
-
 def _scorer(key: int, sent) -> tuple[list[str], Scorer]:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = [x for x, _ in sent.value], Scorer([Model.loads(m) for _, m in sent.value])
-    return _scorers[key]
+    return resident(("language", key), lambda: ([x for x, _ in sent.value], Scorer([Model.loads(m) for _, m in sent.value])))
 
 
 def with_known_language(docs: DataFrame, models: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:

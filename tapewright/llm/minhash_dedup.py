@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import by_bytes, table, written
+from tapewright.llm.common import Memo, by_bytes, resident, table, written
 from tapewright.llm.components import components
 
 WORDS = 5
@@ -36,7 +36,6 @@ BLOCK, SETS_BLOCK = 1024, 256
 BROADCAST_IDS = 2_000_000
 _MULTIPLY = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(HASHES + WORDS + 2)], np.uint64)
 _ODD = (_MULTIPLY[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_words: dict[bytes, int] = {}
 
 
 def most_apart(least: int) -> int:
@@ -66,15 +65,15 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """
     import xxhash
 
-    if len(_words) > 500_000:
-        _words.clear()
+    memo = resident(("shingles",), Memo)
+    memo.room()
     split = [t.encode().lower().split() for t in texts]  # of bytes: both touch ASCII only
-    new = set(chain.from_iterable(split)).difference(_words)
-    _words.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
+    new = list(set(chain.from_iterable(split)).difference(memo))
+    memo.fill(new, list(map(xxhash.xxh3_64_intdigest, new)))
     out = []
     for words in split:
         n = len(words)
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+        h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
         with np.errstate(over="ignore"):
             if n >= WORDS:
                 s = h[: n - WORDS + 1] * _MULTIPLY[0]

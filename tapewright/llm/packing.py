@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -23,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import by_bytes, shipped, table, texts_of, written
-from tapewright.llm.pieces import ASCII_WORD, PieceCache, batched, kind_of
+from tapewright.llm.common import Memo, by_bytes, resident, shipped, table, texts_of, written
+from tapewright.llm.pieces import PieceCache, batched, kind_of
 
 MOST_PLACEMENTS = 200_000
-_encoders: dict[int, object] = {}
 
-#: Words that lower-casing and NFC leave as long as they are: printable ASCII and composed Latin letters.
-_LATIN = re.compile("[!-~À-ÖØ-öø-įĲ-ňŊ-ž]*")
-_LATIN_WORD = re.compile(ASCII_WORD.pattern.replace("a-z", "a-zß-öø-ž"), re.ASCII)
+#: Texts that lower-casing and NFC leave as long as they are: printable ASCII, white space and composed Latin letters.
+_LATIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-įĲ-ňŊ-ž]*")
+#: pieces.WORD_PATTERN for such texts in lower case, its commonest branch first.
+_LATIN_PARTS = re.compile(r"[a-zß-öø-ž]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ž0-9]+", re.ASCII)
 
 
 def _byte_letters() -> list[str]:
@@ -48,39 +50,32 @@ def _byte_letters() -> list[str]:
 
 def ids_encoder(data: bytes):
     """A function from texts to lists of parts, each part a list of byte strings of unsigned 32-bit ids."""
-    key = hash(data)
-    if key in _encoders:
-        return _encoders[key]
     from tokenizers import Tokenizer
 
     vocab, kind = Tokenizer.from_str(data.decode()), kind_of(data)
     whole = lambda texts: [np.array(x.ids, "<u4").tobytes() for x in vocab.encode_batch_fast(texts, add_special_tokens=False)]
     if kind == "whole":
-        _encoders[key] = lambda texts: ([[x]] for x in whole(texts))
-        return _encoders[key]
-    letters, model, known = _byte_letters(), vocab.model, {}
-
-    def words(new: list[str]) -> list[bytes]:
-        """Latin words are split by the vocabulary's own pattern and each distinct part goes through its BPE model once; others go through the whole tokenizer."""
-        if len(known) > 500_000:
-            known.clear()
-        rest = [w for w in new if not _LATIN.fullmatch(w) or "<|" in w]
-        got = dict(zip(rest, whole(rest), strict=True)) if rest else {}
-        out = []
-        for w in new:
-            ids = got.get(w)
-            if ids is None:
-                parts = _LATIN_WORD.findall(w.lower())
-                for p in parts:
-                    if p not in known:
-                        known[p] = np.array([x.id for x in model.tokenize("".join(map(letters.__getitem__, p.encode())))], "<u4").tobytes()
-                ids = b"".join(map(known.__getitem__, parts))
-            out.append(ids)
-        return out
-
-    cache = PieceCache(words if kind == "word" else whole, spaced=kind == "byte", most=700_000)
-    _encoders[key] = lambda texts: batched(cache.of, texts)
-    return _encoders[key]
+        return lambda texts: ([[x]] for x in whole(texts))
+    if kind == "byte":
+        return lambda texts, cache=PieceCache(whole, spaced=True): batched(cache.of, texts)
+    letters, model, known, words = _byte_letters(), vocab.model, Memo(), PieceCache(whole, spaced=False)
+
+    def part(p: str) -> bytes:
+        ids = array("I", [x.id for x in model.tokenize(p if p.isascii() else "".join(map(letters.__getitem__, p.encode())))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def parts(texts: list[str]) -> list[list[bytes]]:
+        """Latin texts are split by the vocabulary's own pattern and each distinct part goes through its BPE model once; words of others go through the whole tokenizer."""
+        known.room()
+        split = [_LATIN_PARTS.findall(t.lower()) if "<|" not in t and _LATIN.fullmatch(t) else None for t in texts]
+        new = list(set(chain.from_iterable(x for x in split if x)).difference(known))
+        known.fill(new, list(map(part, new)))
+        rest = iter(words.of([t for t, x in zip(texts, split, strict=True) if x is None]))
+        return [next(rest) if x is None else list(map(known.__getitem__, x)) for x in split]
+
+    return lambda texts: batched(parts, texts)
 
 
 def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int, int, int, int, int]]:
@@ -145,7 +140,8 @@ def pieces(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | Non
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part = ids_encoder(vocab.value), TaskContext.get().partitionId()
+        data = vocab.value
+        encode, part = resident(("ids", hash(data)), lambda: ids_encoder(data)), TaskContext.get().partitionId()
         tail = b"" if end_id is None else end_id.to_bytes(4, "little")
         seen: dict[int, int] = {}
         for batch in by_bytes(batches, "text"):

@@ -16,14 +16,14 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
+from tapewright.llm.common import MEMO_MOST, Memo
+
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _SAFE = re.compile(r"(?<=\S)(?= )")
 
 # The split pattern of the two public vocabularies with cuts at spaces.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: WORD_PATTERN for lower-case ASCII text.
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 def kind_of(tokenizer_json: bytes) -> str:
@@ -58,22 +58,20 @@ def chunks(text: str, most: int = 1 << 18) -> Iterator[str]:
 
 
 class PieceCache:
-    """Values of pieces; `encode` gets the distinct new ones of a batch at once. Emptied beyond `most` pieces, so memory is bounded."""
+    """Values of pieces; `encode` gets the distinct new ones of a batch at once. Memory is bounded by Memo's bytes and a batch's."""
 
-    def __init__(self, encode: Callable[[list[str]], list], spaced: bool, most: int = 400_000):
-        self.encode, self.spaced, self.most = encode, spaced, most
-        self.words: dict[str, object] = {}  # of a word after one space
-        self.plain: dict[str, object] = {}  # of a piece as it stands
+    def __init__(self, encode: Callable[[list[str]], list], spaced: bool, most: int = MEMO_MOST):
+        self.encode, self.spaced = encode, spaced
+        self.words = Memo(most)  # of a word after one space
+        self.plain = Memo(most // 4)  # of a piece as it stands
 
-    def _fill(self, cache: dict, new: list[str], prefix: str) -> None:
+    def _fill(self, cache: Memo, new: list[str], prefix: str) -> None:
         if new:
-            cache.update(zip(new, self.encode([prefix + w for w in new] if prefix else new), strict=True))
+            cache.fill(new, self.encode([prefix + w for w in new] if prefix else new))
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces, in order."""
-        if len(self.words) + len(self.plain) > self.most:
-            self.words.clear()
-            self.plain.clear()
+        self.words.room(), self.plain.room()
         split, odd = [], {}
         first: list[str] = []
         for i, text in enumerate(texts):
@@ -88,7 +86,8 @@ class PieceCache:
                     first.append(words[0])
         words_of = [w[1:] for w in split] if self.spaced else split
         self._fill(self.words, list(set(chain.from_iterable(words_of)).difference(self.words)), " " if self.spaced else "")
-        self._fill(self.plain, list(set(first).difference(self.plain)), "")
+        if self.spaced:
+            self._fill(self.plain, list(set(first).difference(self.plain)), "")
         out, get, plain = [], self.words.__getitem__, self.plain
         for i, words in enumerate(words_of):
             if i in odd:

@@ -11,33 +11,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm.common import by_bytes, shipped, table, texts_of
+from tapewright.llm.common import MEMO_MOST, by_bytes, resident, shipped, table, texts_of
 from tapewright.llm.pieces import PieceCache, batched, kind_of
 
-_counters: dict[tuple[str, int], object] = {}
-
-
 def _counter(name: str, data: bytes):
-    """A function from texts to their token counts, one for each vocabulary and worker process."""
-    key = (name, hash(data))
-    if key not in _counters:
-        if name.endswith(".model"):
-            import sentencepiece
+    """A function from texts to their token counts."""
+    if name.endswith(".model"):
+        import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_proto=data)
-            _counters[key] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-        else:
-            from tokenizers import Tokenizer
+        model = sentencepiece.SentencePieceProcessor(model_proto=data)
+        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+    from tokenizers import Tokenizer
 
-            vocab = Tokenizer.from_str(data.decode())
-            lengths = lambda texts: [len(x) for x in vocab.encode_batch_fast(texts, add_special_tokens=False)]
-            kind = kind_of(data)
-            if kind == "whole":
-                _counters[key] = lengths
-            else:
-                cache = PieceCache(lengths, spaced=kind == "byte", most=1_000_000)
-                _counters[key] = lambda texts: [sum(map(sum, parts)) for parts in batched(cache.of, texts)]
-    return _counters[key]
+    vocab = Tokenizer.from_str(data.decode())
+    lengths = lambda texts: [len(x) for x in vocab.encode_batch_fast(texts, add_special_tokens=False)]
+    kind = kind_of(data)
+    if kind == "whole":
+        return lengths
+    cache = PieceCache(lengths, spaced=kind == "byte", most=2 * MEMO_MOST)
+    return lambda texts: [sum(map(sum, parts)) for parts in batched(cache.of, texts)]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", over: int = 512) -> DataFrame:
@@ -55,7 +47,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = _counter(name, vocab.value)
+        data = vocab.value
+        counter = resident(("counts", name, hash(data)), lambda: _counter(name, data))
         for batch in by_bytes(batches, "text"):
             n = counter(texts_of(batch))
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())

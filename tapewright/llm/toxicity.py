@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import by_bytes, fold, table, texts_of
+from tapewright.llm.common import Memo, by_bytes, fold, resident, table, texts_of
 
 SPAN, DECAY = 7, 0.7
 SYMBOLS = 32
@@ -97,14 +97,13 @@ def embedded(words: list[str]) -> np.ndarray:
 class Kernels:
     """Kernel rows of distinct tokens with the landmarks; most tokens are near none and share row 0."""
 
-    def __init__(self, landmarks: list[str], most: int = 600_000):
+    def __init__(self, landmarks: list[str]):
         self.columns = embedded(landmarks)
         self.upper = self.columns.max(axis=1) if landmarks else np.zeros(SYMBOLS**3, np.float32)
-        self.most = most
+        self.at = Memo()
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
         self.rows = [np.zeros(self.columns.shape[1], np.float32)]
 
     def rows_of(self, words: list[str]) -> np.ndarray:
@@ -136,16 +135,19 @@ class Kernels:
         words = [_trimmed(t) for t in tokens]
         rows = self.rows_of(words)
         near = rows.any(axis=1)
-        for t, w, ok, row in zip(tokens, words, near.tolist(), rows, strict=True):
+        at = []
+        for w, ok, row in zip(words, near.tolist(), rows, strict=True):
             if ok:
-                self.at[t] = len(self.rows)
-                self.rows.append(row)
+                at.append(len(self.rows))
+                self.rows.append(row.copy())
+                self.at.held += 200 + row.nbytes
             else:
-                self.at[t] = -1 if len(w) == 1 else 0
+                at.append(-1 if len(w) == 1 else 0)
+        self.at.fill(tokens, at)
 
     def of(self, texts: list[str]) -> np.ndarray:
         """A row for each text: its closest word's kernel with each landmark."""
-        if len(self.at) > self.most:
+        if self.at.room():
             self.clear()
         split = [t.split() for t in texts]
         self._add(list(set(chain.from_iterable(split)).difference(self.at)))
@@ -276,20 +278,15 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 60
     return bytes(got[0]["model"]) if got else fit([], np.zeros(0, bool)).dumps()
 
 
-_machines: dict[int, Machine] = {}
-
-
 def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5) -> DataFrame:
     """(id, score, predicted) of every row: predicted is 1 from a score of `reject` on. A null text is scored as an empty one. Other columns are not read."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), hash(model)
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), ("toxicity", hash(model))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        if key not in _machines:
-            _machines.clear()
-            _machines[key] = Machine.loads(sent.value)
+        machine = resident(key, lambda: Machine.loads(sent.value))
         for batch in by_bytes(batches, "text"):
-            score = _machines[key].score(texts_of(batch))
+            score = machine.score(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64()), pa.array((score >= reject).astype("i4"), pa.int32())], ["id", "score", "predicted"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, score double, predicted int").withColumnRenamed("id", id_col)
@@ -297,14 +294,12 @@ def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
 
 def without_toxic(docs: DataFrame, model: bytes, text_col: str = "text", reject: float = 0.5) -> DataFrame:
     """The rows scored below `reject`, with all their columns; rows are scored where they lie, so no text is shuffled."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), hash(model)
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), ("toxicity", hash(model))
 
     def run(batches):
-        if key not in _machines:
-            _machines.clear()
-            _machines[key] = Machine.loads(sent.value)
+        machine = resident(key, lambda: Machine.loads(sent.value))
         for batch in by_bytes(batches, text_col):
-            yield batch.filter(pa.array(_machines[key].score(texts_of(batch, text_col)) < reject))
+            yield batch.filter(pa.array(machine.score(texts_of(batch, text_col)) < reject))
 
     return docs.mapInArrow(run, docs.schema)
 
