@@ -75,6 +75,22 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """rows with the columns of their class (null for rows without one). classes: a row for each value of keys, with its number of rows n.
+
+    Classes of more rows than a quarter of a partition's even share meet their rows by broadcast: there are under four of them
+    a shuffle partition. The others meet in a shuffle, in which no key stands out; rows with a null key don't take part in it.
+    """
+    share = total / (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    large, small = classes.where(F.col(n) > share), classes.where(F.col(n) <= share)
+    rest, there = rows.columns, F.lit(True)
+    for k in keys:
+        there = there & F.col(k).isNotNull()
+    sided = rows.where(there).join(F.broadcast(large), keys, "left")
+    shuffled = sided.where(F.col(n).isNull()).select(rest).join(small, keys, "left")
+    return sided.where(F.col(n).isNotNull()).unionByName(shuffled).unionByName(rows.where(~there), allowMissingColumns=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,14 +1,16 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-1. Equal vectors are one node. Centroids are fitted on a bounded sample; a node belongs to its OVERLAP nearest clusters.
+1. Equal vectors are one node. Nodes are dealt to clusters: centroids are fitted on a bounded sample, a node belongs to its
+   OVERLAP nearest ones and is at home in the nearest. Clusters that come out too large are divided again in the same way.
 2. Each cluster (a shard) builds a graph: every node keeps, of its nearest neighbours, those that no kept one is much closer
    to (robust pruning), with the reverse edges. Adjacency lists of a node in several shards are united.
-3. Every node is looked up in its PROBES nearest shards: a greedy best-first search from its own place in the shard, if it is
-   there, and from rows that together lead to every row of the shard; from what is in range the search goes on as long as
-   neighbours lie within the range and a margin around it.
-4. Pairs found are verified by their cosine in double precision. Recall is audited against brute force for a bounded set of
-   nodes over all nodes; below RECALL the number of probes is doubled, up to all shards, and if that isn't enough, all blocks
-   of nodes are compared exactly.
+3. Every node is looked up in its PROBES nearest shards and in all that are nearly as near: a greedy best-first search from its
+   own place in the shard, if it is there, and from rows that together lead to every row of the shard; from what is in range
+   the search goes on as long as neighbours lie within the range and a margin around it.
+4. What it finds is verified by the cosine in double precision. A pair counts where its larger node is at home, so tasks hand
+   on only sums of links and what links connect, at most a row a node, and never the pairs.
+5. Recall is audited against brute force for a bounded set of nodes over all nodes; below RECALL the number of probes is
+   doubled, up to all shards, and if that isn't enough, all blocks of nodes are compared exactly.
 
 A cluster of more than SHARD_MOST nodes is several shards (by a hash of the node), all of which its queries search, in as
 many turns as its own questions need, so a task's memory is bounded whatever the data.
@@ -16,21 +18,30 @@ many turns as its own questions need, so a task's memory is bounded whatever the
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import table, written
-from tapewright.llm.components import components
+from tapewright.llm.common import table, with_class, written
+from tapewright.llm.components import components, spanning
 
 LEAST = 0.95
 SHARD, SHARD_MOST, QUERIES_MOST = 1000, 4000, 4000
+#: Clusters of more nodes are divided again, and how often at most.
+DIVIDED, LEVELS = 32_000, 4
 OVERLAP, PROBES = 3, 6
-SAMPLE, CENTROIDS_MOST = 20_000, 4096
+#: Clusters whose centroid is less than so much further off (in cosine) than the nearest one are searched as well.
+NEARLY = 0.02
+SAMPLE, CENTROIDS_MOST, CHUNK_BYTES = 20_000, 4096, 64 << 20
 DEGREE, POOL, ALPHA, BEAM, MARGIN = 24, 96, 1.2, 32, 0.10
-AUDITED, RECALL = 256, 0.99
+#: The audit takes AUDITED nodes, four times as many while it has seen fewer than SEEN links, AUDITED_MOST at most.
+AUDITED, AUDITED_MOST, SEEN, RECALL = 256, 4096, 200, 0.99
+PAIRS_HELD = 1 << 20
+_log = logging.getLogger(__name__)
 
 
 def unit(values) -> np.ndarray | None:
@@ -50,17 +61,20 @@ def unit(values) -> np.ndarray | None:
 def _units(batches):
     import xxhash
 
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
     for batch in batches:
-        nodes, data, dims = [], [], []
+        columns: list[list] = [[], [], [], []]
         for x in batch.column("vec").to_pylist():
             v = unit(x)
-            if v is None:
-                nodes.append(None), data.append(None), dims.append(None)
-            else:
+            row = (None,) * 4
+            if v is not None:
                 b = v.tobytes()
-                h = xxhash.xxh3_64_intdigest(b, seed=len(v))
-                nodes.append(h - (1 << 64) if h >> 63 else h), data.append(b), dims.append(len(v))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(data, pa.binary()), pa.array(dims, pa.int32())], ["id", "node", "vec", "dim"])
+                h = xxhash.xxh3_128_intdigest(b)
+                row = signed(h >> 64), signed(h & ((1 << 64) - 1)), b, len(v)
+            for column, y in zip(columns, row, strict=True):
+                column.append(y)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "h1", "h2", "vec", "dim"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -153,6 +167,76 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, q:
     return ids[cos >= least]
 
 
+def fitted_centroids(members: DataFrame, most: int) -> DataFrame:
+    """(dim, cluster, k, chunks, data) for each cluster of more than `most` nodes, fitted on about SAMPLE of them: k centroids, and in how many chunks its rows are dealt to them."""
+    sizes = members.groupBy("dim", "cluster").agg(F.count("*").alias("rows")).where(F.col("rows") > most)
+    draw = F.pmod(F.xxhash64("node"), F.lit(1_000_003)) / 1_000_003
+    sample = members.join(sizes, ["dim", "cluster"]).where(draw < SAMPLE / F.col("rows")).select("dim", "cluster", "rows", "node", "vec")
+
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        x, rows = _matrix(frame.sort_values("node")["vec"]), int(frame["rows"].iloc[0])
+        k = int(min(len(x), CENTROIDS_MOST, -(-rows // SHARD)))
+        return pd.DataFrame({"dim": [key[0]], "cluster": [key[1]], "k": [k], "chunks": [-(-rows * x.shape[1] * 8 // CHUNK_BYTES)], "data": [centroids(x, k).tobytes()]})
+
+    return sample.groupBy("dim", "cluster").applyInPandas(fit, "dim int, cluster long, k int, chunks int, data binary")
+
+
+def divided(rows: DataFrame, centres: DataFrame, most: int, nearly: float = 0.0) -> DataFrame:
+    """rows (dim, cluster, home, node, vec, n), those of clusters with centroids dealt to their `most` nearest new clusters and to all that are `nearly` as near; they are at home in the nearest."""
+    chunk = F.pmod(F.xxhash64("node", F.lit(17)), F.col("chunks")).cast("int")
+    asked = rows.join(centres.select("dim", "cluster", "chunks"), ["dim", "cluster"]).withColumn("chunk", chunk).drop("chunks")
+    given = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+    def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        near = []
+        if len(left):
+            c = np.frombuffer(right["data"].iloc[0], np.float64).reshape(right["k"].iloc[0], -1)
+            x, base = _matrix(left["vec"]), left["cluster"].to_numpy() * CENTROIDS_MOST
+            for start in range(0, len(x), 4096):
+                cos = x[start : start + 4096] @ c.T
+                order = np.argsort(-cos, axis=1, kind="stable")
+                wanted = np.maximum((cos > cos.max(axis=1, keepdims=True) - nearly).sum(axis=1), most)
+                near += [b + own[:w] for b, own, w in zip(base[start : start + 4096], order, wanted, strict=True)]
+        return left[["dim", "home", "node", "vec", "n"]].assign(near=near)
+
+    key = ["dim", "cluster", "chunk"]
+    dealt = asked.groupBy(*key).cogroup(given.groupBy(*key)).applyInPandas(deal, "dim int, home boolean, node long, vec binary, n long, near array<long>")
+    dealt = dealt.select("dim", "home", "node", "vec", "n", F.posexplode("near").alias("nth", "cluster"))
+    dealt = dealt.select("dim", "cluster", (F.col("home") & (F.col("nth") == 0)).alias("home"), "node", "vec", "n")
+    return rows.join(centres.select("dim", "cluster"), ["dim", "cluster"], "left_anti").select(dealt.columns).unionByName(dealt)
+
+
+class Shards:
+    """Overlapping clusters of nodes (node, vec, dim, n), and in each of them a graph."""
+
+    def __init__(self, nodes: DataFrame):
+        self.base = nodes.select("dim", F.lit(0).cast("long").alias("cluster"), F.lit(True).alias("home"), "node", "vec", "n")
+        self.levels: list[DataFrame] = []
+        members, most = self.base, SHARD
+        for level in range(LEVELS):
+            centres = written(fitted_centroids(members, most), "centroids")
+            if centres.isEmpty():
+                break
+            self.levels.append(centres)
+            members = written(divided(members, centres, 2 if level else OVERLAP), "members")
+            most = DIVIDED
+        self.most_probes = max([1, *(c.agg(F.max("k")).first()[0] for c in self.levels)])
+        shards = members.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("shards"))
+        self.shards = written(shards, "shards")
+        members = members.join(self.shards, ["dim", "cluster"]).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(3)), F.col("shards")).cast("int")).drop("shards")
+        key = ["dim", "cluster", "shard"]
+        graph = members.groupBy(*key).applyInPandas(_build, "node long, near array<long>")
+        united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # as many lists as the node has shards
+        self.graph = written(members.join(united, "node", "left").select(*key, "home", "node", "vec", "n", F.coalesce("near", F.array().cast("array<long>")).alias("near")), "graph")
+
+    def asked(self, probes: int) -> DataFrame:
+        """The nodes as questions to their nearest clusters."""
+        rows = self.base
+        for level, centres in enumerate(self.levels):
+            rows = divided(rows, centres, max(2, 2 * probes // 3) if level else probes, NEARLY)
+        return rows.select("dim", "cluster", "node", "vec", "n")
+
+
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("node")
     node = frame["node"].to_numpy()
@@ -160,12 +244,46 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "near": [node[x] for x in lists]})
 
 
+class Tally:
+    """Links as sums a node and as what they connect; pairs are held only until PAIRS_HELD."""
+
+    def __init__(self):
+        self.pairs: list[tuple] = []
+        self.out: list[tuple] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Links between nodes a and b, which stand for n_a and n_b vectors."""
+        self.pairs.append((a, b, n_a, n_b))
+        self.held += len(a)
+        if self.held > PAIRS_HELD:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.held:
+            a, b, n_a, n_b = map(np.concatenate, zip(*self.pairs, strict=True))
+            node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([n_b, n_a]), len(node)).astype(np.int64)
+            p, q = spanning(a, b)
+            self.out += [(node, node, sums), (p, q, np.zeros(len(p), np.int64))]
+        self.pairs, self.held = [], 0
+
+    def frame(self) -> pd.DataFrame:
+        """(a, b, links): a node's sum where a = b, else what connects a and b."""
+        self._settle()
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({c: np.concatenate(none + [x[i] for x in self.out]) for i, c in enumerate(("a", "b", "links"))})
+
+
+TALLY = "a long, b long, links long"
+
+
 def _search(least: float):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.drop_duplicates("node").sort_values("node")
-        x, node = _matrix(left["vec"]), left["node"].to_numpy()
-        out: dict[str, list] = {"a": [], "b": [], "cosine": []}
-        if len(node) and len(right):
+        left = left.sort_values("node")
+        tally = Tally()
+        if len(left) and len(right):
+            x, node, n, home = _matrix(left["vec"]), left["node"].to_numpy(), left["n"].to_numpy(), left["home"].to_numpy(bool)
             lists = []
             for own in left["near"]:  # neighbours in other shards aren't here
                 own = np.asarray(own, np.int64)
@@ -174,13 +292,14 @@ def _search(least: float):
             starts = entries(x, lists)
             asked = right["node"].to_numpy()
             own_at = np.minimum(np.searchsorted(node, asked), len(node) - 1)
-            for q_node, q, own in zip(asked, _matrix(right["vec"]), own_at, strict=True):
+            for q_node, q_n, q, own in zip(asked, right["n"].to_numpy(), _matrix(right["vec"]), own_at, strict=True):
                 from_ = np.union1d(starts, own) if node[own] == q_node else starts
-                for i in range_search(x, lists, from_, q, least - 1e-6):
-                    if node[i] != q_node:
-                        a, b = (q, x[i]) if q_node < node[i] else (x[i], q)
-                        out["a"].append(min(q_node, node[i])), out["b"].append(max(q_node, node[i])), out["cosine"].append(float((a * b).sum()))
-        return pd.DataFrame(out).astype({"a": "int64", "b": "int64", "cosine": "float64"})
+                found = range_search(x, lists, from_, q, least - 1e-6)
+                if len(found):
+                    found = found[home[found] & (node[found] > q_node)]
+                    found = found[(x[found] * q).sum(axis=1) >= least]
+                    tally.add(np.full(len(found), q_node), node[found], np.full(len(found), q_n), n[found])
+        return tally.frame()
 
     return search
 
@@ -190,99 +309,94 @@ def turns_of(asking: DataFrame) -> DataFrame:
     return asking.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / QUERIES_MOST).cast("long").alias("turns"))
 
 
-def links_of(nodes: DataFrame, least: float, probes: int, centres) -> DataFrame:
-    """Verified links (a, b, cosine) between nodes, a < b, by graph search in `probes` shards a node."""
-    spark = nodes.sparkSession
-    sent = spark.sparkContext.broadcast(centres)
-
-    def assign(most: int):
-        def run(batches):
-            for batch in batches:
-                for dim in set(batch.column("dim").to_pylist()):
-                    part = batch.filter(pa.array([d == dim for d in batch.column("dim").to_pylist()]))
-                    c = sent.value.get(dim)
-                    order = np.argsort(-(_matrix(part.column("vec").to_pylist()) @ c.T), axis=1)[:, :most]
-                    rows = np.repeat(np.arange(len(order)), order.shape[1])
-                    part = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([part.column("node"), part.column("vec"), part.column("dim"), pa.array(order.ravel().astype("i4"))], ["node", "vec", "dim", "cluster"])
-
-        return run
-
-    schema = "node long, vec binary, dim int, cluster int"
-    base = nodes.select("node", "vec", "dim")
-    members = base.mapInArrow(assign(OVERLAP), schema)
-    sizes = members.groupBy("dim", "cluster").count().withColumn("shards", F.ceil(F.col("count") / SHARD_MOST).cast("int")).select("dim", "cluster", "shards")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("shards")).cast("int")
-    members = written(members.join(F.broadcast(sizes), ["dim", "cluster"]).withColumn("shard", own).drop("shards"), "members")  # as many sizes as centroids
-    key = ["dim", "cluster", "shard"]
-    graph = members.groupBy(*key).applyInPandas(_build, "node long, near array<long>")
-    united = graph.select("node", F.explode("near").alias("near")).distinct().groupBy("node").agg(F.collect_list("near").alias("near"))
-    left = written(members.join(united, "node", "left").select(*key, "node", "vec", F.coalesce("near", F.array().cast("array<long>")).alias("near")), "graph")
-    asking = base.mapInArrow(assign(probes), schema)
+def links_of(shards: Shards, least: float, probes: int) -> DataFrame:
+    """The tally of verified links by graph search in `probes` clusters a node."""
+    asking = written(shards.asked(probes), "questions")
     turns = written(turns_of(asking), "turns")
-    asked = asking.join(F.broadcast(turns), ["dim", "cluster"]).join(F.broadcast(sizes), ["dim", "cluster"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    asked = asking.join(turns, ["dim", "cluster"]).join(shards.shards, ["dim", "cluster"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     # a shard that many nodes ask is read by several tasks, each with some of the questions
     asked = asked.withColumn("turn", F.pmod(F.xxhash64("node", F.lit(5)), F.col("turns"))).drop("turns")
-    left = left.join(F.broadcast(turns), ["dim", "cluster"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
-    key = [*key, "turn"]
-    found = left.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(least), "a long, b long, cosine double")
-    return written(found.where(F.col("cosine") >= least).dropDuplicates(["a", "b"]), "links")
+    left = shards.graph.join(turns, ["dim", "cluster"]).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
+    key = ["dim", "cluster", "shard", "turn"]
+    return written(left.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(least), TALLY), "links")
 
 
 def _compare(least: float):
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         left, right = frame[~frame["right"]], frame[frame["right"]]
-        out = {"a": [np.zeros(0, np.int64)], "b": [np.zeros(0, np.int64)], "cosine": [np.zeros(0)]}
+        tally = Tally()
         if len(left) and len(right):
-            x, y, p, q = _matrix(left["vec"]), _matrix(right["vec"]), left["node"].to_numpy(), right["node"].to_numpy()
+            x, y = _matrix(left["vec"]), _matrix(right["vec"])
+            (p, m), (q, n) = ((f["node"].to_numpy(), f["n"].to_numpy()) for f in (left, right))
             for start in range(0, len(x), 256):
                 i, j = np.nonzero(x[start : start + 256] @ y.T >= least - 1e-6)
                 i += start
                 if key[1] == key[2]:  # a block with itself
                     i, j = i[p[i] < q[j]], j[p[i] < q[j]]
                 for at in range(0, len(i), 16384):
-                    m, n = i[at : at + 16384], j[at : at + 16384]
-                    out["a"].append(np.minimum(p[m], q[n])), out["b"].append(np.maximum(p[m], q[n])), out["cosine"].append((x[m] * y[n]).sum(axis=1))
-        return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
+                    a, b = i[at : at + 16384], j[at : at + 16384]
+                    ok = (x[a] * y[b]).sum(axis=1) >= least
+                    a, b = a[ok], b[ok]
+                    tally.add(p[a], q[b], m[a], n[b])
+        return tally.frame()
 
     return compare
 
 
 def exact_links(nodes: DataFrame, least: float) -> DataFrame:
-    """All links (a, b, cosine), a < b: every block of about SHARD_MOST nodes meets every block with vectors of its length once."""
+    """The tally of all links: every block of about SHARD_MOST nodes meets every block with vectors of its length once."""
     blocks = nodes.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(13)), F.col("blocks")).cast("int")
-    dealt = nodes.select("node", "vec", "dim").join(F.broadcast(blocks), "dim").withColumn("block", block)
-    left = dealt.select("dim", F.col("block").alias("lb"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("rb"), "node", "vec", F.lit(False).alias("right"))
-    right = dealt.select("dim", F.explode(F.sequence(F.lit(0), "block")).alias("lb"), F.col("block").alias("rb"), "node", "vec", F.lit(True).alias("right"))
-    found = left.unionByName(right).groupBy("dim", "lb", "rb").applyInPandas(_compare(least), "a long, b long, cosine double")
-    return written(found.where(F.col("cosine") >= least), "links")
-
-
-def recall_of(nodes: DataFrame, links: DataFrame, least: float, audited: int = AUDITED) -> tuple[int, int]:
-    """(found, true) links of a bounded set of nodes, by brute force over all nodes."""
-    some = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").select("node", "vec", "dim").limit(audited).collect()
-    sent = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["vec"]), r["dim"]) for r in some])
-
-    def brute(batches):
-        by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim in {d for _, _, d in sent.value}:
-            own = [(n, v) for n, v, d in sent.value if d == dim]
-            by_dim[dim] = np.array([n for n, _ in own]), _matrix([v for _, v in own])
-        for batch in batches:
-            frame = batch.to_pandas()
-            for dim, part in frame.groupby("dim"):
-                if dim in by_dim:
-                    q, x = by_dim[dim]
-                    node = part["node"].to_numpy()
-                    rows, columns = np.nonzero(_matrix(part["vec"]) @ x.T >= least)
-                    a, b = node[rows], q[columns]
-                    ok = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
-
-    true = nodes.select("node", "vec", "dim").mapInArrow(brute, "a long, b long").distinct()
-    both = true.join(links.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left").agg(F.count("found"), F.count("*")).first()
-    return both[0], both[1]
+    dealt = nodes.select("node", "vec", "dim", "n").join(written(blocks, "blocks"), "dim").withColumn("block", block)
+    left = dealt.select("dim", F.col("block").alias("lb"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("rb"), "node", "vec", "n", F.lit(False).alias("right"))
+    right = dealt.select("dim", F.explode(F.sequence(F.lit(0), "block")).alias("lb"), F.col("block").alias("rb"), "node", "vec", "n", F.lit(True).alias("right"))
+    return written(left.unionByName(right).groupBy("dim", "lb", "rb").applyInPandas(_compare(least), TALLY), "links")
+
+
+def recall_of(nodes: DataFrame, links: DataFrame, least: float) -> tuple[int, int, int]:
+    """(found, true, nodes audited): links of a bounded set of nodes, found and by brute force over all nodes. It grows until SEEN links are seen."""
+    spark, audited = nodes.sparkSession, AUDITED
+    while True:
+        some = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").select("node", "vec", "dim").limit(audited).collect()
+        sent = spark.sparkContext.broadcast([(r["node"], bytes(r["vec"]), r["dim"]) for r in some])
+
+        def brute(batches, sent=sent):
+            by_dim, sums = {}, {}
+            for dim in {d for _, _, d in sent.value}:
+                own = [(n, v) for n, v, d in sent.value if d == dim]
+                by_dim[dim] = np.array([n for n, _ in own]), _matrix([v for _, v in own])
+                sums[dim] = np.zeros(len(own), np.int64)
+            for batch in batches:
+                for dim, part in batch.to_pandas().groupby("dim"):
+                    if dim in by_dim:
+                        q, x = by_dim[dim]
+                        near = (_matrix(part["vec"]) @ x.T >= least) & (part["node"].to_numpy()[:, None] != q)
+                        sums[dim] += part["n"].to_numpy() @ near
+            for dim, (q, _) in by_dim.items():
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(sums[dim])], ["a", "true"])
+
+        true = nodes.select("node", "vec", "dim", "n").mapInArrow(brute, "a long, true long").groupBy("a").agg(F.sum("true").alias("true"))
+        got = links.where("a = b").groupBy("a").agg(F.sum("links").alias("found"))
+        both = true.join(got, "a", "left").agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("true"), F.lit(0))).first()
+        if both[1] >= SEEN or len(some) < audited or audited >= AUDITED_MOST:
+            return both[0], both[1], len(some)
+        audited *= 4
+
+
+def audited_links(nodes: DataFrame, least: float) -> DataFrame:
+    """The tally of links, with a recall of RECALL or more by the audit, which is logged."""
+    shards = Shards(nodes)
+    probes = PROBES
+    while True:
+        links = links_of(shards, least, min(probes, shards.most_probes))
+        found, true, audited = recall_of(nodes, links, least)
+        _log.info("%d of %d links of %d audited vectors found in %d clusters each", found, true, audited, min(probes, shards.most_probes))
+        if found >= RECALL * true:
+            return links
+        if probes >= shards.most_probes:
+            _log.warning("the graph search is under a recall of %s: all blocks are compared", RECALL)
+            return exact_links(nodes, least)
+        probes *= 2
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST) -> DataFrame:
@@ -290,56 +404,38 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of different
     lengths with each other: 0 links, a component of their own, kept. Equal vectors are links of each other. A row with a null
-    id has no component and is kept. Repeated ids are rows of their own. An empty table gives an empty result.
+    id has no component and is kept. Repeated ids are rows of their own. An empty table gives an empty result. Other columns
+    are not read.
     """
     id_type = vectors.schema[id_col].dataType.simpleString()
-    rows = written(vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("vec")).mapInArrow(_units, f"id {id_type}, node long, vec binary, dim int"), "units")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec"), F.first("dim").alias("dim")), "nodes")
-    per_dim = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().limit(1001).collect()}
-    if len(per_dim) > 1000:
-        raise ValueError("over 1000 lengths of vectors")
-
-    def fitted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(frame.sort_values("node")["vec"])
-        k = int(min(len(x), CENTROIDS_MOST, -(-per_dim[key[0]] // SHARD)))
-        return pd.DataFrame({"dim": [key[0]], "k": [k], "data": [centroids(x, k).tobytes()]})
-
-    draw = F.pmod(F.xxhash64("node"), F.lit(1_000_003)) / 1_000_003
-    rate = F.lit(1.0)
-    for dim, n in per_dim.items():
-        rate = F.when(F.col("dim") == dim, F.lit(SAMPLE / max(n, 1))).otherwise(rate)
-    sample = nodes.where(draw < rate).select("node", "vec", "dim") if per_dim else nodes.select("node", "vec", "dim")
-    got = sample.groupBy("dim").applyInPandas(fitted, "dim int, k int, data binary").collect()
-    centres = {r["dim"]: np.frombuffer(bytes(r["data"]), np.float64).reshape(r["k"], -1) for r in got}
-    for dim in per_dim:  # so few of a length that none was drawn
-        centres.setdefault(dim, np.eye(1, dim))
-    probes, all_probes = PROBES, max((len(c) for c in centres.values()), default=1)
-    while True:
-        links = links_of(nodes, least, min(probes, all_probes), centres)
-        found, true = recall_of(nodes, links, least)
-        if found >= RECALL * true:
-            break
-        if probes >= all_probes:
-            links = exact_links(nodes, least)
-            break
-        probes *= 2
-
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    known = components(links.select("a", "b"))
-    named = nodes.select("node", "id", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = named.join(smallest, "component").join(degree, "node", "left").select("node", "n", "component_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    of_node = written(of_node, "vector-classes")
-    limit = rows.count() / 1000
-    large = of_node.where(F.col("n") > limit)  # under 1000 nodes
-    slim = rows.select("id", "node")
-    sided = slim.join(F.broadcast(large), "node", "left")
-    rest = sided.where("n IS NULL").select("id", "node").join(of_node.where(F.col("n") <= limit), "node", "left")
-    out = sided.where("n IS NOT NULL").unionByName(rest)
+    rows = written(vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("vec")).mapInArrow(_units, f"id {id_type}, h1 long, h2 long, vec binary, dim int"), "units")
+    equal = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+    nodes = written(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    links = audited_links(nodes, least)
+
+    degree = links.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
+    known = components(links.where("a != b").select("a", "b"))
+    named = nodes.select("node", "h1", "h2", "id", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = written(named.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
+    of_node = named.join(smallest, "component").join(degree, "node", "left").select("h1", "h2", "n", "component_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    slim = rows.select("id", "h1", "h2")
+    out = with_class(slim, written(of_node, "vector-classes"), ["h1", "h2"], slim.count())
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+w AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {LEAST}),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM v LEFT JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""

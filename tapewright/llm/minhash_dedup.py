@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import Memo, by_bytes, resident, table, written
-from tapewright.llm.components import components
+from tapewright.llm.components import components, spanning
 
 WORDS = 5
 HASHES, BITS, WIDTH, DEVIATIONS = 128, 16, 4, 3.7
@@ -185,24 +185,6 @@ def _blocks(keys: list[str], work):
     return run
 
 
-def _forest(p: np.ndarray, q: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links between rows p and q, as few as keep connected what they connect, as nodes: each row with the smallest row it reaches."""
-    rows, ends = np.unique(np.concatenate([p, q]), return_inverse=True)
-    x, y = ends[: len(p)], ends[len(p) :]
-    label = np.arange(len(rows))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low), np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low), np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = label != np.arange(len(rows))
-    return node[rows[own]], node[rows[label[own]]]
-
-
 def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     none = [np.zeros(0, np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + [f[c] for f in found])) for c in (0, 1)], ["a", "b"])
@@ -229,7 +211,7 @@ def _near_edges(least: int, most: int):
                 p, q = p[ok], q[ok]
                 own = first_shared_slot(sig[p], sig[q], errors) == (key[p] & 255)
                 near.append((p[own], q[own]))
-            found.append(_forest(np.concatenate([n[0] for n in near]), np.concatenate([n[1] for n in near]), node))
+            found.append(spanning(node[np.concatenate([n[0] for n in near])], node[np.concatenate([n[1] for n in near])]))
             held_left.clear(), held_right.clear()
 
         for start, end in zip(starts, [*starts[1:], len(node)], strict=True):
@@ -279,7 +261,7 @@ def _links(least: int):
                     i, j = i + start + a, j + start + b
                     ok = comp[i] != comp[j]
                     p.append(i[ok]), q.append(j[ok])
-            found.append(_forest(np.concatenate(p), np.concatenate(q), node))
+            found.append(spanning(node[np.concatenate(p)], node[np.concatenate(q)]))
         return _edges(found)
 
     return _blocks(["group", "lb", "rb"], work)

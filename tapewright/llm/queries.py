@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tapewright.llm.byte_bpe import op10_byte_bpe
-from tapewright.llm.embedding_dedup import op3_embedding_dedup
+from tapewright.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from tapewright.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from tapewright.llm.language_id import op9_language_id
 from tapewright.llm.license_scan import op4_license_scan
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
