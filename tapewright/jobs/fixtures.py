@@ -46,7 +46,7 @@ FROM {lineitem}""",
         "events",
         """SELECT DISTINCT CAST(ts AS DATE) AS date, 'S' || CAST(user_id % 8 AS STRING) AS sym, CAST(60 * hour(ts) AS INT) AS bkt,
   CAST((dayofmonth(ts) * 7919 + hour(ts) * 1861 + (user_id % 8) * 101) % 1009 AS DOUBLE) / 1009 - CAST(0.5 AS DOUBLE) AS pred
-FROM {events} WHERE user_id % 8 <> 0""",
+FROM {events}""",
     ),
 }
 

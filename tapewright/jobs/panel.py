@@ -17,14 +17,32 @@ from tapewright.operators.linear import fit_folds, score
 from tapewright.operators.metrics import oos_r2, rank_ic
 from tapewright.operators.resample import resample
 from tapewright.operators.simulate import BookConfig, simulate
-from tapewright.sources.files import read_raw_bars, write_by_date, write_flat
+from tapewright.sources.files import exists, predictions_text, read_predictions, read_raw_bars, write_by_date, write_csv, write_flat
+from tapewright.sources.scratch import written
 
 
-def build_store(spark: SparkSession, raw_root: str, store: str, months: list[str] | None = None) -> DataFrame:
-    """Cleans raw bars into `store/bars` (by date) and returns the cleaning report. Dates written before are replaced, so it can run again."""
+def build_store(spark: SparkSession, raw_root: str, store: str, months: list[str] | None = None, resume: bool = False, **clean) -> DataFrame:
+    """Cleans raw bars into `store/bars` (by date) and returns the cleaning report of the files read.
+
+    Dates written before are replaced, so it can run again. With resume, the symbol-months that `store/loaded` lists are passed
+    over, and dates that the others touch keep the rows they have. A symbol-month is listed after its rows are written: a run
+    that ends early is made good by the next one. clean: options of clean_bars.
+    """
     raw = read_raw_bars(spark, raw_root, months)
-    write_by_date(clean_bars(raw), f"{store}/bars")
-    return clean_report(raw)
+    files, loaded = raw.select("sym", "month").distinct(), f"{store}/loaded"
+    if resume:
+        if exists(spark, loaded):
+            files = files.join(spark.read.parquet(loaded), ["sym", "month"], "left_anti")
+        files = written(files, "to-load")
+        raw = raw.join(files, ["sym", "month"], "left_semi")
+    bars = clean_bars(raw, **clean)
+    if resume and exists(spark, f"{store}/bars"):
+        there = spark.read.parquet(f"{store}/bars").select(bars.columns).join(bars.select("date").distinct(), "date", "left_semi")
+        there = there.join(bars.select("sym", "time"), ["sym", "time"], "left_anti")
+        bars = written(bars.unionByName(there), "touched-dates")  # the store can't be read while it is written
+    write_by_date(bars, f"{store}/bars")
+    files.write.mode("append" if resume else "overwrite").parquet(loaded)
+    return clean_report(raw, **clean)
 
 
 def build_signals(spark: SparkSession, store: str, daily: DataFrame, factors: DataFrame, minutes: int = 5, config: FeatureConfig | None = None) -> None:
@@ -35,14 +53,23 @@ def build_signals(spark: SparkSession, store: str, daily: DataFrame, factors: Da
 
 
 def walk_forward(rows: DataFrame, labels: list[str], embargo: int = 5, min_train: int = 100_000, min_test: int = 10_000, features: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
-    """(predictions, results): out-of-sample predictions of every fold that is large enough, and their R2 and rank skill."""
-    long = by_label(model_features(rows), labels, features)
-    folds = walk_forward_folds(long, ["label"], embargo)
-    folds = folds.join(fold_sizes(long, folds, ["label"], min_train, min_test).select("label", "fold"), ["label", "fold"])
-    models = fit_folds(long, folds, features)
-    scored = score(test_rows(long, folds, ["label"]), models, features)
+    """(predictions, results): out-of-sample predictions of every fold that is large enough, and their R2, rank skill and first coefficient.
+
+    Model rows and scored rows are written once each; folds, sizes and moments read the first, both measures the second.
+    """
+    long = written(by_label(model_features(rows), labels, features), "long")
+    folds = written(walk_forward_folds(long, ["label"], embargo), "folds")
+    folds = written(folds.join(fold_sizes(long, folds, ["label"], min_train, min_test).select("label", "fold"), ["label", "fold"]), "folds")
+    models = written(fit_folds(long, folds, features), "models")
+    scored = written(score(test_rows(long, folds, ["label"]), models, features).select("label", "fold", "date", "sym", "bkt", "y", "pred"), "scored")
     results = oos_r2(scored, ["label", "fold"]).join(rank_ic(scored, "pred", "y", ["label", "fold"]), ["label", "fold"], "left")
-    return scored.select("label", "fold", "date", "sym", "bkt", "y", "pred"), results
+    return scored, results.join(models.select("label", "fold", F.col("beta")[1].alias(f"coef_{features[0]}")), ["label", "fold"])
+
+
+def store_predictions(rows: DataFrame, label: str, path: str, **folds) -> DataFrame:
+    """Out-of-sample predictions of one label as text in `path` (eight significant digits, times as HH:MM), read again as a table."""
+    write_csv(predictions_text(walk_forward(rows, [label], **folds)[0]), path)
+    return read_predictions(rows.sparkSession, path)
 
 
 def backtest(bars: DataFrame, preds: DataFrame, betas: DataFrame, factors: DataFrame, configs: list[BookConfig], proxy: str = "SPY", slip: float = 0.0) -> tuple[DataFrame, DataFrame]:

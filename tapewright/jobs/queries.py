@@ -55,7 +55,7 @@ HOURS = BARS | {
     "hours": """SELECT sym, date_trunc('hour', time) AS time, arg_min_null(open, time) AS open, max(high) AS high, min(low) AS low, arg_max_null(close, time) AS close,
   sum(volume) AS volume, sum(ntrades) AS ntrades, sum(volume * vwap) / sum(volume) AS vwap, min(date) AS date, CAST(60 * hour(date_trunc('hour', min(time))) AS INT) AS bkt FROM bars GROUP BY sym, date_trunc('hour', time)"""
 }
-BETAS = {"betas": "SELECT date, sym, CAST(volume % 7 AS DOUBLE) / 7 + 0.5 AS mkt FROM daily WHERE volume % 3 = 0"}
+BETAS = {"betas": "SELECT date, sym, CAST(volume % 7 AS DOUBLE) / 7 + 0.5 AS mkt FROM daily"}
 RETURNS = HOURS | {"rets": "SELECT *, close / nullif(lag(close) OVER (PARTITION BY sym, date ORDER BY time), 0) - 1 AS ret5 FROM hours"}
 USED = {"used": "SELECT d.sym, d.date, b.mkt, b.bdate FROM (SELECT DISTINCT sym, date FROM bars WHERE sym <> 'S0') d ASOF LEFT JOIN (SELECT sym, date AS bdate, date + 1 AS stamp, mkt FROM betas) b ON d.sym = b.sym AND d.date >= b.stamp"}
 RESID = RETURNS | BETAS | USED | {
@@ -94,7 +94,7 @@ def _hours(spark, sf):
 
 
 def _betas(spark, sf):
-    return load(spark, sf, "daily").where("volume % 3 = 0").select("date", "sym", ((F.col("volume") % 7).cast("double") / 7 + 0.5).alias("mkt"))
+    return load(spark, sf, "daily").select("date", "sym", ((F.col("volume") % 7).cast("double") / 7 + 0.5).alias("mkt"))
 
 
 def _sig(spark, sf):
@@ -132,6 +132,34 @@ def _stand_in_days(spark, sf):
 # ---- sources and sinks
 
 
+@query("s1_s3_raw_bar_files", "sym:s month:s ts:t open:f high:f low:f close:f volume:i ntrades:i vwap:f", "SELECT *, strftime(ts, '%Y-%m') AS month FROM raw_bars", "raw_bars")
+def _(spark, sf):
+    path = scratch_path(spark, "raw")
+    files.write_raw_bars(load(spark, sf, "raw_bars"), path)
+    return files.read_raw_bars(spark, path)
+
+
+@query("s2_s3_raw_files_of_months", "sym:s ts:t volume:i", "SELECT * FROM raw_bars WHERE strftime(ts, '%Y-%m') IN ('2024-01', '2031-07')", "raw_bars")
+def _(spark, sf):
+    path = scratch_path(spark, "raw")
+    files.write_raw_bars(load(spark, sf, "raw_bars"), path)
+    return files.read_raw_bars(spark, path, ["2024-01", "2031-07"])  # no symbol has a file for the second
+
+
+@query("s5_daily_files", "sym:s date:d open:f high:f low:f close:f volume:i", "SELECT * FROM daily", "daily")
+def _(spark, sf):
+    path = scratch_path(spark, "daily")
+    files.write_daily(load(spark, sf, "daily"), path)
+    return files.read_daily(spark, path)
+
+
+@query("s6_factor_files", "date:d mkt_rf:g smb:g hml:g wml:g rf:g", "SELECT * FROM factors", "factors")
+def _(spark, sf):
+    path = scratch_path(spark, "factors")
+    files.write_csv(load(spark, sf, "factors").select("date", "mkt_rf", "smb", "hml", "wml", "rf"), path)
+    return files.read_factors(spark, path)
+
+
 @query("s4_select_months", "sym:s n:i", "SELECT sym, count(*) AS n FROM raw_bars WHERE strftime(ts, '%Y-%m') IN ('2024-01') GROUP BY sym", "raw_bars")
 def _(spark, sf):
     return files.select_months(load(spark, sf, "raw_bars"), ["2024-01"]).groupBy("sym").agg(F.count("*").alias("n"))
@@ -143,15 +171,15 @@ _TEXT = {"f": "SELECT date, CAST(printf('%.8f', mkt_rf * 100) AS DOUBLE) / 100 A
 @query("s7_parse_factor_text", "date:d mkt_rf:g smb:g", "SELECT * FROM f", "factors", _TEXT)
 def _(spark, sf):
     line = F.concat(F.date_format("date", "yyyyMMdd"), F.lit(", "), F.when(F.dayofmonth("date") == 13, F.lit("-99.99")).otherwise(F.format_string("%.8f", F.col("mkt_rf") * 100)), F.lit(", "), F.format_string("%.8f", F.col("smb") * 100))
-    lines = load(spark, sf, "factors").agg(F.sort_array(F.collect_list(line)).alias("lines"))  # a file: as many lines as days
+    lines = load(spark, sf, "factors").groupBy(F.year("date").alias("year")).agg(F.sort_array(F.collect_list(line)).alias("lines"))  # a file a year: as many lines as days
     text = F.concat(F.lit("Banner of the file\n,Mkt-RF,SMB\n"), F.array_join("lines", "\n"), F.lit("\n\nAnnual\n20240101, 9.9, 9.9\n"))
     return files.parse_factor_text(lines.select(text.alias("value")), ["mkt_rf", "smb"])
 
 
-@query("s8_merge_factors", "date:d mkt_rf:g wml:g", "SELECT date, mkt_rf, wml FROM factors WHERE day(date) % 7 <> 0 AND day(date) % 5 <> 0", "factors")
+@query("s8_merge_factors", "date:d mkt_rf:g wml:g", "SELECT f.date, mkt_rf, m.wml FROM factors f JOIN (SELECT date, CAST(max(volume) AS DOUBLE) / 1000 AS wml FROM daily GROUP BY date) m ON f.date = m.date", "factors daily")
 def _(spark, sf):
-    f = load(spark, sf, "factors")
-    return files.merge_factors(f.where(F.dayofmonth("date") % 7 != 0).drop("wml"), f.where(F.dayofmonth("date") % 5 != 0).select("date", "wml"))
+    momentum = load(spark, sf, "daily").groupBy("date").agg((F.max("volume").cast("double") / 1000).alias("wml"))
+    return files.merge_factors(load(spark, sf, "factors").drop("wml"), momentum)
 
 
 @query("s9_predictions_round_trip", "date:d sym:s bkt:i pred:f", "SELECT date, sym, bkt, CAST(printf('%.8g', pred) AS DOUBLE) AS pred FROM preds", "preds")
@@ -351,18 +379,18 @@ def _(spark, sf):
 # ---- joins
 
 
-@query("j3_asof_events", "event_id:i user_id:i price:f", "SELECT l.event_id, l.user_id, r.value AS price FROM (SELECT * FROM events WHERE event_id % 5 <> 0) l ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts")
+@query("j3_asof_events", "event_id:i user_id:i price:f", "SELECT l.event_id, l.user_id, r.value AS price FROM (SELECT * FROM events WHERE event_type <> 'purchase') l ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts")
 def _(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    right = e.where("event_id % 5 = 0").groupBy("user_id", F.col("ts").alias("rts")).agg(F.max("value").alias("price"))
-    return asof.asof_join(e.where("event_id % 5 != 0"), right, ["user_id"], "ts", "rts", ["price"])
+    right = e.where("event_type = 'purchase'").groupBy("user_id", F.col("ts").alias("rts")).agg(F.max("value").alias("price"))
+    return asof.asof_join(e.where("event_type != 'purchase'"), right, ["user_id"], "ts", "rts", ["price"])
 
 
-@query("j3_asof_in_chunks", "event_id:i g:i price:f", "SELECT l.event_id, l.g, r.value AS price FROM (SELECT event_id, user_id % 3 AS g, ts FROM events WHERE event_id % 5 <> 0) l ASOF LEFT JOIN (SELECT user_id % 3 AS g, ts, max(value) AS value FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2) r ON l.g = r.g AND l.ts >= r.ts")
+@query("j3_asof_in_chunks", "event_id:i g:i price:f", "SELECT l.event_id, l.g, r.value AS price FROM (SELECT event_id, user_id % 3 AS g, ts FROM events WHERE event_type <> 'purchase') l ASOF LEFT JOIN (SELECT user_id % 3 AS g, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) r ON l.g = r.g AND l.ts >= r.ts")
 def _(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("g", F.col("user_id") % 3)
-    right = e.where("event_id % 5 = 0").groupBy("g", F.col("ts").alias("rts")).agg(F.max("value").alias("price"))
-    return asof.asof_join(e.where("event_id % 5 != 0"), right, ["g"], "ts", "rts", ["price"], chunk="DAY")
+    right = e.where("event_type = 'purchase'").groupBy("g", F.col("ts").alias("rts")).agg(F.max("value").alias("price"))
+    return asof.asof_join(e.where("event_type != 'purchase'"), right, ["g"], "ts", "rts", ["price"], chunk="DAY")
 
 
 @query("j3_prior_betas", "sym:s date:d mkt:f", "SELECT * FROM used", "raw_bars daily", BARS | BETAS | USED)
@@ -454,7 +482,27 @@ def _(spark, sf):
     return linear.train_statistics(_long(spark, sf), _folds(spark, sf), dataset.FEATURES)
 
 
-@query("a10_fit_folds", "label:s fold:i n_train:i b0:f z30:f z60:f")
+def _solved(name: str, source: str, n: int, sides: list[str], tiny: float = 1e-9) -> dict[str, str]:
+    """Common tables that solve n linear equations by elimination: source has a_i_j and, for each right side s, s_i. The table `name` also has x_s_i, 0 where a pivot vanishes."""
+    out, at = {}, source
+    for k in range(n):
+        ratio = {i: f"CASE WHEN abs(a_{k}_{k}) > {tiny} THEN a_{i}_{k} / a_{k}_{k} ELSE 0 END" for i in range(n) if i != k}
+        new = [f"a_{i}_{j} - ({r}) * a_{k}_{j} AS a_{i}_{j}" for i, r in ratio.items() for j in range(k + 1, n)] + [f"{s}_{i} - ({r}) * {s}_{k} AS {s}_{i}" for i, r in ratio.items() for s in sides]
+        out[f"{name}_{k}"] = f"SELECT * REPLACE ({', '.join(new)}) FROM {at}"
+        at = f"{name}_{k}"
+    out[name] = f"SELECT *, {', '.join(f'CASE WHEN abs(a_{i}_{i}) > {tiny} THEN {s}_{i} / a_{i}_{i} ELSE 0 END AS x_{s}_{i}' for s in sides for i in range(n))} FROM {at}"
+    return out
+
+
+_N = range(len(dataset.FEATURES))
+_FITTED = _STATS | {
+    "moments": f"SELECT fold, count(*) AS n_train, avg(y) AS b0, {', '.join(f'avg({c}) AS mu_{i}, CASE WHEN var_samp({c}) > 1e-18 THEN stddev_samp({c}) ELSE 1 END AS sd_{i}' for i, c in enumerate(dataset.FEATURES))} FROM train GROUP BY fold",
+    "standard": f"SELECT fold, y, {', '.join(f'({c} - mu_{i}) / sd_{i} AS s_{i}' for i, c in enumerate(dataset.FEATURES))} FROM train JOIN moments USING (fold)",
+    "normal": f"SELECT fold, {', '.join(f'sum(s_{i} * s_{j}) AS a_{i}_{j}' for i in _N for j in _N)}, {', '.join(f'sum(s_{i} * y) AS b_{i}' for i in _N)} FROM standard GROUP BY fold",
+} | _solved("solved", "normal", len(dataset.FEATURES), ["b"])
+
+
+@query("a10_fit_folds", "label:s fold:i n_train:i b0:f z30:f z60:f", "SELECT 'fwdres10' AS label, fold, n_train, b0, x_b_0 AS z30, x_b_1 AS z60 FROM solved JOIN moments USING (fold)", "model_rows", _FITTED)
 def _(spark, sf):
     return linear.fit_folds(_long(spark, sf), _folds(spark, sf), dataset.FEATURES).select("label", "fold", "n_train", F.col("beta")[0].alias("b0"), F.col("beta")[1].alias("z30"), F.col("beta")[2].alias("z60"))
 
@@ -517,7 +565,25 @@ def _(spark, sf):
     return metrics.pnl_scenarios(_stand_in_days(spark, sf), slips)
 
 
-@query("a17_attribution", "series:s n:i alpha_annual:f alpha_t:f r2:f b_mkt_rf:f t_mkt_rf:f")
+def _attribution_sql(lags: int = 5) -> dict[str, str]:
+    """Least squares on four factors with Bartlett-weighted sums of lagged products of x * residual."""
+    five = range(5)
+    inverse = [f"e{k}" for k in five]
+    meat = lambda i, j: f"sum(g_{i} * g_{j})" + "".join(f" + {1 - lag / (lags + 1)!r} * coalesce(sum(g_{i} * l{lag}_{j} + g_{j} * l{lag}_{i}), 0)" for lag in range(1, lags + 1))
+    spread = lambda i: " + ".join(f"x_e{i}_{j} * x_e{i}_{k} * m_{j}_{k}" for j in five for k in five)
+    return DAYS | {
+        "x": "SELECT d.config AS series, d.date, (gross - fees) / 1000000 AS y, 1.0 AS x_0, f.mkt_rf AS x_1, f.smb AS x_2, f.hml AS x_3, f.wml AS x_4 FROM days d JOIN factors f ON d.date = f.date",
+        "sums": f"SELECT series, {', '.join(f'sum(x_{i} * x_{j}) AS a_{i}_{j}' for i in five for j in five)}, {', '.join(f'sum(x_{i} * y) AS b_{i}' for i in five)}, {', '.join(f'{float(i == k)} AS e{k}_{i}' for k in five for i in five)} FROM x GROUP BY series",
+    } | _solved("ols", "sums", 5, ["b", *inverse]) | {
+        "rest": f"SELECT x.*, y - ({' + '.join(f'x_{i} * x_b_{i}' for i in five)}) AS e FROM x JOIN ols USING (series)",
+        "products": f"SELECT series, y, e, {', '.join(f'x_{i} * e AS g_{i}' for i in five)}, date FROM rest",
+        "lagged": f"SELECT *, {', '.join(f'lag(g_{i}, {lag}) OVER w AS l{lag}_{i}' for lag in range(1, lags + 1) for i in five)} FROM products WINDOW w AS (PARTITION BY series ORDER BY date)",
+        "meat": f"SELECT series, count(*) AS n, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2, {', '.join(f'{meat(i, j)} AS m_{i}_{j}' for i in five for j in five)} FROM lagged GROUP BY series",
+        "told": f"SELECT series, n, x_b_0 * 252 AS alpha_annual, x_b_0 / sqrt({spread(0)}) AS alpha_t, r2, x_b_1 AS b_mkt_rf, x_b_1 / sqrt({spread(1)}) AS t_mkt_rf FROM meat JOIN ols USING (series)",
+    }
+
+
+@query("a17_attribution", "series:s n:i alpha_annual:f alpha_t:f r2:f b_mkt_rf:f t_mkt_rf:f", "SELECT * FROM told", "factors", _attribution_sql())
 def _(spark, sf):
     return attribution.attribute(_stand_in_days(spark, sf).select(F.col("config").alias("series"), "date", num.net_return().alias("ret")), load(spark, sf, "factors"))
 
@@ -535,7 +601,20 @@ def _(spark, sf):
     return coverage.intraday_against_daily(_bars(spark, sf), load(spark, sf, "daily"))
 
 
-@query("a19_w9_median_fit", "median_r2:f n_fits:i")
+def _beta_sql(window: int = 250, min_obs: int = 120, half_life: float = 60.0, ridge: float = 1e-4) -> dict[str, str]:
+    """The regressions as self-joined weighted sums over each window's rows, and their normal equations."""
+    five, w = range(5), f"pow(0.5, (t.n - s.n) / {half_life})"
+    x = ["1.0", "s.mkt_rf", "s.smb", "s.hml", "s.wml"]
+    return _EXCESS | {
+        "nth": "SELECT *, row_number() OVER (PARTITION BY sym ORDER BY date) - 1 AS n FROM ex",
+        "weighted": f"SELECT t.sym, t.date, count(*) AS nobs, sum({w}) AS sw, sum({w} * s.exret) AS swy, sum({w} * s.exret * s.exret) AS yy, {', '.join(f'sum({w} * {x[i]} * {x[j]}) AS p_{i}_{j}' for i in five for j in five)}, {', '.join(f'sum({w} * {x[i]} * s.exret) AS q_{i}' for i in five)} FROM nth t JOIN nth s ON t.sym = s.sym AND s.n BETWEEN t.n - {window - 1} AND t.n WHERE t.n >= {min_obs - 1} GROUP BY t.sym, t.date",
+        "normal": f"SELECT *, {', '.join(f'p_{i}_{j} + {ridge if i == j else 0.0} AS a_{i}_{j}' for i in five for j in five)}, {', '.join(f'q_{i} AS b_{i}' for i in five)} FROM weighted",
+    } | _solved("solved", "normal", 5, ["b"], 0.0) | {
+        "fits": f"SELECT date, sym, x_b_0 AS alpha, x_b_1 AS mkt, x_b_2 AS smb, x_b_3 AS hml, x_b_4 AS wml, nobs, CASE WHEN yy - swy * swy / sw > 0 THEN 1 - (yy - 2 * ({' + '.join(f'x_b_{i} * q_{i}' for i in five)}) + {' + '.join(f'x_b_{i} * x_b_{j} * p_{i}_{j}' for i in five for j in five)}) / (yy - swy * swy / sw) ELSE 0 END AS r2 FROM solved",
+    }
+
+
+@query("a19_w9_median_fit", "median_r2:f n_fits:i", "SELECT median(r2) AS median_r2, count(*) AS n_fits FROM fits", "daily factors", _beta_sql())
 def _(spark, sf):
     return exposures.median_fit(exposures.rolling_betas(load(spark, sf, "daily"), load(spark, sf, "factors")))
 
@@ -553,18 +632,12 @@ def _(spark, sf):
     return metrics.cumulative(_stand_in_days(spark, sf), "gross", ["config"])
 
 
-def _beta_sql() -> dict[str, str]:
-    """The regressions as self-joined weighted sums over each window's rows; coefficients by the normal equations stay with the referee in the tests."""
-    nth = {"nth": "SELECT *, row_number() OVER (PARTITION BY sym ORDER BY date) - 1 AS n FROM ex"}
-    return _EXCESS | nth | {"counted": "SELECT sym, date, least(n + 1, 250) AS nobs FROM nth WHERE n >= 119"}
-
-
-@query("w9_h1_rolling_betas", "date:d sym:s alpha:f mkt:f smb:f hml:f wml:f r2:f nobs:i")
+@query("w9_h1_rolling_betas", "date:d sym:s alpha:f mkt:f smb:f hml:f wml:f r2:f nobs:i", "SELECT * FROM fits", "daily factors", _beta_sql())
 def _(spark, sf):
     return exposures.rolling_betas(load(spark, sf, "daily"), load(spark, sf, "factors"))
 
 
-@query("w9_regression_windows", "date:d sym:s nobs:i", "SELECT * FROM counted", "daily factors", _beta_sql())
+@query("w9_regression_windows", "date:d sym:s nobs:i", "SELECT sym, date, least(n + 1, 250) AS nobs FROM nth WHERE n >= 119", "daily factors", _beta_sql())
 def _(spark, sf):
     return exposures.rolling_betas(load(spark, sf, "daily"), load(spark, sf, "factors"))
 
@@ -604,9 +677,9 @@ def _(spark, sf):
     return d.unionByName(d.where("volume > 2")).groupBy("sym").agg(F.count("*").alias("n"))
 
 
-@query("u3_common_dates", "date:d", "SELECT DISTINCT date FROM daily INTERSECT SELECT date FROM factors WHERE day(date) % 5 <> 0", "daily factors")
+@query("u3_common_dates", "date:d", "SELECT DISTINCT date FROM daily INTERSECT SELECT date FROM factors", "daily factors")
 def _(spark, sf):
-    return load(spark, sf, "daily").select("date").intersect(load(spark, sf, "factors").where(F.dayofmonth("date") % 5 != 0).select("date"))
+    return load(spark, sf, "daily").select("date").intersect(load(spark, sf, "factors").select("date"))
 
 
 @query("u4_with_proxy", "sym:s", "SELECT DISTINCT sym FROM preds UNION SELECT 'S0'", "preds")
@@ -651,7 +724,42 @@ def _(spark, sf):
     return attribution.attribute(days, load(spark, sf, "factors"))
 
 
-@query("walk_forward", "label:s fold:i n_test:i oos_r2:f mean_ic:f t_ic:f")
+_RANK = "rank() OVER (PARTITION BY fold, date, bkt ORDER BY {0}) + (count(*) OVER (PARTITION BY fold, date, bkt, {0}) - 1) / 2.0"
+_WALK = _FITTED | _SIZES | {
+    "predicted": f"SELECT f.fold, l.*, m.b0 + {' + '.join(f'x_b_{i} * ({c} - mu_{i}) / sd_{i}' for i, c in enumerate(dataset.FEATURES))} AS pred FROM long l JOIN folds f ON l.date BETWEEN f.test_start AND f.test_end JOIN moments m ON m.fold = f.fold JOIN solved s ON s.fold = f.fold JOIN sizes z ON z.fold = f.fold AND z.n_train >= 1000 AND z.n_test >= 100",
+    "skill": "SELECT fold, count(*) AS n_test, 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) AS oos_r2 FROM predicted GROUP BY fold",
+    "r": f"SELECT fold, date, {_RANK.format('pred')} AS p, {_RANK.format('y')} AS q FROM predicted",
+    "d": "SELECT fold, date, covar_pop(p, q) / nullif(stddev_pop(p) * stddev_pop(q), 0) AS ic FROM r GROUP BY fold, date",
+    "ic": _IC,
+}
+
+
+@query("job_store_predictions", "date:d sym:s bkt:i pred:f", "SELECT date, sym, bkt, CAST(printf('%.8g', pred) AS DOUBLE) AS pred FROM predicted", "model_rows", _WALK)
+def _(spark, sf):
+    return panel.store_predictions(load(spark, sf, "model_rows"), "fwdres10", scratch_path(spark, "predictions"), min_train=1000, min_test=100)
+
+
+_RAW_REPORT = "SELECT month, raw, dropped_outside, dropped_dupes, bad_high_low, written, days_written FROM report"
+
+
+@query("job_build_store", "month:s raw:i dropped_outside:i dropped_dupes:i bad_high_low:i written:i days_written:i", _RAW_REPORT, "raw_bars", _REPORT)
+def _(spark, sf):
+    raw, store = scratch_path(spark, "raw"), scratch_path(spark, "store")
+    files.write_raw_bars(load(spark, sf, "raw_bars"), raw)
+    return panel.build_store(spark, raw, store)
+
+
+@query("job_build_signals", _SIGS, "SELECT s.sym, s.time, ret5, spyret, resid, cumres30, cumres60, rv60, s.volume / nullif(vbase, 0) AS vsurp, first_value(s.open) OVER (PARTITION BY s.sym, s.date ORDER BY s.time) / nullif(pclose, 0) - 1 AS gap, fwdres10, fwdres15, fwdres30, s.date FROM sig s LEFT JOIN base b ON s.sym = b.sym AND s.date = b.date AND s.bkt = b.bkt LEFT JOIN pc ON s.sym = pc.sym AND s.date = pc.date", "raw_bars daily factors", _beta_sql() | {"betas": "SELECT date, sym, mkt FROM fits"} | {k: v for k, v in _GAPS.items() if k != "betas"})
+def _(spark, sf):
+    raw, store = scratch_path(spark, "raw"), scratch_path(spark, "store")
+    files.write_raw_bars(load(spark, sf, "raw_bars"), raw)
+    panel.build_store(spark, raw, store, resume=True, session=None, utc=True)
+    panel.build_store(spark, raw, store, resume=True, session=None, utc=True)  # nothing is left to load
+    panel.build_signals(spark, store, load(spark, sf, "daily"), load(spark, sf, "factors"), 60, CONFIG)
+    return spark.read.parquet(f"{store}/sig")
+
+
+@query("walk_forward", "label:s fold:i n_test:i oos_r2:f mean_ic:f t_ic:f coef_z30:f", "SELECT 'fwdres10' AS label, skill.fold, skill.n_test, oos_r2, mean_ic, t_ic, x_b_0 AS coef_z30 FROM skill LEFT JOIN ic USING (fold) JOIN solved USING (fold)", "model_rows", _WALK)
 def _(spark, sf):
     return panel.walk_forward(load(spark, sf, "model_rows"), ["fwdres10"], min_train=1000, min_test=100)[1]
 

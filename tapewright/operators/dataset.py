@@ -37,15 +37,20 @@ def by_label(rows: DataFrame, labels: list[str], features: list[str] = FEATURES)
 
 
 def seeded_sample(rows: DataFrame, n: int, seed: int, keys: list[str], within: list[str]) -> DataFrame:
-    """At most n rows of each group without replacement, the same ones for the same seed whatever the partitioning.
+    """Exactly n rows of each group without replacement (all of a smaller group), the same ones for the same seed whatever the partitioning.
 
-    A row's place is a hash of its keys. A threshold on the hash drops nearly all rows beyond n before the exact cut, so the
+    Identical rows are counted first and each copy has a number, so a row's place, a hash of its keys and its copy's number,
+    is its own however often keys repeat. A threshold on the hash drops nearly all rows beyond n before the exact cut, so the
     window sorts little more than n rows of a group.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+    everything = rows.columns
+    copies = rows.groupBy(*everything).agg(F.count("*").alias("_m"))  # partial counts first: a hot row doesn't stand out
+    others = [F.col(c) for c in everything if c not in keys]
+    hashed = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).withColumn("_h", F.xxhash64(*keys, *others, "_copy", F.lit(seed)))
     sizes = rows.groupBy(*within).agg(F.count("*").alias("_n"))
     share = F.lit(float(n)) / F.col("_n")
     bound = (F.least(share * 1.2 + 4 * F.sqrt(share) / F.sqrt(F.col("_n")) + 100.0 / F.col("_n"), F.lit(1.0)) * 2.0 - 1.0) * float(2**63 - 1)
-    near = hashed.join(sizes, within).where(F.col("_h").cast("double") <= bound)
-    w = Window.partitionBy(*within).orderBy("_h", *keys)
-    return near.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n).drop("_h", "_n", "_nth")
+    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_s.{c}")) for c in within]
+    near = hashed.alias("_l").join(sizes.alias("_s"), same).where(F.col("_h").cast("double") <= bound).select("_l.*")
+    w = Window.partitionBy(*within).orderBy("_h", *everything, "_copy")
+    return near.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n).select(*everything)

@@ -20,27 +20,34 @@ def excess_returns(daily: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def fit_windows(x: np.ndarray, y: np.ndarray, window: int, min_obs: int, half_life: float, ridge: float) -> np.ndarray:
-    """Rows (coefficients..., r2, nobs) of every window end from the min_obs-th row on.
+    """Rows (coefficients..., r2, nobs) of every window end from the min_obs-th row on; weights halve every half_life rows.
 
-    Windows are gathered in blocks and their normal equations solved together; weights halve every half_life rows.
+    A window's weighted sums are differences of running sums, in which a row counts for 2^(row / half_life): the sums grow, so
+    little is lost in the difference. Blocks are short enough for that weight to stay in range.
     """
     n, k = x.shape
+    i, j = np.triu_indices(k + 1)
+    z = np.column_stack([x, y])
     out = []
-    ends = np.arange(min_obs - 1, n)
-    for block in np.array_split(ends, max(1, len(ends) // 256)) if len(ends) else []:
-        age = np.arange(window)
-        rows = block[:, None] - age
-        w = np.where(rows >= 0, 0.5 ** (age / half_life), 0.0)
-        rows = np.maximum(rows, 0)
-        xs, ys = x[rows], y[rows]
-        wx = xs * w[..., None]
-        a = np.einsum("bti,btj->bij", wx, xs) + ridge * np.eye(k)
-        beta = np.linalg.solve(a, np.einsum("bti,bt->bi", wx, ys)[..., None])[..., 0]
-        e = ys - np.einsum("bti,bi->bt", xs, beta)
-        sw, swy = w.sum(1), (w * ys).sum(1)
-        sst = (w * ys * ys).sum(1) - swy * swy / sw
-        r2 = np.where(sst > 0, 1 - (w * e * e).sum(1) / np.where(sst > 0, sst, 1), 0.0)
-        out.append(np.column_stack([beta, r2, np.minimum(block + 1, window)]))
+    step = max(1, int(500 * half_life) - window) if np.isfinite(half_life) else n
+    for begin in range(min_obs - 1, n, step):
+        end = min(begin + step, n)
+        low = max(0, begin - window + 1)
+        part = z[low:end]
+        weight = 0.5 ** ((len(part) - 1 - np.arange(len(part))) / half_life)
+        terms = np.column_stack([part[:, i] * part[:, j], part[:, -1], np.ones(len(part))]) * weight[:, None]
+        running = np.vstack([np.zeros(terms.shape[1]), np.cumsum(terms, axis=0)])
+        ends = np.arange(begin, end) - low
+        sums = (running[ends + 1] - running[np.maximum(ends + 1 - window, 0)]) / weight[ends, None]
+        m = np.empty((len(ends), k + 1, k + 1))
+        m[:, i, j] = m[:, j, i] = sums[:, : len(i)]
+        swy, sw = sums[:, -2], sums[:, -1]
+        xx, xy, yy = m[:, :k, :k], m[:, :k, k], m[:, k, k]
+        beta = np.linalg.solve(xx + ridge * np.eye(k), xy[..., None])[..., 0]
+        sse = yy - 2 * (beta * xy).sum(1) + np.einsum("bi,bij,bj->b", beta, xx, beta)
+        sst = yy - swy * swy / sw
+        r2 = np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), 0.0)
+        out.append(np.column_stack([beta, r2, np.minimum(np.arange(begin, end) + 1, window)]))
     return np.vstack(out) if out else np.zeros((0, k + 2))
 
 
@@ -52,8 +59,8 @@ def rolling_betas(daily: DataFrame, factors: DataFrame, window: int = 250, min_o
     """
     rows = excess_returns(daily, factors).withColumn("nth", F.row_number().over(Window.partitionBy("sym").orderBy("date")) - 1)
     own = F.floor(F.col("nth") / chunk)
-    ahead = F.floor((F.col("nth") + (window - 1)) / chunk)  # rows that the next chunk looks back to
-    dealt = rows.withColumn("chunk", F.explode(F.array_distinct(F.array(own, ahead))))
+    ahead = F.floor((F.col("nth") + (window - 1)) / chunk)  # the last chunk that looks back to the row
+    dealt = rows.withColumn("chunk", F.explode(F.sequence(own, ahead)))
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("nth")

@@ -12,6 +12,10 @@ from tapewright.functions.numbers import simple_return
 from tapewright.operators.asof import prior_betas
 
 
+#: Rows of the proxy that are broadcast at most: some 24 bytes each; thirty years of minute bars.
+MOST_PROXY = 3_000_000
+
+
 @dataclass(frozen=True)
 class FeatureConfig:
     """Row counts of windows are in bars; cutoffs are the last minute of day at which a label of so many bars stands."""
@@ -38,9 +42,11 @@ def bar_returns(bars: DataFrame) -> DataFrame:
 def with_proxy_return(bars: DataFrame, proxy: str) -> DataFrame:
     """spyret: the proxy's ret5 of the same bucket; the proxy's own rows go.
 
-    Bars meet it by their time, of which no two proxy rows share one, so no hint is needed: Spark broadcasts it if it is small.
+    The proxy has a row a bucket, as many as the calendar has and no more for more symbols. Their number is counted, and up to
+    MOST_PROXY they are broadcast, so bars keep their layout by symbol and day; beyond, both sides are shuffled by time.
     """
     own = bars.where(F.col("sym") == proxy).select("time", F.col("ret5").alias("spyret"))
+    own = F.broadcast(own) if own.limit(MOST_PROXY + 1).count() <= MOST_PROXY else own
     return bars.where(F.col("sym") != proxy).join(own, "time", "left")
 
 

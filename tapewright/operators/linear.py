@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def year_moments(rows: DataFrame, features: list[str]) -> DataFrame:
     """(label, year, n, centre, s, ss, sy, y, yy): counts and centred sums of the long form's features and label."""
     centre = rows.groupBy("label").agg(*[F.avg(c).alias(f"_c_{c}") for c in features])
-    joined = rows.join(F.broadcast(centre), "label")  # one row a label
+    joined = rows.join(F.broadcast(centre), "label")  # a row for each name in by_label's list of labels
     x = {c: F.col(c) - F.col(f"_c_{c}") for c in features}
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     return joined.groupBy("label", F.year("date").alias("year")).agg(
@@ -58,7 +58,7 @@ def train_statistics(rows: DataFrame, folds: DataFrame, features: list[str]) ->
 
 
 def score(rows: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
-    """rows (with label and fold) with `pred`; models hold a row for each label and fold."""
+    """rows (with label and fold) with `pred`; models hold a row for each label and fold, of which folds.test_rows allows 10,000 at most."""
     m = F.broadcast(models.select("label", "fold", "mu", "sd", "beta"))
     terms = [F.get("beta", F.lit(i + 1)) * (F.col(c) - F.get("mu", F.lit(i))) / F.get("sd", F.lit(i)) for i, c in enumerate(features)]
     pred = F.get("beta", F.lit(0))

@@ -13,7 +13,7 @@ def _none(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
+def exists(spark: SparkSession, pattern: str) -> bool:
     """Whether a glob matches anything, asked of whatever store the path is in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
@@ -27,7 +27,7 @@ def read_raw_bars(spark: SparkSession, root: str, months: list[str] | None = Non
     is empty. A cell that can't be read is null. seq orders rows as the files do, for de-duplication.
     """
     pattern = f"{root.rstrip('/')}/*/*.csv*"
-    if not _exists(spark, pattern):
+    if not exists(spark, pattern):
         return _none(spark, schemas.RAW_BARS).withColumn("month", F.lit(None).cast("string"))
     read = spark.read.schema(schemas.RAW_BARS_CSV).option("header", True).option("mode", "PERMISSIVE").csv(pattern)
     path = F.col("_metadata.file_path")
@@ -35,7 +35,37 @@ def read_raw_bars(spark: SparkSession, root: str, months: list[str] | None = Non
     out = out.where(F.col("month").rlike(r"^\d{4}-\d{2}$"))
     if months is not None:
         out = out.where(F.col("month").isin(months))
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.withColumn("ts", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + (ts - TIMESTAMP'1970-01-01T00:00:00Z')"))  # UTC whatever the session's zone
+
+
+def _move(spark: SparkSession, pattern: str, name) -> None:
+    """Renames each file that a glob finds to name(its path), in whatever store it is in; a file a symbol and month at most."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(pattern).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(hadoop(pattern)) or []:
+        to = hadoop(name(status.getPath().toString()))
+        fs.mkdirs(to.getParent())
+        fs.rename(status.getPath(), to)
+
+
+def _labelled(path: str, key: str) -> str:
+    return path.split(f"/{key}=")[1].split("/")[0]
+
+
+def write_raw_bars(bars: DataFrame, root: str) -> None:
+    """Raw bars (ts in UTC) as `root/<symbol>/<yyyy-MM>.csv.gz`, rows in order of seq: what read_raw_bars reads."""
+    root = root.rstrip("/")
+    rows = bars.select("sym", F.date_format("ts", "yyyy-MM").alias("month"), "seq", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), *[f.name for f in schemas.RAW_BARS_CSV.fields[1:]])
+    rows.repartition("sym", "month").sortWithinPartitions("sym", "month", "seq").drop("seq").write.partitionBy("sym", "month").option("header", True).option("compression", "gzip").csv(f"{root}/_parts")
+    _move(bars.sparkSession, f"{root}/_parts/sym=*/month=*/part-*", lambda p: f"{root}/{_labelled(p, 'sym')}/{_labelled(p, 'month')}.csv.gz")
+
+
+def write_daily(daily: DataFrame, root: str) -> None:
+    """Daily prices as `root/<symbol>.csv`, in order of date: what read_daily reads."""
+    root = root.rstrip("/")
+    rows = daily.select("sym", *[f.name for f in schemas.DAILY_CSV.fields])
+    rows.repartition("sym").sortWithinPartitions("sym", "date").write.partitionBy("sym").option("header", True).csv(f"{root}/_parts")
+    _move(daily.sparkSession, f"{root}/_parts/sym=*/part-*", lambda p: f"{root}/{_labelled(p, 'sym')}.csv")
 
 
 def select_months(bars: DataFrame, months: list[str] | None, time: str = "ts") -> DataFrame:
@@ -46,7 +76,7 @@ def select_months(bars: DataFrame, months: list[str] | None, time: str = "ts") -
 def read_daily(spark: SparkSession, root: str) -> DataFrame:
     """Daily prices from `root/<symbol>.csv`, in order of symbol and date."""
     pattern = f"{root.rstrip('/')}/*.csv"
-    if not _exists(spark, pattern):
+    if not exists(spark, pattern):
         return _none(spark, schemas.DAILY_CSV).withColumn("sym", F.lit(None).cast("string"))
     read = spark.read.schema(schemas.DAILY_CSV).option("header", True).csv(pattern)
     return read.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.csv$", 1).alias("sym"), "*").orderBy("sym", "date")

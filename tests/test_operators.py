@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import calendar as cal
 from tapewright.functions import numbers as num
+from tapewright.jobs import panel
 from tapewright.operators import asof, clean, dataset, features, folds, linear, metrics, resample
 from tapewright.sources import files
 
@@ -140,6 +141,38 @@ def test_csv_of_bars(spark, tmp_path):
     assert empty.count() == 0 and "ntrades" in empty.columns
 
 
+def test_daily_and_factor_files(spark, tmp_path):
+    (tmp_path / "daily").mkdir()
+    (tmp_path / "daily" / "AA.csv").write_text("date,open,high,low,close,volume\n2024-01-03,1,2,0.5,1.5,10\n2024-01-02,1,2,0.5,x,10\n")
+    (tmp_path / "daily" / "BB.csv").write_text("date,open,high,low,close,volume\n2024-01-02,3,4,2,3.5,\n")
+    got = [(r["sym"], r["date"].day, r["close"], r["volume"]) for r in files.read_daily(spark, str(tmp_path / "daily")).collect()]
+    assert got == [("AA", 2, None, 10), ("AA", 3, 1.5, 10), ("BB", 2, 3.5, None)]
+    assert files.read_daily(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "f.csv").write_text("date,mkt_rf,smb,hml,wml,rf\n2024-01-02,0.01,0.02,,0.04,0.0001\n")
+    assert [tuple(r)[1:4] for r in files.read_factors(spark, str(tmp_path / "f.csv")).collect()] == [(0.01, 0.02, None)]
+    (tmp_path / "t.txt").write_text("Banner\n20240102, 1.50\n\nAnnual\n20241231, 7\n")
+    assert [(r["date"].day, r["m"]) for r in files.read_factor_text(spark, str(tmp_path / "t.txt"), ["m"]).collect()] == [(2, 0.015)]
+
+
+def test_store_goes_on_where_it_stopped(spark, tmp_path):
+    """A symbol that comes later joins dates that are there; what is loaded isn't loaded again."""
+    raw, store = str(tmp_path / "raw"), str(tmp_path / "store")
+    row = lambda sym, text, close, seq: (sym, at(text), 1.0, 2.0, 0.5, close, 10, 1, 1.0, seq)
+    files.write_raw_bars(spark.createDataFrame([row("A", "2024-01-02 14:30", 1.0, 1), row("A", "2024-02-01 14:30", 2.0, 2)], RAW), raw)
+    first = panel.build_store(spark, raw, store, resume=True).collect()
+    assert sum(r["written"] for r in first) == 2
+    files.write_raw_bars(spark.createDataFrame([row("B", "2024-01-02 14:31", 3.0, 1)], RAW), str(tmp_path / "more"))
+    os.makedirs(f"{raw}/B")
+    os.rename(tmp_path / "more" / "B" / "2024-01.csv.gz", f"{raw}/B/2024-01.csv.gz")
+    second = panel.build_store(spark, raw, store, resume=True).collect()
+    assert [(r["month"], r["raw"]) for r in second] == [("2024-01", 1)]
+    bars = spark.read.parquet(f"{store}/bars").orderBy("time").collect()
+    assert [(r["sym"], r["close"]) for r in bars] == [("A", 1.0), ("B", 3.0), ("A", 2.0)]
+    assert panel.build_store(spark, raw, store, resume=True).count() == 0 and spark.read.parquet(f"{store}/bars").count() == 3
+    whole = panel.build_store(spark, raw, store)
+    assert whole.count() == 2 and spark.read.parquet(f"{store}/bars").count() == 3
+
+
 def test_write_by_date_replaces_only_its_dates(spark, tmp_path):
     path = str(tmp_path / "bars")
     both = spark.createDataFrame([bar("A", "2024-01-02 09:30"), bar("A", "2024-01-03 09:30")], BAR)
@@ -157,6 +190,16 @@ def test_seeded_sample_is_stable(spark):
     assert dataset.seeded_sample(rows.limit(30), 100, 3, ["id"], ["g"]).count() == 30
 
 
+def test_seeded_sample_of_repeated_keys(spark):
+    rows = spark.range(10_000).select((F.col("id") % 3).alias("k"), F.lit(1).alias("g"))
+    for seed in range(4):
+        got = [r["k"] for r in dataset.seeded_sample(rows, 100, seed, ["k"], ["g"]).collect()]
+        again = [r["k"] for r in dataset.seeded_sample(rows.repartition(5), 100, seed, ["k"], ["g"]).collect()]
+        assert len(got) == 100 and sorted(got) == sorted(again) and min(got.count(k) for k in range(3)) > 15
+    nothing = spark.createDataFrame([(1, None), (2, None)], "k int, g int")
+    assert dataset.seeded_sample(nothing, 1, 0, ["k"], ["g"]).count() == 1
+
+
 def test_scenarios_equal_direct(spark):
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"config": "c", "gross": rng.normal(size=50) * 100, "fees": rng.random(50), "traded": rng.random(50) * 1e5})

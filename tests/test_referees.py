@@ -41,7 +41,8 @@ def test_chunks_change_nothing(spark):
     f = spark.createDataFrame(factors)
     whole = rolling_betas(daily, f).orderBy("date").toPandas()
     parts = rolling_betas(daily, f, chunk=300).orderBy("date").toPandas()
-    assert len(whole) == n - 1 - 119 and len(parts) == len(whole)
+    short = rolling_betas(daily, f, chunk=100).orderBy("date").toPandas()  # chunks shorter than a window
+    assert len(whole) == n - 1 - 119 and len(parts) == len(whole) and (short["nobs"] == whole["nobs"]).all() and np.allclose(short["mkt"], whole["mkt"])
     assert np.allclose(whole[["alpha", "mkt", "r2", "nobs"]].astype(float), parts[["alpha", "mkt", "r2", "nobs"]].astype(float))
     assert abs(whole["mkt"].iloc[-1] - 0.9) < 0.15
     assert rolling_betas(daily.limit(0), f).count() == 0
