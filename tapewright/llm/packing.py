@@ -5,7 +5,8 @@
    into the shortest packs (those with most room) that still hold it or, if none does, together into new ones, and counts
    packing patterns, not packs.
 3. Every piece gets its rank among the pieces of its length from per-partition counts, and a placement is a range of ranks
-   of one length, so pieces and patterns meet by an interval lookup in a small table of checked size.
+   of one length, so pieces and patterns meet by an interval lookup in a small table: a length adds at most two patterns, a
+   pattern has some sqrt(2 * width) different lengths at most, so its size is bounded whatever the corpus.
 
 Nothing grows on the driver with the input but the counts in the histogram.
 """
@@ -17,7 +18,7 @@ import re
 import sys
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import public_tokenizers
@@ -25,11 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import Memo, by_bytes, resident, shipped, table, texts_of, written
+from tapewright.llm.common import Memo, by_bytes, resident, shipped, small_batches, table, texts_of, written
 from tapewright.llm.pieces import PieceCache, batched, kind_of
 
-MOST_PLACEMENTS = 200_000
-
 #: Texts that lower-casing and NFC leave as long as they are: printable ASCII, white space and composed Latin letters.
 _LATIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-įĲ-ňŊ-ž]*")
 #: pieces.WORD_PATTERN for such texts in lower case, its commonest branch first.
@@ -78,12 +77,14 @@ def ids_encoder(data: bytes):
     return lambda texts: batched(parts, texts)
 
 
-def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int, int, int, int, int]]:
-    """Placements (length, first rank, end rank, first sequence, offset) that pack histogram[length] pieces of each length.
+def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Placements (length, first rank, end rank, first sequence, offset, each) that pack histogram[length] pieces of each length.
+
+    A placement gives every sequence from the first on `each` pieces of the length, one after the other from the offset.
 
     Lengths are placed longest first into the shortest packs with room; of those left without one, as many as fit share a new
-    pack. A pack pattern is a tuple of lengths with the number
-    of packs that follow it; a step takes packs of one pattern and moves as many as needed to the pattern with one more length.
+    pack. A pack pattern is a tuple of lengths with the number of packs that follow it; a step takes packs of one pattern and
+    moves as many as needed to the pattern with one more length.
     """
     shortest: list[tuple[int, tuple[int, ...]]] = []  # heap of (used, pattern)
     packs: dict[tuple[int, ...], int] = {}
@@ -121,16 +122,18 @@ def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[int
     out, ranks, first = [], dict.fromkeys(histogram, 0), 0
     for pattern, n in sorted([*full.items(), *packs.items()], key=lambda x: (-sum(x[0]), x[0])):
         offset = 0
-        for length in pattern:
-            out.append((length, ranks[length], ranks[length] + n, first, offset))
-            ranks[length] += n
-            offset += length
+        for length, run in groupby(pattern):
+            each = len(list(run))
+            out.append((length, ranks[length], ranks[length] + each * n, first, offset, each))
+            ranks[length] += each * n
+            offset += each * length
         first += n
     return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, part, nth): every document's ids in pieces; nth counts the pieces of one length in a partition. With keep_ids the ids too."""
+    small_batches(docs.sparkSession)
     vocab = shipped(docs.sparkSession, tokenizer)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -179,23 +182,20 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `width` rows at most
     places = shortest_pack_first(histogram, width)
-    if len(places) > MOST_PLACEMENTS:
-        raise ValueError(f"{len(places)} placements are too many to broadcast")
     by_length: dict[int, list] = {}
-    for length, r0, r1, first, offset in places:
-        by_length.setdefault(length, []).append((r0, r1, first, offset))
-    rows = [(length, [x[0] for x in v], [x[2] for x in v], [x[3] for x in v]) for length, v in by_length.items()]
-    patterns = spark.createDataFrame(rows, "length long, ranks array<long>, firsts array<long>, offsets array<long>")
+    for length, r0, _, *rest in places:
+        by_length.setdefault(length, []).append((r0, *rest))
+    rows = [(length, *map(list, zip(*v, strict=True))) for length, v in by_length.items()]
+    patterns = spark.createDataFrame(rows, "length long, ranks array<long>, firsts array<long>, offsets array<long>, each array<long>")
     ranked = cut.join(before.select("part", "length", "before"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     # a placement is the last one of its length that begins at or before the rank
     at = F.size(F.filter("ranks", lambda r: r <= F.col("rank"))) - 1
     placed = ranked.join(F.broadcast(patterns), "length").withColumn("at", at)
-    out = placed.select(
-        F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens",
-        (F.get("firsts", F.col("at")) + F.col("rank") - F.get("ranks", F.col("at"))).alias("sequence_id"),
-        F.get("offsets", F.col("at")).alias("offset"), *(["ids"] if keep_ids else []),
+    nth, each = F.col("rank") - F.get("ranks", F.col("at")), F.get("each", F.col("at"))
+    return placed.select(
+        F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (F.get("firsts", F.col("at")) + F.floor(nth / each)).alias("sequence_id"),
+        (F.get("offsets", F.col("at")) + nth % each * F.col("length")).alias("offset"), *(["ids"] if keep_ids else []),
     )
-    return out
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,10 +116,10 @@ def test_histogram_placements():
     h = {10: 3, 7: 5, 3: 4, 1: 2}
     placed = shortest_pack_first(h, 10)
     count, room = Counter(), Counter()
-    for length, r0, r1, first, offset in placed:
+    for length, r0, r1, first, offset, each in placed:
         count[length] += r1 - r0
         for k in range(r1 - r0):
-            room[first + k] = max(room[first + k], offset + length)
+            room[first + k // each] = max(room[first + k // each], offset + (k % each + 1) * length)
     assert count == Counter(h) and max(room.values()) <= 10 and len(room) == 8
     assert shortest_pack_first({}, 10) == []
 
@@ -140,13 +140,26 @@ def test_encoder_of_latin_words_equals_the_library():
 def test_pieces_of_one_length_share_sequences(length, n):
     """A hot length alone needs no more sequences than hold it; with others it leaves little padding."""
     room = Counter()
-    for _, r0, r1, first, offset in shortest_pack_first({length: n}, 2048):
+    for _, r0, r1, first, offset, each in shortest_pack_first({length: n}, 2048):
         for k in range(r1 - r0):
-            room[first + k] += length
+            room[first + k // each] += length
             assert offset % length == 0
     assert len(room) == -(-n // (2048 // length)) and sum(room.values()) == n * length and max(room.values()) <= 2048
     r = np.random.default_rng(length)
     histogram = Counter(np.minimum(2048, np.maximum(1, r.lognormal(5.5, 1, 20_000))).astype(int).tolist()) + Counter({min(length, 700): 10_000})
     placed = shortest_pack_first(histogram, 2048)
-    used = max(first + r1 - r0 for _, r0, r1, first, _ in placed)
+    used = max(first + (r1 - r0) // each for _, r0, r1, first, _, each in placed)
     assert used <= 1.1 * sum(k * v for k, v in histogram.items()) / 2048 and len(placed) < 20_000
+
+
+def test_placements_are_bounded_by_the_width():
+    r = np.random.default_rng(3)
+    for width in (16, 64, 257):
+        for _ in range(20):
+            histogram = {k: int(n) for k, n in enumerate(r.geometric(10.0 ** -r.integers(1, 6), width), 1) if r.random() < 0.7}
+            placed = shortest_pack_first(histogram, width)
+            assert len(placed) <= 2 * width * (int((2 * width) ** 0.5) + 1)
+            ranks = Counter()
+            for length, r0, r1, *_ in placed:
+                ranks[length] += r1 - r0
+            assert ranks == Counter(histogram)
