@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm.common import Memo, by_bytes, resident, shipped, table, texts_of
+from tapewright.llm.common import Memo, by_bytes, resident, shipped, small_batches, table, texts_of
 from tapewright.llm.pieces import PieceCache, batched
 
 
@@ -171,6 +171,7 @@ def byte_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
     counts as empty: no tokens. Long texts are encoded whole, in parts where the pattern has safe cuts. Repeated or null ids
     stay rows of their own; other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     vocab = shipped(docs.sparkSession, ranks)
     id_type = docs.schema[id_col].dataType.simpleString()
 

@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that an operator's memo of words may take in a worker process before it is emptied.
-MEMO_MOST = 64 << 20
+MEMO_MOST = 32 << 20
+#: Rows of texts in an Arrow batch: both sides hold a batch whole, and by_bytes divides it further.
+ARROW_ROWS = 500
+#: New words that a trained model looks at at once.
+WORDS_AT_ONCE = 8192
 _resident: dict = {}
 _own_folder: list[str] = []
 
@@ -63,6 +67,7 @@ def _hand_back() -> None:
     """Free memory of this process goes back to the system, where the C library can do that."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
@@ -109,7 +114,7 @@ def fold(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text (one row at least), null texts as empty ones."""
     for batch in batches:
         n = batch.num_rows
@@ -124,6 +129,14 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
                 start, held = i, 0
             held += size
         yield batch.slice(start, n - start)
+    _hand_back()  # the worker waits for other tasks, maybe of a stage without Python
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on at most ARROW_ROWS rows in this session's Arrow batches: with Spark's default of 10,000 a whole partition of texts is one batch, held in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

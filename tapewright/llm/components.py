@@ -72,7 +72,8 @@ def components(links: DataFrame) -> DataFrame:
     rows over several tasks.
     """
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    e = written(ordered.mapInPandas(_forest, "a long, b long").distinct(), "links")
+    # written first: what found the links may run in Python as well, and then each task would hold two Python workers
+    e = written(written(ordered, "links").mapInPandas(_forest, "a long, b long").distinct(), "links")
     sign = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = sign(e)
     while before[0]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import Memo, by_bytes, fold, resident, table, texts_of
+from tapewright.llm.common import WORDS_AT_ONCE, Memo, by_bytes, fold, resident, small_batches, table, texts_of
 
 ORDER = 5
 #: Labels; beyond, the models of all languages don't fit in a worker, and none is left out but an error raised.
@@ -169,6 +169,10 @@ class Scorer:
         self.values = np.zeros((1024, len(self.models) + 2), np.float32)  # a log-probability a language, characters, words
 
     def _add(self, new: list[str]) -> None:
+        for start in range(0, len(new), WORDS_AT_ONCE):
+            self._add_some(new[start : start + WORDS_AT_ONCE])
+
+    def _add_some(self, new: list[str]) -> None:
         runs = [[x.lower() for x in self.find(w)] for w in new]
         first, n = len(self.at), len(new)
         while len(self.values) < first + n:
@@ -256,11 +260,12 @@ def _scorer(key: int, sent) -> tuple[list[str], Scorer]:
 
 def with_known_language(docs: DataFrame, models: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:
     """The rows that aren't rejected, with all their columns; no text is shuffled. Without a model all rows with a letter stay."""
+    small_batches(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(models), hash(tuple(m for _, m in models))
 
     def run(batches):
         _, scorer = _scorer(key, sent)
-        for batch in by_bytes(batches, text_col):
+        for batch in by_bytes(batches, text_col, 1 << 19):
             sums = scorer.of(texts_of(batch, text_col))
             rejected = decide(scorer.models, sums)[3] if scorer.models else sums[:, -1] == 0
             yield batch.filter(pa.array(~rejected))
@@ -274,13 +279,14 @@ def language_id(docs: DataFrame, models: list[tuple[str, bytes]], id_col: str =
     A null text, or one without a letter, is `und` with score 0, rejected; so is any text if no language was learned. The
     score is the winner's share of exp(-cross-entropy), sharpened by the square root of the length. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)
     key = hash(tuple(m for _, m in models))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def predict(batches):
         names, scorer = _scorer(key, sent)
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 1 << 19):
             n = batch.num_rows
             if names:
                 best, score, low, rejected = decide(scorer.models, scorer.of(texts_of(batch)))

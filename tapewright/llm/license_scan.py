@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import by_bytes, table
+from tapewright.llm.common import by_bytes, small_batches, table
 
 #: Phrases and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -137,6 +137,7 @@ def license_scan(docs: DataFrame, templates=None, phrases=None, id_col: str = "d
     A null or empty text has no words, no places, empty labels and score 0. The score is the best template's share of words
     at their places, and 1 where a phrase stands. Repeated rows are scanned each; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     vocabulary = {w for _, text, _ in templates for w in words_of(text)} | {w for text, _ in phrases for w in words_of(text)}
     frequency, n_docs = word_frequencies(docs, vocabulary, text_col)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm.common import MEMO_MOST, by_bytes, resident, shipped, table, texts_of
+from tapewright.llm.common import MEMO_MOST, by_bytes, resident, shipped, small_batches, table, texts_of
 from tapewright.llm.pieces import PieceCache, batched, kind_of
 
 def _counter(name: str, data: bytes):
@@ -39,6 +39,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     tokens. Special strings inside texts are handled as the library does by default. Null and repeated ids are kept as
     rows of their own; other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     vocab, name = shipped(spark, tokenizer), tokenizer.rsplit("/", 1)[-1]
     id_type = docs.schema[id_col].dataType.simpleString()

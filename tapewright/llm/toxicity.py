@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import Memo, by_bytes, fold, resident, table, texts_of
+from tapewright.llm.common import WORDS_AT_ONCE, Memo, by_bytes, fold, resident, small_batches, table, texts_of
 
 SPAN, DECAY = 7, 0.7
 SYMBOLS = 32
@@ -120,8 +120,8 @@ class Kernels:
         for width in WIDTHS:
             own = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            for start in range(0, len(own), 4096):
-                some = own[start : start + 4096]
+            for start in range(0, len(own), 1024):
+                some = own[start : start + 1024]
                 codes, weights = triples([parts[x] for x in some], width)
                 bound = (self.upper[codes] * weights).sum(axis=1) / np.sqrt(np.maximum((weights**2).sum(axis=1), 1e-9))
                 ok = np.flatnonzero(bound >= NEAR)
@@ -132,6 +132,10 @@ class Kernels:
         return out
 
     def _add(self, tokens: list[str]) -> None:
+        for start in range(0, len(tokens), WORDS_AT_ONCE):
+            self._add_some(tokens[start : start + WORDS_AT_ONCE])
+
+    def _add_some(self, tokens: list[str]) -> None:
         words = [_trimmed(t) for t in tokens]
         rows = self.rows_of(words)
         near = rows.any(axis=1)
@@ -280,12 +284,13 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 60
 
 def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5) -> DataFrame:
     """(id, score, predicted) of every row: predicted is 1 from a score of `reject` on. A null text is scored as an empty one. Other columns are not read."""
+    small_batches(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(model), ("toxicity", hash(model))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         machine = resident(key, lambda: Machine.loads(sent.value))
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", 1 << 19):
             score = machine.score(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score, pa.float64()), pa.array((score >= reject).astype("i4"), pa.int32())], ["id", "score", "predicted"])
 
@@ -294,11 +299,12 @@ def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
 
 def without_toxic(docs: DataFrame, model: bytes, text_col: str = "text", reject: float = 0.5) -> DataFrame:
     """The rows scored below `reject`, with all their columns; rows are scored where they lie, so no text is shuffled."""
+    small_batches(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(model), ("toxicity", hash(model))
 
     def run(batches):
         machine = resident(key, lambda: Machine.loads(sent.value))
-        for batch in by_bytes(batches, text_col):
+        for batch in by_bytes(batches, text_col, 1 << 19):
             yield batch.filter(pa.array(machine.score(texts_of(batch, text_col)) < reject))
 
     return docs.mapInArrow(run, docs.schema)
