@@ -15,13 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import table, written
+from tapewright.llm.common import table, with_class, written
 
 #: The characters that texts are compared without, \x20 and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 KEYS = ["digest", "check", "size"]
-#: Groups of over a thousandth of all rows, of which there are under 1000, meet their rows by broadcast; others by a shuffle.
-LARGE = 1000
 
 
 def leaves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,10 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while width > 1:
         runs, width = merged(runs, fan), -(-width // fan)
     groups = written(runs.select(*KEYS, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n"), "groups")
-    large = groups.where(F.col("n") > total / LARGE)
-    sided = all_rows.join(F.broadcast(large), KEYS, "left")
-    rest = sided.where(F.col("n").isNull()).select(all_rows.columns).join(groups.where(F.col("n") <= total / LARGE), KEYS)
-    both = sided.where(F.col("n").isNotNull()).unionByName(rest)
+    both = with_class(all_rows, groups, KEYS, total)
     return both.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

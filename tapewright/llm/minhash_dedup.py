@@ -8,7 +8,7 @@ out. So every pair within `apart` shares a key, and keys are compared by an equi
 
 `apart` lies 3.7 standard deviations above the distance expected at the least similarity asked for.
 
-Which links are looked at: equal sets are one node from the start. In a first round each node is compared with the pivot
+Which links are looked at: equal sets (by a 128-bit hash) are one node from the start. In a first round each node is compared with the pivot
 (smallest node) that it shares most keys with. After that only pairs of different components need a look. Pairs of different
 components that share a key and lie at most `apart` apart connect nodes to groups, and in a group nodes of different components
 meet with their full sets. Tasks hand on what pairs connect, an edge a node at most, and never the pairs; none is skipped but
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import Memo, by_bytes, resident, table, written
+from tapewright.llm.common import Memo, by_bytes, resident, small_batches, table, with_class, written
 from tapewright.llm.components import components, spanning
 
 WORDS = 5
@@ -132,11 +132,13 @@ def first_shared_slot(x: np.ndarray, y: np.ndarray, errors: int) -> np.ndarray:
     return np.where(chunk < errors, chunk * WIDTH + gap, errors * WIDTH + chunk - errors)
 
 
-def _set_hash(s: np.ndarray) -> int:
+def _set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Both halves of a 128-bit hash of each set, null for an empty one."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(s.tobytes())
-    return h - (1 << 64) if h >> 63 else h
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+    empty = np.fromiter((not len(s) for s in sets), bool, len(sets))
+    return [pa.array(both[:, k], pa.int64(), mask=empty) for k in (0, 1)]
 
 
 def _signed(batches):
@@ -145,8 +147,8 @@ def _signed(batches):
         full = [s for s in sets if len(s)]
         sig = iter(signatures(full))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["id", "n_shingles", "node", "sig"],
+            [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *_set_hashes(sets), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
+            ["id", "n_shingles", "h1", "h2", "sig"],
         )
 
 
@@ -164,7 +166,7 @@ def _keyed(errors: int):
 def _with_sets(batches):
     for batch in by_bytes(batches, "text", 1 << 20):
         sets = shingle_sets(pc.fill_null(batch.column("text"), "").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([*_set_hashes(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["h1", "h2", "shingles"])
 
 
 def _blocks(keys: list[str], work):
@@ -307,29 +309,31 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is linked with nothing and is its own component. A row with a null id is linked with nothing either, has no component and
     is kept. Rows that repeat an id are judged by their own texts. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = written(texts.mapInArrow(_signed, f"id {id_type}, n_shingles long, node long, sig binary"), "signatures")
-    nodes = written(rows.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "nodes")
+    rows = written(texts.mapInArrow(_signed, f"id {id_type}, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
+    equal = rows.where("h1 IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    nodes = written(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     keys = nodes.select("node", "sig").mapInArrow(_keyed(with_error(most_apart(least))), "key long, node long")
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    pivots = written(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"), "pivots")
     shared = written(keys.join(pivots, "key"), "shared-keys")
-    active = written(shared.select("node").distinct().join(nodes.select("node", "id"), "node"), "active")
+    active = written(shared.select("node").distinct().join(nodes.select("node", "h1", "h2", "id"), "node"), "active")
     wanted = active.select("id").distinct()
     wanted = F.broadcast(wanted) if active.count() <= BROADCAST_IDS else wanted
-    sets = written(texts.join(wanted, "id", "left_semi").select("text").mapInArrow(_with_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    found = texts.join(wanted, "id", "left_semi").select("text").mapInArrow(_with_sets, "h1 long, h2 long, shingles array<long>").dropDuplicates(["h1", "h2"])
+    sets = written(found.join(active.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "shingles"), "sets")
 
     first = shared.where("node != pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
     links = linked(first.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, least)
     known = components(links)
 
     labelled = shared.select("key", "node").join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
-    parts = labelled.join(mixed, "key")
-    sizes = parts.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    sizes = written(sizes.where(F.col("all") > F.col("most")), "mixed-sizes")  # keys of several components
     # every row stands on the left in one block; those outside the key's largest component also stand on the right
-    rows_of = written(parts.join(sizes, "key").join(nodes.select("node", "n_shingles", "sig"), "node").select(
+    rows_of = written(labelled.join(sizes, "key").join(nodes.select("node", "n_shingles", "sig"), "node").select(
         "key", "node", "component", "n_shingles", "sig", (F.col("component") != F.col("major")).alias("minor"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("lefts"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rights"),
     ), "mixed-keys")
@@ -340,21 +344,36 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = written(groups.join(known, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component")), "near-nodes")
     counts = asked.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"))
     counts = counts.where(F.col("all") > F.col("most")).select("group", "major", F.ceil(F.col("all") / SETS_BLOCK).cast("int").alias("lefts"), F.ceil((F.col("all") - F.col("most")) / SETS_BLOCK).cast("int").alias("rights"))
+    counts = written(counts, "group-sizes")
     dealt = _dealt(asked.join(counts, "group"), F.lit(True), F.col("component") != F.col("major")).select("group", "lb", "rb", "right", "node", "component")
     found = dealt.join(sets, "node").repartition("group", "lb", "rb").sortWithinPartitions("group", "lb", "rb", "right").mapInArrow(_links(least), "a long, b long")
     known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
-    named = nodes.select("node", "id").join(known, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = named.join(smallest, "component").select("node", "component_id")
-    total = rows.count()
-    large = written(rows.where("node IS NOT NULL").groupBy("node").count().where(F.col("count") > total / 1000).select("node").join(of_node, "node"), "large-nodes")
-    sided = rows.drop("sig").join(F.broadcast(large), "node", "left")  # under 1000 nodes have over a thousandth of the rows
-    rest = sided.where("component_id IS NULL").drop("component_id").join(of_node.join(F.broadcast(large), "node", "left_anti"), "node", "left")
-    both = sided.where("component_id IS NOT NULL").unionByName(rest)
+    named = nodes.select("node", "h1", "h2", "id").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = written(named.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
+    slim = rows.drop("sig")
+    counted = slim.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    classes = written(named.join(smallest, "component").select("h1", "h2", "component_id").join(counted, ["h1", "h2"]), "classes")
+    both = with_class(slim, classes, ["h1", "h2"], slim.count())
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return both.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS node, s FROM d),
+items AS (SELECT node, n, unnest(s) AS x FROM e WHERE doc_id = node AND n > 0),
+links AS (SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.x = b.x AND a.node <> b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, least(node, coalesce(b, node)) AS component_id, doc_id = least(node, coalesce(b, node)) AS kept FROM e LEFT JOIN low ON low.a = node
+"""

@@ -63,8 +63,9 @@ def test_urls_either_way(spark, most):
 
 def test_equal_digests_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr("tapewright.llm.url_filter.digest", lambda key: len(key))  # many collisions
-    DigestFile.write(str(tmp_path / "r"), [("ab/", "block"), ("cd/", "allow"), ("xyz/", "block")])
+    DigestFile.write(str(tmp_path / "r"), {"ab/": [1], "cd/": [7, 8], "xyz/": [], "": [5]})
     f = DigestFile(str(tmp_path / "r"))
+    assert [f.values(int(f.find([k])[0])) for k in ("ab/", "cd/", "xyz/", "")] == [[1], [7, 8], [], [5]]
     assert [int(x) for x in f.find(["cd/", "ab/", "zz/", "q/", "xyz/"]) >= 0] == [1, 1, 0, 0, 1]
 
 
@@ -233,13 +234,12 @@ def test_every_licence_of_several_is_found():
     assert index.scan(words_of(everything))[4] == {label for label, _, _ in TEMPLATES}
 
 
-@pytest.mark.parametrize("most", [1000, 0])
-def test_too_many_lengths_of_rules_raise(spark, monkeypatch, most):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_rules_of_very_many_lengths(spark, monkeypatch, most):
     import tapewright.llm.url_filter as urls
 
-    monkeypatch.setattr(urls, "MOST_LENGTHS", 3, raising=False)
-    pages = spark.createDataFrame([(1, "http://a.com/xxxx")], "page_id long, url string")
-    rules = lambda n: spark.createDataFrame([("a.com/" + "x" * k, "block") for k in range(n)], "rule string, verdict string")
-    assert url_filter(pages, rules(3), most_rules=most).first()["rule"] == "a.com/xx"
-    with pytest.raises(ValueError, match="lengths"):
-        url_filter(pages, rules(4), most_rules=most)
+    monkeypatch.setattr(urls, "KEYS_HELD", 1000)
+    pages = spark.createDataFrame([(1, "http://w.a.com/" + "x" * 10_020), (2, "http://a.com/" + "x" * 30_000), (3, "http://b.com/xx")], "page_id long, url string")
+    rules = spark.range(10_050).selectExpr("concat('a.com/', repeat('x', CAST(id AS int))) AS rule", "if(id % 2 = 0, 'block', 'allow') AS verdict").unionByName(spark.createDataFrame([("noslash", "block")], "rule string, verdict string"))
+    got = {r["page_id"]: (len(r["rule"] or ""), r["verdict"]) for r in url_filter(pages, rules, most_rules=most).collect()}
+    assert got == {1: (10_026, "block"), 2: (10_055, "allow"), 3: (0, "allow")}
