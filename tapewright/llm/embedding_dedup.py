@@ -182,7 +182,7 @@ def fitted_centroids(members: DataFrame, most: int) -> DataFrame:
 
 
 def divided(rows: DataFrame, centres: DataFrame, most: int, nearly: float = 0.0) -> DataFrame:
-    """rows (dim, cluster, home, node, vec, n), those of clusters with centroids dealt to their `most` nearest new clusters and to all that are `nearly` as near; they are at home in the nearest."""
+    """rows (dim, cluster, home, node, vec, n), those of clusters with centroids dealt to their `most` nearest new clusters and to all that are `nearly` as near; they are at home in the nearest. All clusters get new numbers."""
     chunk = F.pmod(F.xxhash64("node", F.lit(17)), F.col("chunks")).cast("int")
     asked = rows.join(centres.select("dim", "cluster", "chunks"), ["dim", "cluster"]).withColumn("chunk", chunk).drop("chunks")
     given = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
@@ -203,7 +203,8 @@ def divided(rows: DataFrame, centres: DataFrame, most: int, nearly: float = 0.0)
     dealt = asked.groupBy(*key).cogroup(given.groupBy(*key)).applyInPandas(deal, "dim int, home boolean, node long, vec binary, n long, near array<long>")
     dealt = dealt.select("dim", "home", "node", "vec", "n", F.posexplode("near").alias("nth", "cluster"))
     dealt = dealt.select("dim", "cluster", (F.col("home") & (F.col("nth") == 0)).alias("home"), "node", "vec", "n")
-    return rows.join(centres.select("dim", "cluster"), ["dim", "cluster"], "left_anti").select(dealt.columns).unionByName(dealt)
+    others = rows.join(centres.select("dim", "cluster"), ["dim", "cluster"], "left_anti").withColumn("cluster", F.col("cluster") * CENTROIDS_MOST)
+    return others.select(dealt.columns).unionByName(dealt)
 
 
 class Shards:

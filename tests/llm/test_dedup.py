@@ -10,6 +10,7 @@ import tapewright.llm.embedding_dedup as emb
 import tapewright.llm.minhash_dedup as mh
 from compare import duck, rows
 from fixtures import EDGES, edge_docs, words
+from tapewright.llm.common import with_class
 from tapewright.llm.components import components
 from tapewright.llm.exact_dedup import OP8_SQL, exact_dedup, op8_exact_dedup
 
@@ -58,6 +59,19 @@ def test_exact_edges_and_rounds(spark):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_copies_and_vectors_sql(spark, sf):
+    assert rows(mh.op2_minhash_dedup(spark, sf).toPandas()) == rows(duck(sf).sql(mh.OP2_SQL).df())
+    assert rows(emb.op3_embedding_dedup(spark, sf).toPandas()) == rows(duck(sf).sql(emb.OP3_SQL).df())
+
+
+def test_rows_meet_their_classes_however_large(spark):
+    """Hot classes by broadcast, others by shuffle, rows without a class with nulls; no row is lost or repeated."""
+    data = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 1 WHEN id % 7 = 0 THEN NULL ELSE 10 + id % 400 END AS k", "'x' AS other")
+    classes = data.where("k IS NOT NULL").groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n").selectExpr("k", "n", "k * 2 AS twice")
+    got = {r["id"]: (r["k"], r["twice"]) for r in with_class(data, classes, ["k"], 2000).collect()}
+    assert got == {r["id"]: (r["k"], None if r["k"] is None else 2 * r["k"]) for r in data.collect()}
+
+
 def near_docs():
     """Families of edited texts, chains near the limit, exact copies, short texts, and a large group of near copies."""
     out = []
@@ -182,6 +196,30 @@ def test_groups_larger_than_the_pool(spark, monkeypatch, lost):
     assert sum(got[i]["component_id"] == want[i] for i in want) >= (1 if lost else 0.99) * len(v)
 
 
+def test_clusters_divided_twice(spark, monkeypatch):
+    """Levels of clusters, a hot group of near vectors that no centroid divides well, and an audit that passes."""
+    monkeypatch.setattr(emb, "SHARD", 40)
+    monkeypatch.setattr(emb, "DIVIDED", 120)
+    monkeypatch.setattr(emb, "CENTROIDS_MOST", 6)
+    monkeypatch.setattr(emb, "SHARD_MOST", 150)
+    monkeypatch.setattr(emb, "PAIRS_HELD", 500)
+    v, near = grouped_vectors(12, 70)
+    v = np.vstack([v, np.random.default_rng(6).normal(size=(1, 16)) + np.random.default_rng(7).normal(size=(300, 16)) * 0.02])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    nodes = df.selectExpr("vec_id AS node", "embedding").rdd.map(lambda r: (r[0], bytearray(emb.unit(r[1]).tobytes()), 16, 1)).toDF("node long, vec binary, dim int, n long")
+    shards = emb.Shards(nodes)
+    assert len(shards.levels) >= 2 and shards.graph.where("home").count() == len(v)  # at home once
+    got = {r["vec_id"]: r for r in emb.embedding_dedup(df).collect()}
+    want = closed(range(len(v)), zip(*np.nonzero(near), strict=True))
+    found, true = sum(r["n_links"] for r in got.values()), int(near.sum())
+    assert true >= found >= 0.99 * true
+    assert sum(got[i]["component_id"] == want[i] for i in want) >= 0.99 * len(v)
+    assert all(got[i]["n_links"] > 0 for i in want if got[i]["component_id"] != i)
+
+
 def test_questions_to_a_hot_cluster_come_in_turns(spark, monkeypatch):
     monkeypatch.setattr(emb, "QUERIES_MOST", 100)
     asking = spark.range(1300).selectExpr("id AS node", "2 AS dim", "CAST(if(id < 1000, 0, 1 + id % 30) AS int) AS cluster")
