@@ -38,6 +38,16 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
+    ("artistic-2", "this program is free software you can redistribute it and or modify it under the terms of the artistic license", ["artistic license"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ["endorse or promote products derived from this software"]),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("ofl-1", "this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ["without a written agreement is hereby granted"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ["without any express or implied warranty"]),
 ]
 #: The share of a template's words that must stand at their places.
 LEAST = 0.8
@@ -135,7 +145,8 @@ def license_scan(docs: DataFrame, templates=None, phrases=None, id_col: str = "d
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
     A null or empty text has no words, no places, empty labels and score 0. The score is the best template's share of words
-    at their places, and 1 where a phrase stands. Repeated rows are scanned each; other columns are not read.
+    at their places, and 1 where a phrase stands. Long texts are scanned whole, repeated rows each; an empty table gives an
+    empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
@@ -160,3 +171,25 @@ def license_scan(docs: DataFrame, templates=None, phrases=None, id_col: str = "d
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _values(rows) -> str:
+    return ", ".join(f"({', '.join(str(x) if isinstance(x, int) else repr(x) for x in r)})" for r in rows)
+
+
+#: Templates match where LEAST of their words stand at their places and the words there hold all mandatory phrases.
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+places AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS nth FROM w),
+phrases(phrase, label, word, n) AS (VALUES {_values((p, label, p.split()[0], len(p.split())) for p, label in PHRASES)}),
+base AS (SELECT w.doc_id, label, nth FROM places JOIN phrases USING (word) JOIN w ON w.doc_id = places.doc_id AND array_to_string(ws[nth + 1:nth + n], ' ') = phrase),
+based AS (SELECT doc_id, count(*) AS n_base, min(nth) AS first_word, max(nth) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+template(t, label, word, place, n) AS (VALUES {_values((t, label, w, k, len(text.split())) for t, (label, text, _) in enumerate(TEMPLATES) for k, w in enumerate(text.split()))}),
+must(t, phrase) AS (VALUES {_values((t, p) for t, (_, _, ps) in enumerate(TEMPLATES) for p in ps)}),
+votes AS (SELECT doc_id, t, label, nth - place AS start, n, CAST(count(*) AS DOUBLE) / n AS share FROM places JOIN template USING (word) GROUP BY doc_id, t, label, nth - place, n HAVING CAST(count(*) AS DOUBLE) / n >= {LEAST}),
+held AS (SELECT votes.*, ' ' || array_to_string(ws[greatest(start, 0) + 1:start + n], ' ') || ' ' AS span FROM votes JOIN w USING (doc_id)),
+matched AS (SELECT doc_id, label, share FROM held WHERE NOT EXISTS (SELECT 1 FROM must WHERE must.t = held.t AND NOT contains(span, ' ' || phrase || ' '))),
+labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, share AS score FROM matched UNION ALL SELECT doc_id, label, 1.0 FROM base) AS u GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN based USING (doc_id) LEFT JOIN labelled USING (doc_id)
+"""

@@ -11,7 +11,7 @@ import corpus_pipeline
 from compare import duck, rows
 from fixtures import EDGES, edge_docs, words
 from tapewright.llm import language_id, toxicity
-from tapewright.llm.license_scan import PHRASES, license_scan
+from tapewright.llm.license_scan import OP4_SQL, PHRASES, license_scan, op4_license_scan
 from tapewright.llm.url_filter import OP5_SQL, DigestFile, op5_url_filter, url_filter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -43,6 +43,10 @@ def test_licences_equal_brute_force(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+def test_licence_sql(spark, sf):
+    assert rows(op4_license_scan(spark, sf).toPandas()) == rows(duck(sf).sql(OP4_SQL).df())
+
+
 def test_url_sql(spark, sf):
     assert rows(op5_url_filter(spark, sf).toPandas()) == rows(duck(sf).sql(OP5_SQL).df())
 
