@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import WORDS_AT_ONCE, Memo, by_bytes, fold, resident, small_batches, table, texts_of
+from tapewright.llm.common import WORDS_AT_ONCE, Memo, by_bytes, fold, resident, small_batches, table, texts_of, written
 
 SPAN, DECAY = 7, 0.7
 SYMBOLS = 32
@@ -34,6 +34,8 @@ LANDMARKS = 96
 SHORTEST, LONGEST = 4, 9  # letters of a landmark
 #: A run of so many single letters is read as one word.
 SPELLED = 4
+#: Bytes of text that the one training task reads, about.
+TRAINING_BYTES = 256 << 20
 
 
 def _symbols() -> np.ndarray:
@@ -266,13 +268,21 @@ def fit(texts: list[str], toxic: np.ndarray, cost: float = 1.0) -> Machine:
     return Machine(chosen, root, w, (float(s[0]), float(s[1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """The model, from at most about so many labelled rows of either kind whose fold() is not 0."""
+def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 6000, most_bytes: int = TRAINING_BYTES, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+    """The model, from about so many labelled documents of either kind at most, whose fold() is not 0, and about `most_bytes` of text at most.
+
+    Null ids and labels are passed over; an id that is labelled twice is toxic if any label says so, and of the texts of a
+    repeated id one (the least) is read. Null texts are empty ones; texts are read whole. Without a labelled document, or
+    with one kind only, there is nothing to tell apart, and every text gets the same score.
+    """
     marks = labels.select(labels[id_col].alias("doc_id"), (labels["toxic"] == 1).alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     some = marks.where(draw < F.when(F.col("toxic"), toxic / max(n.get(True, 0), 1)).otherwise(clean / max(n.get(False, 0), 1)))
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "training")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_003)) / 1_000_003 < most_bytes / max(size, 1))
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"])
@@ -283,7 +293,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 3000, clean: int = 60
 
 
 def toxicity(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5) -> DataFrame:
-    """(id, score, predicted) of every row: predicted is 1 from a score of `reject` on. A null text is scored as an empty one. Other columns are not read."""
+    """(id, score, predicted) of every row: predicted is 1 from a score of `reject` on.
+
+    A null text is scored as an empty one, long texts whole, and repeated rows each. An empty table gives an empty result. Other
+    columns are not read.
+    """
     small_batches(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(model), ("toxicity", hash(model))
     id_type = docs.schema[id_col].dataType.simpleString()
