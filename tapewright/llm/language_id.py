@@ -5,8 +5,10 @@ them, so the value of a word depends on nothing else and is computed once a work
 arrays of 64-bit hashes (n-grams of all orders with their discounted probabilities, contexts with their back-off weights),
 probed by binary search for all n-grams of a batch at once. The language of the lowest cross-entropy per character wins.
 
-A text is rejected when that cross-entropy lies further above what the language's own texts have than nearly any of them:
-the excess is scaled by the square root of the length, and its limit is taken from labelled rows kept out of the counts.
+A text is rejected when that cross-entropy lies further above what the language's own texts have than nearly any of them. The
+excess is measured in standard deviations: between documents, and of a mean over as many characters as the text's distinct
+words have, so neither length nor repetition alone lets a text go; far above what even the shortest texts have, it is rejected
+in any case. Deviations and limits come from labelled rows that are kept out of the counts.
 
 The models are fitted on a bounded sample of labelled rows (`sample` documents a language, chosen by a hash of the id), one
 task a language; prediction reads every row and whole text in one pass without a shuffle.
@@ -25,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import WORDS_AT_ONCE, Memo, by_bytes, fold, resident, small_batches, table, texts_of
+from tapewright.llm.common import WORDS_AT_ONCE, Memo, by_bytes, fold, resident, small_batches, table, texts_of, written
 
 ORDER = 5
 #: Labels; beyond, the models of all languages don't fit in a worker, and none is left out but an error raised.
 LANG_LIMIT = 1000
 START, END = "\x02", "\x03"
 UND = "und"
+#: Columns of Scorer.of behind the languages'.
+CHARACTERS, RUNS, DISTINCT = -3, -2, -1
+#: Bytes of text that the training task of a language reads, about.
+TRAINING_BYTES = 64 << 20
 #: Of the texts kept for calibration, the share within the limit, and the room left above it.
 CALIBRATION_SHARE, CALIBRATION_ROOM = 0.999, 2.0
 _MIX = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(ORDER)], np.uint64)
@@ -79,12 +85,13 @@ def hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     """One language: sorted gram hashes with discounted probabilities, sorted context hashes with back-off weights."""
 
-    def __init__(self, gram, prob, context, weight, base: float, mean: float = 0.0, limit: float = np.inf):
-        self.gram, self.prob, self.context, self.weight, self.base, self.mean, self.limit = gram, prob, context, weight, base, mean, limit
+    def __init__(self, gram, prob, context, weight, base: float, mean: float = 0.0, between: float = 1.0, within: float = 1.0, limit: float = np.inf, most: float = np.inf):
+        self.gram, self.prob, self.context, self.weight, self.base = gram, prob, context, weight, base
+        self.mean, self.between, self.within, self.limit, self.most = mean, between, within, limit, most
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, gram=self.gram, prob=self.prob, context=self.context, weight=self.weight, rest=np.array([self.base, self.mean, self.limit]))
+        np.savez(out, gram=self.gram, prob=self.prob, context=self.context, weight=self.weight, rest=np.array([self.base, self.mean, self.between, self.within, self.limit, self.most]))
         return out.getvalue()
 
     @classmethod
@@ -92,6 +99,19 @@ class Model:
         x = np.load(io.BytesIO(data))
         return cls(x["gram"], x["prob"], x["context"], x["weight"], *map(float, x["rest"]))
 
+    def calibrate(self, sums: np.ndarray) -> None:
+        """From rows of Scorer.of for texts of the language under this model alone."""
+        low, n = -sums[:, 0] / sums[:, CHARACTERS], sums[:, DISTINCT]
+        self.mean = float(np.median(low))
+        square, long = (low - self.mean) ** 2, n >= np.median(n)
+        self.between, self.within = max(float(square[long].mean()), 1e-6), max(float((square * n)[n <= np.median(n)].mean()), 1e-6)
+        self.limit = float(np.quantile(self.excess(low, n), CALIBRATION_SHARE)) * CALIBRATION_ROOM + 1
+        self.most = float(np.quantile(low - self.mean, CALIBRATION_SHARE)) * CALIBRATION_ROOM + 1
+
+    def excess(self, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Cross-entropies above the language's own, in standard deviations, of texts whose distinct words have n characters."""
+        return (low - self.mean) / np.sqrt(self.between + self.within / np.maximum(n, 1))
+
     def log_p(self, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """Of the last character of each gram, given what stands before."""
         p = np.full(grams.shape[1], self.base)
@@ -166,7 +186,7 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.values = np.zeros((1024, len(self.models) + 2), np.float32)  # a log-probability a language, characters, words
+        self.values = np.zeros((1024, len(self.models) + 2), np.float32)  # a log-probability a language, characters, runs of letters
 
     def _add(self, new: list[str]) -> None:
         for start in range(0, len(new), WORDS_AT_ONCE):
@@ -193,37 +213,41 @@ class Scorer:
         self.at.held += n * self.values.itemsize * self.values.shape[1]
 
     def of(self, texts: list[str]) -> np.ndarray:
-        """A row for each text: a log-probability for each language, characters, words."""
+        """A row for each text: a log-probability for each language, characters, runs of letters, characters of its distinct words."""
         if self.at.room():
             self.clear()
         split = [t.split() for t in texts]
         self._add(list(set(chain.from_iterable(split)).difference(self.at)))
-        out = np.zeros((len(texts), self.values.shape[1]))
+        out = np.zeros((len(texts), self.values.shape[1] + 1))
         get = self.at.__getitem__
         for i, words in enumerate(split):
             if words:
                 rows = np.fromiter(map(get, words), np.int64, len(words))
-                out[i] = self.values[rows].sum(axis=0, dtype=np.float64)
+                out[i, :-1] = self.values[rows].sum(axis=0, dtype=np.float64)
+                out[i, -1] = self.values[np.unique(rows), -2].sum(dtype=np.float64)
         return out
 
 
 def decide(models: list[Model], sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(language number or -1, score, cross-entropy, rejected) of rows of Scorer.of."""
-    n = np.maximum(sums[:, -2], 1)
+    n = np.maximum(sums[:, CHARACTERS], 1)
     entropy = -sums[:, : len(models)] / n[:, None]
     best = entropy.argmin(axis=1)
     low = entropy.min(axis=1)
     shares = np.exp(np.maximum(-(entropy - low[:, None]) * np.sqrt(n)[:, None], -700))
-    mean, limit = np.array([m.mean for m in models]), np.array([m.limit for m in models])
-    none = sums[:, -1] == 0
-    rejected = none | ((low - mean[best]) * np.sqrt(n) > limit[best])
+    none = sums[:, RUNS] == 0
+    rejected = none.copy()
+    for k, m in enumerate(models):
+        own = best == k
+        rejected[own] |= (m.excess(low[own], sums[own, DISTINCT]) > m.limit) | (low[own] - m.mean > m.most)
     return np.where(none, -1, best), np.where(none, 0.0, 1 / shares.sum(axis=1)), np.where(none, 0.0, low), rejected
 
 
-def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
-    """(language, model) for each language of the labelled rows, from at most about `sample` documents of each, in the languages' order.
+def train(docs: DataFrame, sample: int = 2000, most_bytes: int = TRAINING_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
+    """(language, model) for each language of the labelled rows, in the languages' order, from about `sample` documents of each at most, and about `most_bytes` of text.
 
-    Rows whose fold() is 0 are never read for labels. Of the sample a fifth calibrates the limit for rejection, the rest is counted.
+    Rows whose fold() is 0 are never read for labels, nor rows without a text or a language; texts are read whole. Of the
+    texts of a repeated id one (the least) is read. Of the sample a fifth calibrates the limit for rejection, the rest is counted.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
@@ -232,6 +256,10 @@ def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col:
         raise ValueError(f"over {LANG_LIMIT} languages")
     draw: Column = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     chosen = rows.join(F.broadcast(counts), "lang").where(draw * F.col("count") < sample)
+    chosen = written(chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")), "training")
+    sizes = chosen.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))  # LANG_LIMIT rows at most
+    again = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_003)) / 1_000_003
+    chosen = chosen.join(F.broadcast(sizes), "lang").where(again * F.col("bytes") < most_bytes)
 
     def fitted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         find = _letters()
@@ -243,11 +271,9 @@ def train(docs: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col:
         texts = frame["text"][aside].tolist()
         if texts:
             sums = Scorer([model]).of(texts)
-            sums = sums[sums[:, -1] > 0]
+            sums = sums[sums[:, RUNS] > 0]
             if len(sums):
-                low = -sums[:, 0] / sums[:, -2]
-                model.mean = float(np.median(low))
-                model.limit = float(np.quantile((low - model.mean) * np.sqrt(sums[:, -2]), CALIBRATION_SHARE)) * CALIBRATION_ROOM + 1
+                model.calibrate(sums)
         return pd.DataFrame({"lang": [key[0]], "model": [model.dumps()]})
 
     got = chosen.select("doc_id", "text", "lang").groupBy("lang").applyInPandas(fitted, "lang string, model binary").collect()
@@ -267,7 +293,7 @@ def with_known_language(docs: DataFrame, models: list[tuple[str, bytes]], text_c
         _, scorer = _scorer(key, sent)
         for batch in by_bytes(batches, text_col, 1 << 19):
             sums = scorer.of(texts_of(batch, text_col))
-            rejected = decide(scorer.models, sums)[3] if scorer.models else sums[:, -1] == 0
+            rejected = decide(scorer.models, sums)[3] if scorer.models else sums[:, RUNS] == 0
             yield batch.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)
@@ -277,7 +303,9 @@ def language_id(docs: DataFrame, models: list[tuple[str, bytes]], id_col: str =
     """(id, lang_pred, score, cross_entropy, rejected) of every row.
 
     A null text, or one without a letter, is `und` with score 0, rejected; so is any text if no language was learned. The
-    score is the winner's share of exp(-cross-entropy), sharpened by the square root of the length. Other columns are not read.
+    score is the winner's share of exp(-cross-entropy), sharpened by the square root of the length. A tie goes to the first
+    language in order. Long texts are read whole, repeated rows judged each; an empty table gives an empty result. Other columns
+    are not read.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(models)
