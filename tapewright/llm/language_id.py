@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import WORDS_AT_ONCE, Memo, by_bytes, fold, resident, small_batches, table, texts_of, written
+from tapewright.llm.common import MEMO_MOST, WORDS_AT_ONCE, Memo, by_bytes, fold, resident, small_batches, table, texts_of, written
 
 ORDER = 5
 #: Labels; beyond, the models of all languages don't fit in a worker, and none is left out but an error raised.
@@ -182,7 +182,7 @@ class Scorer:
     """Log-probabilities of white-space tokens under every language, each distinct token once."""
 
     def __init__(self, models: list[Model]):
-        self.models, self.find, self.at = models, _letters(), Memo()
+        self.models, self.find, self.at = models, _letters(), Memo(3 * MEMO_MOST // 2)
         self.clear()
 
     def clear(self) -> None:
