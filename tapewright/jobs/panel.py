@@ -74,6 +74,6 @@ def store_predictions(rows: DataFrame, label: str, path: str, **folds) -> DataFr
 
 def backtest(bars: DataFrame, preds: DataFrame, betas: DataFrame, factors: DataFrame, configs: list[BookConfig], proxy: str = "SPY", slip: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(day results, attribution by configuration)."""
-    days = simulate(simulation_panel(bars, preds, betas, proxy), configs)
+    days = written(simulate(simulation_panel(bars, preds, betas, proxy), configs), "days")
     returns = days.select(F.col("config").alias("series"), "date", net_return(slip).alias("ret"))
     return days, attribute(returns, factors)

@@ -13,7 +13,7 @@ from tapewright.jobs import panel
 from tapewright.jobs.fixtures import PROXY, load, oracle
 from tapewright.operators import asof, attribution, clean, coverage, dataset, exposures, features, folds, linear, metrics, resample, simulate
 from tapewright.sources import files
-from tapewright.sources.scratch import scratch_path
+from tapewright.sources.scratch import scratch_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,7 +98,8 @@ def _betas(spark, sf):
 
 
 def _sig(spark, sf):
-    return features.signal_table(_hours(spark, sf), _betas(spark, sf), load(spark, sf, "daily"), CONFIG)
+    hours = written(_hours(spark, sf), "hours")  # as the job has them in its store: read for returns, proxy, days and baseline
+    return features.signal_table(hours, _betas(spark, sf), load(spark, sf, "daily"), CONFIG)
 
 
 def _long(spark, sf):
@@ -109,11 +110,10 @@ def _folds(spark, sf):
     return folds.walk_forward_folds(_long(spark, sf), ["label"])
 
 
-def _days(spark, sf):
-    """Day results of three configurations, on true bars and predictions."""
-    panel_rows = asof.simulation_panel(_hours(spark, sf), load(spark, sf, "preds"), _betas(spark, sf), PROXY)
-    base = {"n_enter": 1, "n_exit": 2}
-    return simulate.simulate(panel_rows, [simulate.BookConfig("r2", rebalance_every=2, **base), simulate.BookConfig("r6", rebalance_every=6, **base), simulate.BookConfig("paper", rebalance_every=2, paper_fill=True, **base)])
+def _backtest(spark, sf):
+    """Day results of three configurations and their attribution, on true bars and predictions."""
+    configs = [simulate.BookConfig(name, n_enter=1, n_exit=2, rebalance_every=k, paper_fill=paper) for name, k, paper in (("r2", 2, False), ("r6", 6, False), ("paper", 2, True))]
+    return panel.backtest(_hours(spark, sf), load(spark, sf, "preds"), _betas(spark, sf), load(spark, sf, "factors"), configs, PROXY)
 
 
 #: Stand-in day results that both engines derive alike: (config, date, gross, fees, traded).
@@ -715,13 +715,12 @@ def _(spark, sf):
 
 @query("h3_simulate", "config:s date:d gross:f fees:f traded:f sold:f trades:i")
 def _(spark, sf):
-    return _days(spark, sf)
+    return _backtest(spark, sf)[0]
 
 
 @query("h4_backtest_attribution", "series:s n:i alpha_annual:f r2:f")
 def _(spark, sf):
-    days = _days(spark, sf).select(F.col("config").alias("series"), "date", num.net_return().alias("ret"))
-    return attribution.attribute(days, load(spark, sf, "factors"))
+    return _backtest(spark, sf)[1]
 
 
 _RANK = "rank() OVER (PARTITION BY fold, date, bkt ORDER BY {0}) + (count(*) OVER (PARTITION BY fold, date, bkt, {0}) - 1) / 2.0"

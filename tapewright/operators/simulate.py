@@ -37,8 +37,8 @@ class BookConfig:
 
 
 def _dense(day: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Presence and values by bucket and symbol, both in order; of repeated rows the first counts."""
-    day = day.drop_duplicates(["bkt", "sym"])
+    """Presence and values by bucket and symbol, both in order; of repeated rows the least counts."""
+    day = day.sort_values(["bkt", "sym", "open", "close", "pred", "beta"]).drop_duplicates(["bkt", "sym"])
     buckets, b = np.unique(day["bkt"].to_numpy(), return_inverse=True)
     symbols, s = np.unique(day["sym"].to_numpy(dtype=str), return_inverse=True)
     there = np.zeros((len(buckets), len(symbols)), bool)
