@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import written
 
 
+#: Nodes that a task's forest holds at once.
+NODES_HELD = 500_000
+
+
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of links (a, b), as few as keep connected what they connect: each node but the smallest with the smallest it reaches. At most a link a node."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -45,7 +49,7 @@ def _forest(frames):
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        if len(parent) > 500_000:  # bounded memory: hand over and begin anew
+        if len(parent) > NODES_HELD:  # bounded memory: hand over and begin anew
             yield pd.DataFrame([(k, root(k)) for k in parent if root(k) != k], columns=["a", "b"], dtype="int64")
             parent.clear()
     yield pd.DataFrame([(k, root(k)) for k in parent if root(k) != k], columns=["a", "b"], dtype="int64")

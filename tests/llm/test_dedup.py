@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
+import tapewright.llm.components as parts
 import tapewright.llm.embedding_dedup as emb
 import tapewright.llm.minhash_dedup as mh
 from compare import duck, rows
@@ -40,6 +42,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_forest_in_parts(monkeypatch):
+    """Handed over in parts, forests connect what the links connect; so does spanning()."""
+    monkeypatch.setattr(parts, "NODES_HELD", 10)
+    r = random.Random(2)
+    links = [(r.randrange(80), r.randrange(80)) for _ in range(70)]
+    frames = [pd.DataFrame(links[i : i + 5], columns=["a", "b"]) for i in range(0, 70, 5)]
+    got = [tuple(x) for f in parts._forest(frames) for x in f.itertuples(index=False)]
+    nodes = {x for p in links for x in p}
+    assert closed(nodes, got) == closed(nodes, links)
+    a, b = parts.spanning(*np.array(links).T)
+    assert closed(nodes, zip(a, b, strict=True)) == closed(nodes, links) and len(a) < len(nodes)
+    assert [len(x) for x in parts.spanning(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
 def test_exact_sql(spark, sf):
     assert rows(op8_exact_dedup(spark, sf).toPandas()) == rows(duck(sf).sql(OP8_SQL).df())
 
@@ -97,9 +113,11 @@ def near_docs():
     return out + ["one two three", "one two three", "ONE two\tthree", "one two", "", "   ", None] + [t for _, t in EDGES]
 
 
-@pytest.mark.parametrize("least", [85, 80])
-def test_near_copies_equal_brute_force(spark, monkeypatch, least):
+@pytest.mark.parametrize(("least", "ids"), [(85, mh.BROADCAST_IDS), (80, 0)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, least, ids):
     monkeypatch.setattr(mh, "BLOCK", 16)
+    monkeypatch.setattr(mh, "SETS_BLOCK", 16)
+    monkeypatch.setattr(mh, "BROADCAST_IDS", ids)
     texts = near_docs()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string").repartition(3)
     got = {r["doc_id"]: r for r in mh.minhash_dedup(docs, least=least).collect()}

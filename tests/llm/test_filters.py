@@ -199,6 +199,22 @@ def test_pipeline_against_brute_force(spark, sf):
 
 
 
+@pytest.mark.parametrize("ids", [0, corpus_pipeline.BROADCAST_IDS])
+def test_pipeline_tells_rows_of_files_apart(spark, sf, tmp_path, monkeypatch, ids):
+    """Documents read from files: of rows equal in everything one stays, by broadcast and by shuffle."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", ids)
+    text = [" ".join(words(60, 500 + i)) for i in range(4)]
+    data = [(1, text[0], 9, "a"), (1, text[0], 9, "a"), (2, text[1], 9, "a"), (2, text[2], 9, "a"), (None, text[0], 9, "a"), (3, text[3] + " tail", 9, "a"), (4, text[3], 9, "a"), (5, None, 9, "a"), (6, "", 9, "a")]
+    spark.createDataFrame(data, "doc_id long, text string, file int, row string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    exact = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert exact.columns == docs.columns
+    assert Counter(r["doc_id"] for r in exact.collect()) == Counter([1, 2, 2, 3, 4, 5])
+    near = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert near.columns == docs.columns
+    assert Counter(r["doc_id"] for r in near.collect()) == Counter([1, 2, 2, 3, 5, 6])
+
+
 def test_pipeline_drops_rows_and_not_ids(spark, sf):
     """Repeated rows, repeated ids with other texts and null ids: of each class of copies exactly one row stays."""
     base = [words(80, 900 + i) for i in range(5)]
