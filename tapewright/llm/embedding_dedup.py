@@ -37,7 +37,7 @@ OVERLAP, PROBES = 3, 6
 #: Clusters whose centroid is less than so much further off (in cosine) than the nearest one are searched as well.
 NEARLY = 0.02
 SAMPLE, CENTROIDS_MOST, CHUNK_BYTES = 20_000, 4096, 64 << 20
-DEGREE, POOL, ALPHA, BEAM, MARGIN = 24, 96, 1.2, 32, 0.10
+DEGREE, POOL, ALPHA, BEAM, MARGIN, EXPANDED = 24, 96, 1.2, 32, 0.10, 16
 #: The audit takes AUDITED nodes, four times as many while it has seen fewer than SEEN links, AUDITED_MOST at most.
 AUDITED, AUDITED_MOST, SEEN, RECALL = 256, 4096, 200, 0.99
 PAIRS_HELD = 1 << 20
@@ -151,7 +151,7 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, q:
         open_ = np.flatnonzero(~done)
         if not len(open_):
             break
-        at = open_[:4]  # the best few, as the beam is in order
+        at = open_[:EXPANDED]  # the best few, as the beam is in order
         done[at] = True
         new = np.unique(np.concatenate([lists[i] for i in ids[at]]))
         new = new[~seen[new]]
