@@ -34,6 +34,8 @@ ORDER = 5
 LANG_LIMIT = 1000
 START, END = "\x02", "\x03"
 UND = "und"
+#: Languages whose models share arrays of hashes.
+TOGETHER = 8
 #: Columns of Scorer.of behind the languages'.
 CHARACTERS, RUNS, DISTINCT = -3, -2, -1
 #: Bytes of text that the training task of a language reads, about.
@@ -178,10 +180,42 @@ def _gram_hash(grams: list[str], k: int) -> np.ndarray:
         return _mixed((code[:, ::-1] * _MIX[: k + 1]).sum(axis=1, dtype=np.uint64) + np.uint64((k + 1) << 56))
 
 
+class Together:
+    """Several languages' models on shared sorted hashes, a column each: a gram is looked up once for all of them."""
+
+    def __init__(self, models: list[Model]):
+        self.gram, self.prob = self._merged([(m.gram, m.prob) for m in models], 0.0)
+        self.context, self.weight = self._merged([(m.context, m.weight) for m in models], 1.0)
+        self.base, self.first = np.array([m.base for m in models]), np.array([m.weight[0] for m in models])
+
+    @staticmethod
+    def _merged(parts: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.unique(np.concatenate([k for k, _ in parts]))
+        out = np.full((len(keys) + 1, len(parts)), missing)  # the last row is what keys that aren't there have
+        for j, (k, v) in enumerate(parts):
+            out[np.searchsorted(keys, k), j] = v
+        return keys, out
+
+    @staticmethod
+    def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return values[np.where(keys[at] == wanted, at, len(keys))]
+
+    def log_p(self, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Model.log_p of every language, a column each."""
+        p = np.tile(self.base, (grams.shape[1], 1))
+        for k in range(ORDER):
+            there = np.flatnonzero(grams[k])
+            w = self._looked_up(self.context, self.weight, contexts[k, there]) if k else self.first
+            p[there] = self._looked_up(self.gram, self.prob, grams[k, there]) + w * p[there]
+        return np.log(p)
+
+
 class Scorer:
     """Log-probabilities of white-space tokens under every language, each distinct token once."""
 
     def __init__(self, models: list[Model]):
+        self.together = [(k, Together(models[k : k + TOGETHER])) for k in range(0, len(models), TOGETHER)]
         self.models, self.find, self.at = models, _letters(), Memo(3 * MEMO_MOST // 2)
         self.clear()
 
@@ -205,8 +239,9 @@ class Scorer:
             _, one, back = np.unique(whole, return_index=True, return_inverse=True)
             grams, contexts = grams[:, one], contexts[:, one]
             to = owner[word]
-            for j, m in enumerate(self.models):
-                self.values[first : first + n, j] = np.bincount(to, m.log_p(grams, contexts)[back], n)
+            for j, some in self.together:
+                for c, column in enumerate(some.log_p(grams, contexts).T):
+                    self.values[first : first + n, j + c] = np.bincount(to, column[back], n)
             self.values[first : first + n, -2] = np.bincount(to, minlength=n)
             self.values[first : first + n, -1] = np.bincount(owner, minlength=n)
         self.at.fill(new, range(first, first + n))
