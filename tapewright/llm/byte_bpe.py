@@ -20,7 +20,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.llm.common import Memo, by_bytes, resident, shipped, small_batches, table, texts_of
+from tapewright.llm.common import MEMO_MOST, Memo, by_bytes, resident, shipped, small_batches, table, texts_of
 from tapewright.llm.pieces import PieceCache, batched
 
 
@@ -138,7 +138,7 @@ def coder(data: bytes, pattern: str) -> tuple[ByteBPE, Callable[[list[str]], Ite
     import regex
 
     bpe, find = ByteBPE(read_ranks(data)), regex.compile(pattern).finditer
-    known = Memo()  # ids as unsigned 32-bit numbers: small, and no work for the garbage collector
+    known = Memo(2 * MEMO_MOST)  # ids as unsigned 32-bit numbers: small, and no work for the garbage collector
 
     def encode(pieces: list[str]) -> list[bytes]:
         known.room()
@@ -160,7 +160,7 @@ def coder(data: bytes, pattern: str) -> tuple[ByteBPE, Callable[[list[str]], Ite
         return out
 
     if pattern == public_tokenizers.PATTERN:
-        return bpe, lambda texts, cache=PieceCache(encode, spaced=True): batched(cache.of, texts)
+        return bpe, lambda texts, cache=PieceCache(encode, spaced=True, most=2 * MEMO_MOST): batched(cache.of, texts)
     return bpe, lambda texts: ([[x]] for x in encode(texts))
 
 
