@@ -5,6 +5,7 @@ from __future__ import annotations
 from tapewright.llm.byte_bpe import op10_byte_bpe
 from tapewright.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from tapewright.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from tapewright.llm.filter_audit import OP13_SQL, op13_filter_audit
 from tapewright.llm.language_id import op9_language_id
 from tapewright.llm.license_scan import OP4_SQL, op4_license_scan
 from tapewright.llm.minhash_dedup import OP2_SQL, op2_minhash_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_license_scan": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_license_scan": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op13_filter_audit": OP13_SQL}
