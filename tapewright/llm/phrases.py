@@ -57,16 +57,16 @@ class _Codes(dict):
 class _Batch:
     """The words of one language in a task, as codes."""
 
-    def __init__(self) -> None:
-        self.codes, self.parts = _Codes({b"\n": 0, b"": 1}), []
+    def __init__(self, cut: int) -> None:
+        self.codes, self.parts, self.cut = _Codes({b"\n": 0, b"": 1}), [], cut
 
     def add(self, text: str) -> None:
         data = text.encode().translate(_FOLD)
         start = 0
         while start < len(data):
             end = len(data)
-            if end - start > CUT_BYTES:  # after a word, however long it is
-                ends = [x for x in (data.find(b" ", start + CUT_BYTES), data.find(b"\n", start + CUT_BYTES)) if x >= 0]
+            if end - start > self.cut:  # after a word, however long it is
+                ends = [x for x in (data.find(b" ", start + self.cut), data.find(b"\n", start + self.cut)) if x >= 0]
                 end = min(ends, default=end)
             words = data[start:end].replace(b"\n", b" \n ").split(b" ")
             got = np.fromiter(map(self.codes.__getitem__, words), np.uint32, len(words))
@@ -86,22 +86,25 @@ class _Batch:
             yield pa.RecordBatch.from_arrays([pa.array([batch] * k, pa.int64()), pa.array([lang] * k, pa.string()), pa.array(np.arange(i, i + k), pa.int32()), pa.array(part, pa.binary()).cast(pa.string()), pa.array(counts[i : i + k], pa.int64()), pa.nulls(k, pa.binary())], schema=_ROWS)
 
 
-def _coded(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each batch with its codes, and one for each of its words."""
-    task, made, held, open_ = TaskContext.get().partitionId(), 0, 0, {}
-    for frame in by_bytes(frames):
-        for text, lang in zip(frame.column("text").to_pylist(), frame.column("lang").to_pylist(), strict=True):
-            if text:
-                open_.setdefault(lang, _Batch()).add(text)
-        held += pc.sum(pc.fill_null(pc.binary_length(frame.column("text")), 0)).as_py() or 0
-        if held > BATCH_BYTES:
-            for lang, b in open_.items():
-                yield from b.rows(task << 32 | made, lang)
-                made += 1
-            open_, held = {}, 0
-    for lang, b in open_.items():
-        yield from b.rows(task << 32 | made, lang)
-        made += 1
+def _coded(most: int, cut: int):
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each batch with its codes, and one for each of its words."""
+        task, made, held, open_ = TaskContext.get().partitionId(), 0, 0, {}
+        for frame in by_bytes(frames):
+            for text, lang in zip(frame.column("text").to_pylist(), frame.column("lang").to_pylist(), strict=True):
+                if text:
+                    open_.setdefault(lang, _Batch(cut)).add(text)
+            held += pc.sum(pc.fill_null(pc.binary_length(frame.column("text")), 0)).as_py() or 0
+            if held > most:
+                for lang, b in open_.items():
+                    yield from b.rows(task << 32 | made, lang)
+                    made += 1
+                open_, held = {}, 0
+        for lang, b in open_.items():
+            yield from b.rows(task << 32 | made, lang)
+            made += 1
+
+    return run
 
 
 def _pairs(key: tuple, codes: pa.Table, names: pa.Table) -> pa.Table:
@@ -166,7 +169,7 @@ def phrase_mining(docs: DataFrame, most: int = 2000, least: int = 30, longest: i
     one without phrases that are frequent, gives no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    rows = written(docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")).mapInArrow(_coded, "batch long, lang string, code int, word string, n long, codes binary"), "words")
+    rows = written(docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")).mapInArrow(_coded(BATCH_BYTES, CUT_BYTES), "batch long, lang string, code int, word string, n long, codes binary"), "words")
     totals = rows.where("codes IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     keys = ["lang", "word"]
     named = _named(rows, keys, least, "words-named")
