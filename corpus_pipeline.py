@@ -21,23 +21,41 @@ from tapewright.llm.packing import pack
 BROADCAST_IDS = 2_000_000
 
 
+def _bare(docs: DataFrame) -> bool:
+    """Whether docs are rows of files, with columns chosen or computed at most: no other step can repeat, add or choose rows."""
+    nodes, left = set(), [docs._jdf.queryExecution().analyzed()]
+    while left:
+        node = left.pop()
+        nodes.add(node.getClass().getSimpleName())
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return nodes <= {"LogicalRelation", "SubqueryAlias", "Project"}
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, list[str], DataFrame]:
     """docs with what tells its rows apart, the names of those columns, and (key, text) of every row.
 
-    Rows read from files are told apart by their file and their place in it, so no document is written again; other rows get
-    numbers and are written once, so that these don't change. A key is (no_id, doc_id, place): unlike doc_id it is never null
-    and never repeated, and keys are in the order of doc_id, null ids last.
+    Rows of files are told apart by their file and their place in it, so no document is written again, once it is counted that
+    no place is there twice (a file may be named twice). All other rows (of joins, samples, unions) get numbers and are written
+    once, so that these don't change. A key is (no_id, doc_id, place): unlike doc_id it is never null and never repeated, and
+    keys are in the order of doc_id, null ids last.
     """
     place = ["file", "row"]
     while set(place) & set(docs.columns):
         place = [f"{c}_" for c in place]
     file, row = place
-    try:
-        docs = docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
-    except AnalysisException:  # not read from files
-        docs = written(docs.select("*", F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(row)), name)
+    placed = None
+    if _bare(docs):
+        try:
+            placed = docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+            if placed.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+                placed = None
+        except AnalysisException:  # files without places
+            placed = None
+    if placed is None:
+        placed = written(docs.select("*", F.lit(0).cast("long").alias(file), F.monotonically_increasing_id().alias(row)), name)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col(file).alias("file"), F.col(row).alias("row"))
-    return docs, place, docs.select(key.alias("key"), "text")
+    return placed, place, placed.select(key.alias("key"), "text")
 
 
 def without(docs: DataFrame, place: list[str], gone: DataFrame, name: str) -> DataFrame:
