@@ -132,6 +132,23 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int
     _hand_back()  # the worker waits for other tasks, maybe of a stage without Python
 
 
+def row_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (tuples with bytes among them) in record batches of about `most` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 16 + sum(len(v) for v in row if isinstance(v, bytes))
+        if size > most:
+            yield _record_batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _record_batch(held, schema)
+
+
+def _record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     """From now on at most ARROW_ROWS rows in this session's Arrow batches: with Spark's default of 10,000 a whole partition of texts is one batch, held in the JVM and in Python."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

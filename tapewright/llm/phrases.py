@@ -1,9 +1,10 @@
 """Phrase mining by hierarchical pair naming.
 
 A batch of texts of one language becomes a sequence of small local codes, one a word, 0 between pieces. Level by level, the
-adjacent names of two overlapping (k-1)-grams are a pair: a batch counts its own distinct pairs, all batches' counts are summed
-by pair, frequent pairs get a global id, and a join tells each batch the ids of its pairs, so that the next level looks at
-frequent names only. Texts aren't read again, and what is shuffled is a batch's distinct pairs, not its words. An id's pair is
+adjacent names of two overlapping (k-1)-grams are a pair: a batch counts its own distinct pairs and sends them, packed, to the
+ranges of their hashes; there all batches meet, frequent pairs get a global id, and each batch is told the ids of its own, so
+that the next level looks at frequent names only. Texts aren't read again, and what is shuffled is a batch's distinct pairs,
+not its words, so that a pair that stands everywhere is one entry a batch. An id's pair is
 its two parents, the phrase without its last word and without its first: following them gives the counts of both sides of
 every cut, and a phrase is contained in a longer frequent one as often as in its most frequent child.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapewright.llm.common import by_bytes, small_batches, table, written
+from tapewright.llm.common import by_bytes, row_batches, small_batches, table, written
 
 #: How texts are cut and folded, and what stands for a missing language.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -30,12 +31,17 @@ SCALE = 2_000_000
 BATCH_BYTES = 16 << 20
 #: Bytes that are cut into words at once.
 CUT_BYTES = 1 << 20
+#: Ranges of pairs' hashes for each shuffle partition; one range is counted at a time.
+RANGES = 4
 #: A language's best phrases are sought in so many parts first.
 PARTS = 64
 
 _FOLD = bytes(10 if c in PIECE_ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ROWS = pa.schema([("batch", pa.int64()), ("lang", pa.string()), ("code", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("codes", pa.binary())])
-_PAIRS = pa.schema([("batch", pa.int64()), ("code", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())])
+_LEVEL = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("id", pa.int64()), ("l", pa.int64()), ("r", pa.int64())])
+_SHAPE = "range int, kind int, batch long, n long, data binary, id long, l long, r long"
+#: Kinds of rows between levels: a frequent pair, what a batch is told of its pairs or sends of them, a batch's codes.
+NAMED, PART, CODES = 0, 1, 2
 
 
 def _sealed(codes: np.ndarray) -> tuple[int, bytes]:
@@ -107,40 +113,123 @@ def _coded(most: int, cut: int):
     return run
 
 
-def _pairs(key: tuple, codes: pa.Table, names: pa.Table) -> pa.Table:
-    """A batch's distinct pairs of adjacent named codes, and its sequence in codes of those pairs."""
-    if not codes.num_rows or not names.num_rows:
-        return pa.Table.from_batches([], _PAIRS)
-    seq = _opened(codes["n"][0].as_py(), codes["codes"][0].as_py())
-    code, ids = names["code"].to_numpy(), names["id"].to_numpy()
-    known = np.zeros(max(int(seq.max(initial=0)), int(code.max())) + 1, np.int64)
-    known[code] = np.arange(1, len(code) + 1)
-    here = known[seq]
-    both = (here[:-1] > 0) & (here[1:] > 0)
-    u, inverse, n = np.unique(here[:-1][both] * (len(code) + 1) + here[1:][both], return_inverse=True, return_counts=True)
-    if not len(u):
-        return pa.Table.from_batches([], _PAIRS)
-    new = np.zeros(len(both), np.uint32)
-    new[both] = inverse + 1
-    size, data = _sealed(new)
-    batch = codes["of"][0].as_py()
-    left, right = ids[u // (len(code) + 1) - 1], ids[u % (len(code) + 1) - 1]
-    k = len(u)
-    rows = pa.RecordBatch.from_arrays([pa.array(np.full(k, batch)), pa.array(np.arange(1, k + 1), pa.int32()), pa.array(left), pa.array(right), pa.array(n, pa.int64()), pa.nulls(k, pa.binary())], schema=_PAIRS)
-    return pa.Table.from_batches([rows, pa.RecordBatch.from_pylist([{"batch": batch, "n": size, "codes": data}], schema=_PAIRS)])
-
-
-def _named(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """(id, keys, f) of what occurs often enough over all batches."""
-    sums = rows.where("codes IS NULL").groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return written(sums.select(F.monotonically_increasing_id().alias("id"), *keys, "f"), name)
-
-
-def _next_level(rows: DataFrame, named: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The pairs of adjacent named codes in every batch."""
-    told = rows.where("codes IS NULL").select("batch", "code", *keys).join(named.select("id", *keys), keys).select("batch", "code", "id")
-    codes = rows.where("codes IS NOT NULL").select(F.col("batch").alias("of"), "n", "codes")
-    return written(codes.groupBy("of").cogroup(told.groupBy("batch")).applyInArrow(_pairs, "batch long, code int, l long, r long, n long, codes binary"), name)
+def _shut(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length, byte by byte: bytes that are mostly equal take no room."""
+    return pa.compress(b"".join(np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _open(n: int, columns: int, data: bytes) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(data, 8 * n * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(p.T).view("<i8")[:, 0] for p in planes]
+
+
+def _mixed(l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
+    h = l.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ r.astype(np.uint64)
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(c)
+    return h ^ (h >> np.uint64(33))
+
+
+def _pairs(ranges: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """A batch's distinct pairs of adjacent named codes by range of their hashes, and its sequence in codes of those pairs."""
+        batch, seq, code, ids = rows["batch"][0].as_py(), None, [], []
+        plain = rows.filter(pc.equal(rows["kind"], NAMED))
+        code.append(plain["n"].to_numpy()), ids.append(plain["id"].to_numpy())
+        for kind, n, data in zip(*(rows[c].to_pylist() for c in ("kind", "n", "data")), strict=True):
+            if kind == CODES:
+                seq = _opened(n, data)
+            elif kind == PART:
+                for column, to in zip(_open(n, 2, data), (code, ids), strict=True):
+                    to.append(np.cumsum(column) if to is code else column)
+        code, ids = np.concatenate(code), np.concatenate(ids)
+        if seq is None or not len(code):
+            return _LEVEL.empty_table()
+        known = np.zeros(max(int(seq.max(initial=0)), int(code.max())) + 1, np.int64)
+        known[code] = np.arange(1, len(code) + 1)
+        here = known[seq]
+        both = (here[:-1] > 0) & (here[1:] > 0)
+        u, inverse, n = np.unique(here[:-1][both] * (len(code) + 1) + here[1:][both], return_inverse=True, return_counts=True)
+        left, right = ids[u // (len(code) + 1) - 1], ids[u % (len(code) + 1) - 1]
+        of = ((_mixed(left, right) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((right, left, of))  # a pair's code is its place in this order, so a range's codes follow each other
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(1, len(order) + 1)
+        new = np.zeros(len(both), np.uint32)
+        new[both] = place[inverse]
+        left, right, n, of = left[order], right[order], n[order], of[order]
+        cuts = np.searchsorted(of, np.arange(ranges + 1))
+        out = []
+        for r in np.flatnonzero(cuts[:-1] < cuts[1:]).tolist():
+            a, z = int(cuts[r]), int(cuts[r + 1])
+            out.append((r, PART, batch, z - a, _shut(np.diff(left[a:z], prepend=0), right[a:z], n[a:z]), a + 1, None, None))
+        if out:
+            size, data = _sealed(new)
+            out.append((batch % ranges, CODES, batch, size, data, None, None, None))
+        return pa.Table.from_batches(row_batches(out, _LEVEL), _LEVEL)
+
+    return run
+
+
+def _counted(least: int):
+    def named(at: int, parts: list[tuple[int, int, int, bytes]]) -> Iterator[tuple]:
+        """Of one range: frequent pairs with their ids, and what each batch is told of its own."""
+        sizes = [n for _, n, _, _ in parts]
+        columns = [_open(n, 3, data) for _, n, _, data in parts]
+        left, right, n = (np.concatenate(c) for c in ([np.cumsum(x[0]) for x in columns], [x[1] for x in columns], [x[2] for x in columns]))
+        order = np.lexsort((right, left))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
+        first = np.flatnonzero(fresh)
+        total = np.add.reduceat(n[order], first)
+        kept = total >= least
+        number = np.where(kept, (at << 32) + np.cumsum(kept) - 1, -1)
+        for i in np.flatnonzero(kept).tolist():
+            j = order[first[i]]
+            yield (at, NAMED, None, int(total[i]), None, int(number[i]), int(left[j]), int(right[j]))
+        ids = np.empty(len(order), np.int64)
+        ids[order] = number[np.cumsum(fresh) - 1]
+        start = 0
+        for (batch, _, base, _), size in zip(parts, sizes, strict=True):
+            own = ids[start : start + size]
+            start += size
+            told = np.flatnonzero(own >= 0)
+            if len(told):
+                yield (at, PART, batch, len(told), _shut(np.diff(told + base, prepend=0), own[told]), None, None, None)
+
+    def rows(frames: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        at, parts = None, []
+        for frame in frames:
+            for r, kind, batch, n, data, base in zip(*(frame.column(c).to_pylist() for c in ("range", "kind", "batch", "n", "data", "id")), strict=True):
+                if r != at and parts:
+                    yield from named(at, parts)
+                    parts = []
+                at = r
+                if kind == CODES:
+                    yield (r, kind, batch, n, data, None, None, None)
+                else:
+                    parts.append((batch, n, base, data))
+        if parts:
+            yield from named(at, parts)
+
+    return lambda frames: row_batches(rows(frames), _LEVEL)
+
+
+def _named_words(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, lang, word, f) of frequent words, and the rows that tell each batch of its own."""
+    words = rows.where("codes IS NULL")
+    sums = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    named = written(sums.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "words-named")
+    told = words.select("batch", "code", "lang", "word").join(named.drop("f"), ["lang", "word"]).select(F.lit(NAMED).alias("kind"), "batch", F.col("code").cast("long").alias("n"), "id")
+    codes = rows.where("codes IS NOT NULL").select(F.lit(CODES).alias("kind"), "batch", "n", F.col("codes").alias("data"))
+    return named, codes.unionByName(told, allowMissingColumns=True).select("kind", "batch", "n", "data", "id")
+
+
+def _next_level(rows: DataFrame, ranges: int, least: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, l, r, f) of the frequent pairs of adjacent named codes, and the rows that tell each batch of its own."""
+    sent = rows.groupBy("batch").applyInArrow(_pairs(ranges), _SHAPE).repartition("range").sortWithinPartitions("range")
+    level = written(sent.mapInArrow(_counted(least), _SHAPE), name)
+    return level.where(F.col("kind") == NAMED).select("id", "l", "r", F.col("n").alias("f")), level.where(F.col("kind") != NAMED).select("kind", "batch", "n", "data", "id")
 
 
 def _phrases(named: DataFrame, shorter: DataFrame, name: str) -> DataFrame:
@@ -171,14 +260,12 @@ def phrase_mining(docs: DataFrame, most: int = 2000, least: int = 30, longest: i
     small_batches(docs.sparkSession)
     rows = written(docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")).mapInArrow(_coded(BATCH_BYTES, CUT_BYTES), "batch long, lang string, code int, word string, n long, codes binary"), "words")
     totals = rows.where("codes IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    keys = ["lang", "word"]
-    named = _named(rows, keys, least, "words-named")
+    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named, rows = _named_words(rows, least)
     none = F.array().cast("array<bigint>")
     levels = [named.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"))]
     for words in range(2, longest + 1):
-        rows = _next_level(rows, named, keys, f"pairs-{words}")
-        keys = ["l", "r"]
-        named = _named(rows, keys, least, f"pairs-named-{words}")
+        named, rows = _next_level(rows, ranges, least, f"pairs-{words}")
         levels.append(_phrases(named, levels[-1], f"phrases-{words}"))
     found = None
     for i, level in enumerate(levels[1:], 1):
