@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import by_bytes, small_batches, table, written
+from tapewright.llm.common import by_bytes, row_batches, small_batches, table, written
 
 #: A missing id counts as this one, after all others.
 NO_ID = 2**63 - 1
@@ -134,7 +134,7 @@ class _Batch:
             self.docs.append((doc, t, n))
             self.hashes.append(_mixed(h))
 
-    def rows(self, batch: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, batch: int, ranges: int) -> Iterator[tuple]:
         if not self.docs:
             return
         docs = np.array(self.docs, np.int64)
@@ -149,7 +149,7 @@ class _Batch:
         fresh[1:] = m[order][1:] != m[order][:-1]
         leader = order[np.maximum.accumulate(np.where(fresh, np.arange(len(m)), 0))]
         again = np.column_stack([place[leader[~fresh]], place[order[~fresh]]]).astype("<u4")
-        yield self._row(0, 2, batch, docs.astype("<i8").tobytes(), again.tobytes())
+        yield (batch % ranges, 2, batch, docs.astype("<i8").tobytes(), again.tobytes())
         own = np.flatnonzero(at % self.block == 0)
         blocks = np.zeros(len(own), _BLOCKS)
         blocks["m"], blocks["id"], blocks["t"], blocks["at"], blocks["place"] = m[own], docs[of[own], 0], docs[of[own], 1], at[own], place[own]
@@ -164,22 +164,18 @@ class _Batch:
         prints = (m[sent] & np.uint64(_PRINT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         for r in range(ranges):
             if bounds[r] < bounds[r + 1]:
-                yield self._row(r, 0, batch, blocks[bounds[r] : bounds[r + 1]].tobytes(), None)
+                yield (r, 0, batch, blocks[bounds[r] : bounds[r + 1]].tobytes(), None)
             mine = by_range[cuts[r] : cuts[r + 1]]
             if len(mine):
                 gaps = np.diff(place[sent[mine]], prepend=0).astype("<u4")  # places as steps, whose upper bytes are mostly 0
-                yield self._row(r, 1, batch, prints[mine].tobytes(), gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
-
-    @staticmethod
-    def _row(*values) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ROWS, strict=True)], schema=_ROWS)
+                yield (r, 1, batch, prints[mine].tobytes(), gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _sent(window: int, ranges: int):
     """Rows of kind 0 (blocks), 1 (probes) and 2 (documents of a batch)."""
     most = min(BATCH_MOST, max(BATCH_LEAST, BATCH_SHARE * ranges))
 
-    def send(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(frames: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         task, made, batch = TaskContext.get().partitionId(), 0, _Batch(window)
         for frame in by_bytes(frames):
             for doc, t, text in zip(*(frame.column(c).to_pylist() for c in ("id", "t", "text")), strict=True):
@@ -189,10 +185,14 @@ def _sent(window: int, ranges: int):
                 made, batch = made + 1, _Batch(window)
         yield from batch.rows(task << 32 | made, ranges)
 
-    return send
+    return lambda frames: row_batches(send(frames), _ROWS)
 
 
 def _hit(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return row_batches(_hits(frames), _ROWS)
+
+
+def _hits(frames: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """Of rows in order of range and kind: blocks are gathered for one range at a time, then probes stream past them."""
     held, at = [], None
     blocks = None
@@ -203,7 +203,7 @@ def _hit(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 held.append((batch, np.frombuffer(data, _BLOCKS)))
             elif kind == 2:
-                yield _Batch._row(0, 2, batch, data, more)
+                yield (0, 2, batch, data, more)
             elif held or blocks is not None:
                 if blocks is None:
                     blocks, held = _smallest(held), []
@@ -224,7 +224,7 @@ def _hit(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out[c] = found[c][entry]
                 out = out[(batches[entry] != batch) | (found["place"][entry] != out["place"])]  # a block of its own doesn't count
                 if len(out):
-                    yield _Batch._row(0, 1, batch, out.tobytes(), None)
+                    yield (0, 1, batch, out.tobytes(), None)
 
 
 def _smallest(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
