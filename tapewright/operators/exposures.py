@@ -19,42 +19,60 @@ def excess_returns(daily: DataFrame, factors: DataFrame) -> DataFrame:
     return rows.join(factors.select("date", *FACTOR_NAMES, "rf"), "date").select("sym", "date", (F.col("ret") - F.col("rf")).alias("exret"), *FACTOR_NAMES)
 
 
+def window_sums(terms: np.ndarray, window: int, half_life: float) -> np.ndarray:
+    """Decayed sums of the last `window` rows at every row (fewer at the start); a row's weight halves every half_life rows.
+
+    Rows are cut into blocks as long as the window, so that a window is the end of one block and the beginning of the next.
+    Beginnings and ends of all blocks are summed up together, a place at a time. Nothing is ever subtracted: a missing or huge
+    value counts in the windows that hold it and leaves no trace in others.
+    """
+    n, k = terms.shape
+    blocks = -(-n // window) if n else 0
+    padded = np.zeros((blocks, window, k))
+    padded.reshape(-1, k)[:n] = terms
+    keep = 0.5 ** (1 / half_life)
+    begins, ends = np.empty_like(padded), np.empty_like(padded)
+    so_far, rest = np.zeros((blocks, k)), np.zeros((blocks, k))
+    for i in range(window):
+        so_far = so_far * keep + padded[:, i]
+        begins[:, i] = so_far
+        rest = rest + padded[:, window - 1 - i] * keep**i
+        ends[:, window - 1 - i] = rest
+    out = begins.reshape(-1, k)[:n].copy()
+    at = np.arange(n)
+    inside = (at % window != window - 1) & (at >= window)  # windows that reach back into the block before
+    weight = keep ** (at[inside] % window + 1.0)
+    out[inside] += ends.reshape(-1, k)[at[inside] - window + 1] * weight[:, None]
+    return out
+
+
 def fit_windows(x: np.ndarray, y: np.ndarray, window: int, min_obs: int, half_life: float, ridge: float) -> np.ndarray:
     """Rows (coefficients..., r2, nobs) of every window end from the min_obs-th row on; weights halve every half_life rows.
 
-    A window's weighted sums are differences of running sums, in which a row counts for 2^(row / half_life): the sums grow, so
-    little is lost in the difference. Blocks are short enough for that weight to stay in range.
+    A window that holds a missing value has no fit (NaN).
     """
     n, k = x.shape
+    if n < min_obs:
+        return np.zeros((0, k + 2))
     i, j = np.triu_indices(k + 1)
     z = np.column_stack([x, y])
-    out = []
-    step = max(1, int(500 * half_life) - window) if np.isfinite(half_life) else n
-    for begin in range(min_obs - 1, n, step):
-        end = min(begin + step, n)
-        low = max(0, begin - window + 1)
-        part = z[low:end]
-        weight = 0.5 ** ((len(part) - 1 - np.arange(len(part))) / half_life)
-        terms = np.column_stack([part[:, i] * part[:, j], part[:, -1], np.ones(len(part))]) * weight[:, None]
-        running = np.vstack([np.zeros(terms.shape[1]), np.cumsum(terms, axis=0)])
-        ends = np.arange(begin, end) - low
-        sums = (running[ends + 1] - running[np.maximum(ends + 1 - window, 0)]) / weight[ends, None]
-        m = np.empty((len(ends), k + 1, k + 1))
-        m[:, i, j] = m[:, j, i] = sums[:, : len(i)]
-        swy, sw = sums[:, -2], sums[:, -1]
-        xx, xy, yy = m[:, :k, :k], m[:, :k, k], m[:, k, k]
+    sums = window_sums(np.column_stack([z[:, i] * z[:, j], y, np.ones(n)]), window, half_life)[min_obs - 1 :]
+    m = np.empty((len(sums), k + 1, k + 1))
+    m[:, i, j] = m[:, j, i] = sums[:, : len(i)]
+    swy, sw = sums[:, -2], sums[:, -1]
+    xx, xy, yy = m[:, :k, :k], m[:, :k, k], m[:, k, k]
+    with np.errstate(invalid="ignore", over="ignore"):
         beta = np.linalg.solve(xx + ridge * np.eye(k), xy[..., None])[..., 0]
         sse = yy - 2 * (beta * xy).sum(1) + np.einsum("bi,bij,bj->b", beta, xx, beta)
         sst = yy - swy * swy / sw
-        r2 = np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), 0.0)
-        out.append(np.column_stack([beta, r2, np.minimum(np.arange(begin, end) + 1, window)]))
-    return np.vstack(out) if out else np.zeros((0, k + 2))
+        r2 = np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), np.where(np.isnan(sst), np.nan, 0.0))
+    return np.column_stack([beta, r2, np.minimum(np.arange(min_obs - 1, n) + 1, window)])
 
 
 def rolling_betas(daily: DataFrame, factors: DataFrame, window: int = 250, min_obs: int = 120, half_life: float = 60.0, ridge: float = 1e-4, chunk: int = 5000) -> DataFrame:
     """(date, sym, alpha, mkt, smb, hml, wml, r2, nobs): one regression for each symbol and day from its min_obs-th on.
 
-    A long history is fitted in chunks of `chunk` rows, each with the window - 1 rows before it, so that few symbols still
+    A missing return or factor spoils the windows that hold it (NaN) and no other. A long history is fitted in chunks of `chunk` rows, each with the window - 1 rows before it, so that few symbols still
     make many tasks and a group stays small.
     """
     rows = excess_returns(daily, factors).withColumn("nth", F.row_number().over(Window.partitionBy("sym").orderBy("date")) - 1)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tapewright.operators.attribution import hac
-from tapewright.operators.exposures import FACTOR_NAMES, fit_windows, rolling_betas
+from tapewright.operators.exposures import FACTOR_NAMES, fit_windows, rolling_betas, window_sums
 from tapewright.operators.simulate import BookConfig, simulate, simulate_day
 
 
@@ -31,6 +31,55 @@ def test_windows_equal_direct_regressions():
         assert np.allclose(got[t - 119, :5], beta, atol=1e-10) and got[t - 119, 5] == pytest.approx(r2) and got[t - 119, 6] == n
 
 
+@pytest.mark.parametrize("odd", [np.nan, 1e6, -1e9])
+@pytest.mark.parametrize("column", [1, 5])
+def test_odd_values_leave_with_their_window(odd, column):
+    rng = np.random.default_rng(11)
+    n = 1100
+    z = np.column_stack([np.ones(n), rng.normal(size=(n, 4)) * 0.01, rng.normal(size=n) * 0.01])
+    z[400, column] = odd
+    x, y = z[:, :5], z[:, 5]
+    got = fit_windows(x, y, 250, 120, 60.0, 1e-4)
+    for t in [*range(119, 400, 40), 399, 400, 401, 520, 649, 650, 651, 700, 899, 900, 1099]:
+        beta, r2, nobs = direct_fit(x, y, t, 250, 60.0, 1e-4)
+        held = 400 <= t < 650
+        assert got[t - 119, 6] == nobs
+        if held and np.isnan(odd):
+            assert np.isnan(got[t - 119, :6]).all()
+        elif not held:
+            assert np.allclose(got[t - 119, :5], beta, rtol=1e-9, atol=1e-11) and got[t - 119, 5] == pytest.approx(r2, rel=1e-8)
+        elif column == 1:
+            assert np.allclose(got[t - 119, :5], beta, rtol=1e-5, atol=1e-7)
+    assert np.isfinite(got[650 - 119 :]).all()
+
+
+@pytest.mark.parametrize(("window", "half_life"), [(1, 3.0), (7, 0.01), (7, np.inf), (400, 1.0), (2000, 60.0)])
+def test_window_sums_equal_loops(window, half_life):
+    t = np.random.default_rng(12).normal(size=(500, 2))
+    got = window_sums(t, window, half_life)
+    for i in (0, 1, 6, 7, 13, 399, 400, 401, 499):
+        part = t[max(0, i - window + 1) : i + 1]
+        assert np.allclose(got[i], (part * (0.5 ** (np.arange(len(part))[::-1] / half_life))[:, None]).sum(0))
+    assert window_sums(t[:0], window, half_life).shape == (0, 2)
+
+
+def test_missing_factors_spoil_their_windows_only(spark):
+    """A factor that is null on one date, read through the job: 250 windows have no fit, the others are as without it."""
+    rng = np.random.default_rng(13)
+    n = 700
+    dates = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+    rows = [(d, *(rng.normal(size=4) * 0.01).tolist(), 0.0) for d in dates]
+    rows[301] = (*rows[301][:2], None, *rows[301][3:])
+    close = 100 * np.cumprod(1 + rng.normal(size=n) * 0.01)
+    factors = spark.createDataFrame(rows, "date date, mkt_rf double, smb double, hml double, wml double, rf double")
+    daily = spark.createDataFrame([("A", d, float(c)) for d, c in zip(dates, close, strict=True)], "sym string, date date, close double")
+    got = rolling_betas(daily, factors, chunk=200).orderBy("date").toPandas()
+    spoiled = got["mkt"].isna().to_numpy()
+    assert spoiled.sum() == 250 and spoiled[300 - 119 : 550 - 119].all()
+    whole = rolling_betas(daily, factors.fillna(0.0), chunk=5000).orderBy("date").toPandas()
+    assert np.allclose(got["smb"][~spoiled], whole["smb"][~spoiled]) and got["r2"].isna().sum() == 250
+
+
 def test_chunks_change_nothing(spark):
     rng = np.random.default_rng(3)
     n = 420
