@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapewright.functions.numbers import net_return
 from tapewright.operators.asof import simulation_panel
 from tapewright.operators.attribution import attribute
-from tapewright.operators.clean import clean_bars, clean_report
+from tapewright.operators.clean import flagged, kept, report
 from tapewright.operators.dataset import FEATURES, by_label, model_features
 from tapewright.operators.exposures import rolling_betas
 from tapewright.operators.features import FeatureConfig, signal_table
@@ -17,39 +17,48 @@ from tapewright.operators.linear import fit_folds, score
 from tapewright.operators.metrics import oos_r2, rank_ic
 from tapewright.operators.resample import resample
 from tapewright.operators.simulate import BookConfig, simulate
-from tapewright.sources.files import exists, predictions_text, read_predictions, read_raw_bars, write_by_date, write_csv, write_flat
+from tapewright.sources import snapshots
+from tapewright.sources.files import predictions_text, raw_bar_files, read_predictions, read_raw_bars, write_csv, write_flat
 from tapewright.sources.scratch import written
 
 
 def build_store(spark: SparkSession, raw_root: str, store: str, months: list[str] | None = None, resume: bool = False, **clean) -> DataFrame:
-    """Cleans raw bars into `store/bars` (by date) and returns the cleaning report of the files read.
+    """Cleans raw bars into the table `store/bars` (by date) and returns the cleaning report of the files read.
 
-    Dates written before are replaced, so it can run again. With resume, the symbol-months that `store/loaded` lists are passed
-    over, and dates that the others touch keep the rows they have. A symbol-month is listed after its rows are written: a run
-    that ends early is made good by the next one. clean: options of clean_bars.
+    Raw files are read once: their rows, with the flags of cleaning, are written to the shared folder, and bars and report both
+    come from there. The new bars appear with the list of their files in one commit, so a run that ends early changes nothing
+    and the next one does its work. Without resume all of the table, or all dates of the given months, are what the files say
+    now; dates of other months that those files touch keep the rows they have from others. With resume only files that the table doesn't list are read, and those that have changed since; dates that they touch
+    keep the rows they have from others. clean: options of clean_bars.
     """
-    raw = read_raw_bars(spark, raw_root, months)
-    files, loaded = raw.select("sym", "month").distinct(), f"{store}/loaded"
+    path = f"{store}/bars"
+    before = snapshots.current(spark, path)
+    files = raw_bar_files(spark, raw_root, months)
     if resume:
-        if exists(spark, loaded):
-            files = files.join(spark.read.parquet(loaded), ["sym", "month"], "left_anti")
-        files = written(files, "to-load")
-        raw = raw.join(files, ["sym", "month"], "left_semi")
-    bars = clean_bars(raw, **clean)
-    if resume and exists(spark, f"{store}/bars"):
-        there = spark.read.parquet(f"{store}/bars").select(bars.columns).join(bars.select("date").distinct(), "date", "left_semi")
-        there = there.join(bars.select("sym", "time"), ["sym", "time"], "left_anti")
-        bars = written(bars.unionByName(there), "touched-dates")  # the store can't be read while it is written
-    write_by_date(bars, f"{store}/bars")
-    files.write.mode("append" if resume else "overwrite").parquet(loaded)
-    return clean_report(raw, **clean)
+        listed = snapshots.source_files(spark, path, before)
+        known = {tuple(r) for r in listed.select("sym", "month", "bytes", "changed").distinct().collect()} if listed is not None else set()  # as many as files are listed above
+        files = [f for f in files if (f[0], f[1], f[3], f[4]) not in known]
+    raw = read_raw_bars(spark, raw_root, paths=[f[2] for f in files])
+    rows = written(flagged(raw, **clean), "flagged")
+    bars, gone = kept(rows), None
+    if resume or months is not None:
+        touched = snapshots.dates_of(bars)
+        gone = touched if resume else snapshots.in_months(list(before.folders), months)
+        shared = touched if resume else sorted(set(touched) - set(snapshots.in_months(touched, months)))  # a file's first hours may be of the month before
+        if before.version and shared:
+            there = snapshots.read(spark, path, shared, before).select(bars.columns)
+            bars = bars.unionByName(there.join(bars.select("sym", "time"), ["sym", "time"], "left_anti"))
+    if files or not resume:
+        sources = spark.createDataFrame([(f[0], f[1], f[3], f[4]) for f in files], "sym string, month string, bytes long, changed long")
+        snapshots.commit(spark, path, snapshots.stage(bars, path, sources=sources), before, gone, with_sources=True)
+    return report(rows)
 
 
 def build_signals(spark: SparkSession, store: str, daily: DataFrame, factors: DataFrame, minutes: int = 5, config: FeatureConfig | None = None) -> None:
-    """`store/bars` to `store/bars5`, `store/betas` and `store/sig`, all dates in one plan each."""
-    write_by_date(resample(spark.read.parquet(f"{store}/bars"), minutes), f"{store}/bars5")
+    """`store/bars` to `store/bars5`, `store/betas` and `store/sig`, all dates in one plan each; the tables by date change at once."""
+    snapshots.replace(resample(snapshots.read(spark, f"{store}/bars"), minutes), f"{store}/bars5")
     write_flat(rolling_betas(daily, factors), f"{store}/betas")
-    write_by_date(signal_table(spark.read.parquet(f"{store}/bars5"), spark.read.parquet(f"{store}/betas"), daily, config), f"{store}/sig")
+    snapshots.replace(signal_table(snapshots.read(spark, f"{store}/bars5"), spark.read.parquet(f"{store}/betas"), daily, config), f"{store}/sig")
 
 
 def walk_forward(rows: DataFrame, labels: list[str], embargo: int = 5, min_train: int = 100_000, min_test: int = 10_000, features: list[str] = FEATURES) -> tuple[DataFrame, DataFrame]:

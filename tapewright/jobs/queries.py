@@ -12,7 +12,7 @@ from tapewright.functions import numbers as num
 from tapewright.jobs import panel
 from tapewright.jobs.fixtures import PROXY, load, oracle
 from tapewright.operators import asof, attribution, clean, coverage, dataset, exposures, features, folds, linear, metrics, resample, simulate
-from tapewright.sources import files
+from tapewright.sources import files, snapshots
 from tapewright.sources.scratch import scratch_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -755,7 +755,7 @@ def _(spark, sf):
     panel.build_store(spark, raw, store, resume=True, session=None, utc=True)
     panel.build_store(spark, raw, store, resume=True, session=None, utc=True)  # nothing is left to load
     panel.build_signals(spark, store, load(spark, sf, "daily"), load(spark, sf, "factors"), 60, CONFIG)
-    return spark.read.parquet(f"{store}/sig")
+    return snapshots.read(spark, f"{store}/sig")
 
 
 @query("walk_forward", "label:s fold:i n_test:i oos_r2:f mean_ic:f t_ic:f coef_z30:f", "SELECT 'fwdres10' AS label, skill.fold, skill.n_test, oos_r2, mean_ic, t_ic, x_b_0 AS coef_z30 FROM skill LEFT JOIN ic USING (fold) JOIN solved USING (fold)", "model_rows", _WALK)

@@ -39,25 +39,33 @@ def flagged(raw: DataFrame, session: tuple[int, int] | None = SESSION, tz: str |
     return rows.repartition("sym", "date").withColumn("again", F.col("inside") & (F.row_number().over(w) > 1))
 
 
-def clean_bars(raw: DataFrame, session: tuple[int, int] | None = SESSION, tz: str | None = None, utc: bool = False) -> DataFrame:
-    """Bars of the session in New York time, one for each symbol and minute (the first in input order)."""
-    rows = flagged(raw, session, tz, utc).where("inside AND NOT again")
-    return rows.select("sym", "time", "open", "high", "low", "close", "volume", "ntrades", "vwap", "date")
+def kept(rows: DataFrame) -> DataFrame:
+    """The bars among flagged rows: those of the session, one for each symbol and minute (the first in input order)."""
+    return rows.where("inside AND NOT again").select("sym", "time", "open", "high", "low", "close", "volume", "ntrades", "vwap", "date")
 
 
-def clean_report(raw: DataFrame, session: tuple[int, int] | None = SESSION, tz: str | None = None, utc: bool = False) -> DataFrame:
-    """A row for each month: rows read, dropped outside the session, dropped as duplicates, kept with high below low, days and rows written."""
-    kept = F.col("inside") & ~F.col("again")
-    return flagged(raw, session, tz, utc).groupBy("month").agg(
+def report(rows: DataFrame) -> DataFrame:
+    """A row for each month of flagged rows: rows read, dropped outside the session, dropped as duplicates, kept with high below low, days and rows written."""
+    stays = F.col("inside") & ~F.col("again")
+    return rows.groupBy("month").agg(
         F.count("*").alias("raw"),
         F.count_if(~F.col("inside")).alias("dropped_outside"),
         F.count_if("again").alias("dropped_dupes"),
-        F.count_if(kept & bad_high_low()).alias("bad_high_low"),
-        F.count_if(kept).alias("written"),
-        F.countDistinct(F.when(kept, F.col("date"))).alias("days_written"),
+        F.count_if(stays & bad_high_low()).alias("bad_high_low"),
+        F.count_if(stays).alias("written"),
+        F.countDistinct(F.when(stays, F.col("date"))).alias("days_written"),
     )
 
 
+def clean_bars(raw: DataFrame, session: tuple[int, int] | None = SESSION, tz: str | None = None, utc: bool = False) -> DataFrame:
+    """Bars of the session in New York time, one for each symbol and minute."""
+    return kept(flagged(raw, session, tz, utc))
+
+
+def clean_report(raw: DataFrame, session: tuple[int, int] | None = SESSION, tz: str | None = None, utc: bool = False) -> DataFrame:
+    return report(flagged(raw, session, tz, utc))
+
+
 def conserved(report: DataFrame) -> DataFrame:
     """Months whose rows add up: read - outside - duplicates = written."""
     return report.select("month", (F.col("raw") - F.col("dropped_outside") - F.col("dropped_dupes") == F.col("written")).alias("conserved"))

@@ -2,70 +2,103 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions.calendar import minute_of_text
-from tapewright.sources import schemas
+from tapewright.sources import schemas, store
 
 
 def _none(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def exists(spark: SparkSession, pattern: str) -> bool:
-    """Whether a glob matches anything, asked of whatever store the path is in."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+def named(text: str) -> str:
+    """A symbol as the name of a file or folder: itself, but for `/` and `%`."""
+    return text.replace("%", "%25").replace("/", "%2F")
+
+
+def _symbol(name: F.Column) -> F.Column:
+    return F.replace(F.replace(name, F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%"))
+
+
+def _place(path: F.Column) -> F.Column:
+    """A file's path as it is: Spark gives it encoded as in an address."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def read_raw_bars(spark: SparkSession, root: str, months: list[str] | None = None) -> DataFrame:
+def raw_bar_files(spark: SparkSession, root: str, months: list[str] | None = None, symbols: list[str] | None = None) -> list[tuple[str, str, str, int, int]]:
+    """(sym, month, path, bytes, time of change) of files `root/<symbol>/<yyyy-MM>.csv[.gz]`; others aren't listed, nor is any opened."""
+    month = "[0-9][0-9][0-9][0-9]-[0-9][0-9]" if months is None else store.one_of(sorted(set(months)))
+    sym = "*" if symbols is None else store.one_of(sorted({named(x) for x in symbols}))
+    if months == [] or symbols == []:
+        return []
+    out = []
+    for suffix in (".csv", ".csv.gz"):
+        for path, size, changed in store.found(spark, f"{root.rstrip('/')}/{sym}/{month}{suffix}"):
+            folder, name = path.rsplit("/", 2)[1:]
+            out.append((folder.replace("%2F", "/").replace("%25", "%"), name.removesuffix(suffix), path, size, changed))
+    return sorted(out)
+
+
+def read_raw_bars(spark: SparkSession, root: str, months: list[str] | None = None, symbols: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
     """Minute bars from `root/<symbol>/<yyyy-MM>.csv[.gz]`, symbol and month taken from the path.
 
-    months: only these; all if None. Symbols without a file for a month have no rows for it, and without any file the result
-    is empty. A cell that can't be read is null. seq orders rows as the files do, for de-duplication.
+    months, symbols: only these; all if None. paths: these files, instead of a listing. Files that aren't asked for are neither
+    opened nor given to a task, and a later condition on sym or month prunes files as well. Symbols without a file for a month
+    have no rows for it, and without any file the result is empty. A cell that can't be read is null. seq orders rows as the
+    files do, by month and line, whatever the partitions: it is the same in every reading.
+
+    A task holds one file whole (a symbol's month of minutes has 44,640 lines at most); Spark packs small files into tasks by
+    their bytes (spark.sql.files.maxPartitionBytes, openCostInBytes).
     """
-    pattern = f"{root.rstrip('/')}/*/*.csv*"
-    if not exists(spark, pattern):
+    if paths is None:
+        paths = [p for _, _, p, _, _ in raw_bar_files(spark, root, months, symbols)]
+    if not paths:
         return _none(spark, schemas.RAW_BARS).withColumn("month", F.lit(None).cast("string"))
-    read = spark.read.schema(schemas.RAW_BARS_CSV).option("header", True).option("mode", "PERMISSIVE").csv(pattern)
-    path = F.col("_metadata.file_path")
-    out = read.select(F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1).alias("sym"), F.regexp_extract(path, r"/([^/]+?)\.csv(\.gz)?$", 1).alias("month"), "*", F.monotonically_increasing_id().alias("seq"))
-    out = out.where(F.col("month").rlike(r"^\d{4}-\d{2}$"))
-    if months is not None:
-        out = out.where(F.col("month").isin(months))
+    path = _place(F.col("_metadata.file_path"))
+    texts = spark.read.text([store.literal(p) for p in paths], wholetext=True)
+    texts = texts.select(_symbol(F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)).alias("sym"), F.regexp_extract(path, r"/([^/]+?)\.csv(\.gz)?$", 1).alias("month"), F.endswith(path, F.lit(".gz")).alias("gz"), "value")
+    lines = texts.select("sym", "month", "gz", F.posexplode(F.split("value", "\n")).alias("line", "text")).where((F.col("line") > 0) & (F.rtrim(F.col("text")) != ""))
+    cells = F.from_csv(F.rtrim(F.col("text"), F.lit("\r")), schemas.RAW_BARS_CSV.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE"})
+    month = F.try_to_number(F.replace("month", F.lit("-"), F.lit("")), F.lit("999999")).cast("long")
+    seq = month * (1 << 32) + F.when(F.col("gz"), 1 << 31).otherwise(0) + F.col("line")
+    out = lines.select("sym", "month", cells.alias("c"), seq.alias("seq")).select("sym", "month", "c.*", "seq")
     return out.withColumn("ts", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + (ts - TIMESTAMP'1970-01-01T00:00:00Z')"))  # UTC whatever the session's zone
 
 
-def _move(spark: SparkSession, pattern: str, name) -> None:
-    """Renames each file that a glob finds to name(its path), in whatever store it is in; a file a symbol and month at most."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(pattern).getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.globStatus(hadoop(pattern)) or []:
-        to = hadoop(name(status.getPath().toString()))
-        fs.mkdirs(to.getParent())
-        fs.rename(status.getPath(), to)
+def _told(column: str) -> F.Column:
+    return F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.raise_error(F.lit(f"a row without {column} has no file")))
 
 
-def _labelled(path: str, key: str) -> str:
-    return path.split(f"/{key}=")[1].split("/")[0]
+def _write_named(rows: DataFrame, root: str, keys: list[str], suffix: str, **options) -> None:
+    """CSV files named by their keys, `root/<key>/<key><suffix>`: written beside, then renamed; files of the same names are replaced."""
+    spark, staged = rows.sparkSession, f"{root}/_staged-{uuid.uuid4().hex}"
+    writer = rows.write.partitionBy(*keys).option("header", True).option("maxRecordsPerFile", 0)
+    try:
+        writer.options(**options).csv(staged)
+        moves = []
+        for path, _, _ in store.found(spark, f"{staged}/{'/'.join(f'{k}=*' for k in keys)}/part-*"):
+            labels = [unquote(part.split("=", 1)[1]) for part in path.split("/")[-1 - len(keys) : -1]]
+            moves.append((path, f"{root}/{'/'.join(map(named, labels))}{suffix}"))
+        store.move(spark, moves)
+    finally:
+        store.remove(spark, staged)
 
 
 def write_raw_bars(bars: DataFrame, root: str) -> None:
-    """Raw bars (ts in UTC) as `root/<symbol>/<yyyy-MM>.csv.gz`, rows in order of seq: what read_raw_bars reads."""
-    root = root.rstrip("/")
-    rows = bars.select("sym", F.date_format("ts", "yyyy-MM").alias("month"), "seq", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), *[f.name for f in schemas.RAW_BARS_CSV.fields[1:]])
-    rows.repartition("sym", "month").sortWithinPartitions("sym", "month", "seq").drop("seq").write.partitionBy("sym", "month").option("header", True).option("compression", "gzip").csv(f"{root}/_parts")
-    _move(bars.sparkSession, f"{root}/_parts/sym=*/month=*/part-*", lambda p: f"{root}/{_labelled(p, 'sym')}/{_labelled(p, 'month')}.csv.gz")
+    """Raw bars (ts in UTC) as `root/<symbol>/<yyyy-MM>.csv.gz`, rows in order of seq: what read_raw_bars reads. Files that are there are replaced."""
+    rows = bars.select(_told("sym").alias("sym"), F.date_format(_told("ts"), "yyyy-MM").alias("month"), "seq", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), *[f.name for f in schemas.RAW_BARS_CSV.fields[1:]])
+    _write_named(rows.repartition("sym", "month").sortWithinPartitions("sym", "month", "seq").drop("seq"), root.rstrip("/"), ["sym", "month"], ".csv.gz", compression="gzip")
 
 
 def write_daily(daily: DataFrame, root: str) -> None:
-    """Daily prices as `root/<symbol>.csv`, in order of date: what read_daily reads."""
-    root = root.rstrip("/")
-    rows = daily.select("sym", *[f.name for f in schemas.DAILY_CSV.fields])
-    rows.repartition("sym").sortWithinPartitions("sym", "date").write.partitionBy("sym").option("header", True).csv(f"{root}/_parts")
-    _move(daily.sparkSession, f"{root}/_parts/sym=*/part-*", lambda p: f"{root}/{_labelled(p, 'sym')}.csv")
+    """Daily prices as `root/<symbol>.csv`, in order of date: what read_daily reads. Files that are there are replaced."""
+    rows = daily.select(_told("sym").alias("sym"), *[f.name for f in schemas.DAILY_CSV.fields])
+    _write_named(rows.repartition("sym").sortWithinPartitions("sym", "date"), root.rstrip("/"), ["sym"], ".csv")
 
 
 def select_months(bars: DataFrame, months: list[str] | None, time: str = "ts") -> DataFrame:
@@ -76,10 +109,10 @@ def select_months(bars: DataFrame, months: list[str] | None, time: str = "ts") -
 def read_daily(spark: SparkSession, root: str) -> DataFrame:
     """Daily prices from `root/<symbol>.csv`, in order of symbol and date."""
     pattern = f"{root.rstrip('/')}/*.csv"
-    if not exists(spark, pattern):
+    if not store.exists(spark, pattern):
         return _none(spark, schemas.DAILY_CSV).withColumn("sym", F.lit(None).cast("string"))
     read = spark.read.schema(schemas.DAILY_CSV).option("header", True).csv(pattern)
-    return read.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.csv$", 1).alias("sym"), "*").orderBy("sym", "date")
+    return read.select(_symbol(F.regexp_extract(_place(F.col("_metadata.file_path")), r"/([^/]+)\.csv$", 1)).alias("sym"), "*").orderBy("sym", "date")
 
 
 def read_factors(spark: SparkSession, path: str) -> DataFrame:
@@ -119,10 +152,18 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PREDS_CSV).option("header", True).csv(path).withColumn("bkt", minute_of_text("bkt")).orderBy("date", "sym", "bkt")
 
 
-def write_by_date(df: DataFrame, path: str, *order: str) -> None:
-    """Parquet partitioned by date, each date in the given order; dates that are there already are replaced, others stay."""
+def write_by_date(df: DataFrame, path: str, *order: str, rows_a_file: int | None = None) -> None:
+    """Parquet partitioned by date, each file in the given order; dates that are there already are replaced, others stay.
+
+    Rows are dealt out by ranges of date and order, whose bounds Spark samples from them: small dates share a task, and a date
+    of more rows than a task's share is several files, each a range of the order (of symbols, first of all). rows_a_file: about
+    so many rows to a task, by a count of all; else there are spark.sql.shuffle.partitions tasks, which Spark joins where they
+    are small.
+    """
     sort = order or ("sym", "time")
-    df.repartition("date").sortWithinPartitions("date", *sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    keys = ["date", *sort]
+    dealt = df.repartitionByRange(*keys) if rows_a_file is None else df.repartitionByRange(max(1, -(-df.count() // rows_a_file)), *keys)
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def write_flat(df: DataFrame, path: str) -> None:

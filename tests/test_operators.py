@@ -13,7 +13,8 @@ from tapewright.functions import calendar as cal
 from tapewright.functions import numbers as num
 from tapewright.jobs import panel
 from tapewright.operators import asof, clean, dataset, features, folds, linear, metrics, resample
-from tapewright.sources import files
+from tapewright.sources import files, snapshots
+from tapewright.sources import store as stores
 
 BAR = "sym string, time timestamp_ntz, open double, high double, low double, close double, volume long, ntrades long, vwap double, date date"
 
@@ -166,11 +167,146 @@ def test_store_goes_on_where_it_stopped(spark, tmp_path):
     os.rename(tmp_path / "more" / "B" / "2024-01.csv.gz", f"{raw}/B/2024-01.csv.gz")
     second = panel.build_store(spark, raw, store, resume=True).collect()
     assert [(r["month"], r["raw"]) for r in second] == [("2024-01", 1)]
-    bars = spark.read.parquet(f"{store}/bars").orderBy("time").collect()
+    bars = snapshots.read(spark, f"{store}/bars").orderBy("time").collect()
     assert [(r["sym"], r["close"]) for r in bars] == [("A", 1.0), ("B", 3.0), ("A", 2.0)]
-    assert panel.build_store(spark, raw, store, resume=True).count() == 0 and spark.read.parquet(f"{store}/bars").count() == 3
+    assert panel.build_store(spark, raw, store, resume=True).count() == 0 and snapshots.read(spark, f"{store}/bars").count() == 3
     whole = panel.build_store(spark, raw, store)
-    assert whole.count() == 2 and spark.read.parquet(f"{store}/bars").count() == 3
+    assert whole.count() == 2 and snapshots.read(spark, f"{store}/bars").count() == 3
+
+
+def raw_row(sym, text, close=1.0, seq=1):
+    return (sym, at(text), 1.0, 2.0, 0.5, close, 10, 1, 1.0, seq)
+
+
+def test_months_and_symbols_open_their_files_only(spark, tmp_path):
+    """Files of other months and symbols may be broken: they aren't opened."""
+    root = str(tmp_path / "raw")
+    files.write_raw_bars(spark.createDataFrame([raw_row(s, f"2024-{m:02}-05 14:3{i}", seq=i) for s in ("A", "B") for m in (1, 2, 3) for i in range(3)], RAW), root)
+    for broken in ("A/2024-01", "B/2024-01", "B/2024-02"):
+        with open(f"{root}/{broken}.csv.gz", "wb") as f:
+            f.write(b"not gzip at all")
+    (tmp_path / "raw" / "A" / "notes.csv").write_text("ts\nx\n")
+    got = files.read_raw_bars(spark, root, ["2024-02", "2031-07"], ["A", "none"])
+    assert [(r["sym"], r["month"], r["ts"].minute) for r in got.orderBy("seq").collect()] == [("A", "2024-02", 30 + i) for i in range(3)]
+    later = files.read_raw_bars(spark, root).where("sym = 'A' AND month >= '2024-02'")  # prunes files as well
+    assert later.count() == 6
+    assert clean.clean_bars(files.read_raw_bars(spark, root, ["2024-03"])).count() == 6
+    assert files.read_raw_bars(spark, root, []).count() == 0 and files.read_raw_bars(spark, root, symbols=[]).count() == 0
+    assert panel.build_store(spark, root, str(tmp_path / "store"), ["2024-03"]).count() == 1
+    assert snapshots.read(spark, str(tmp_path / "store" / "bars")).count() == 6
+
+
+def test_order_of_rows_does_not_hang_on_partitions(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    files.write_raw_bars(spark.createDataFrame([raw_row(f"S{i % 40}", f"2024-0{1 + i % 2}-05 14:{i % 60:02}", seq=i) for i in range(400)], RAW), root)
+    one = {(r["sym"], r["ts"], r["seq"]) for r in files.read_raw_bars(spark, root).collect()}
+    assert files.read_raw_bars(spark, root).rdd.getNumPartitions() < 20  # small files share tasks
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        many = files.read_raw_bars(spark, root)
+        assert many.rdd.getNumPartitions() > 4 and {(r["sym"], r["ts"], r["seq"]) for r in many.collect()} == one
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({(s, q) for s, _, q in one}) == 400
+
+
+ODD = ["^GSPC", "BRK B", "BRK/B", "A%2FB", "50%", "x+y", "{a,b}", "[z]*?", "\u00e9t\u00e9", "a=b"]
+
+
+def test_symbols_survive_their_file_names(spark, tmp_path):
+    bars, daily = str(tmp_path / "raw"), str(tmp_path / "daily")
+    files.write_raw_bars(spark.createDataFrame([raw_row(s, "2024-01-05 14:30") for s in ODD], RAW), bars)
+    assert sorted(r["sym"] for r in files.read_raw_bars(spark, bars).collect()) == sorted(ODD)
+    for s in ODD:
+        assert [r["sym"] for r in files.read_raw_bars(spark, bars, symbols=[s]).collect()] == [s]
+    assert os.path.isdir(f"{bars}/^GSPC") and os.path.isdir(f"{bars}/BRK B")
+    files.write_daily(spark.createDataFrame([(s, dt.date(2024, 1, 5), 1.0, 1.0, 1.0, 1.0, 5) for s in ODD], "sym string, date date, open double, high double, low double, close double, volume long"), daily)
+    assert sorted(r["sym"] for r in files.read_daily(spark, daily).collect()) == sorted(ODD)
+
+
+def test_files_are_written_again_and_whole(spark, tmp_path):
+    """A second run replaces files; a limit on rows a file loses none; rows without a name are an error."""
+    root = str(tmp_path / "raw")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1")
+    try:
+        for close in (1.0, 2.0):
+            files.write_raw_bars(spark.createDataFrame([raw_row("A", f"2024-01-05 14:3{i}", close, i) for i in range(5)], RAW), root)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert [r["close"] for r in files.read_raw_bars(spark, root).collect()] == [2.0] * 5
+    assert os.listdir(root) == ["A"]
+    with pytest.raises(Exception, match="has no file"):
+        files.write_raw_bars(spark.createDataFrame([raw_row(None, "2024-01-05 14:30")], RAW), root)
+    with pytest.raises(OSError, match="could not be renamed"):
+        stores.move(spark, [(f"{root}/nothing", f"{root}/B/x")])
+
+
+def test_a_load_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "store")
+    files.write_raw_bars(spark.createDataFrame([raw_row("A", "2024-01-02 14:30", 1.0), raw_row("A", "2024-01-03 14:30", 1.0, 2)], RAW), raw)
+    panel.build_store(spark, raw, root, resume=True)
+    seen = lambda: sorted((r["sym"], r["date"].day, r["close"]) for r in snapshots.read(spark, f"{root}/bars").collect())
+    old, before = seen(), snapshots.current(spark, f"{root}/bars")
+    reader = snapshots.read(spark, f"{root}/bars")
+    files.write_raw_bars(spark.createDataFrame([raw_row("B", "2024-01-02 14:30", 5.0), raw_row("B", "2024-01-04 14:30", 5.0, 2)], RAW), raw)
+    with monkeypatch.context() as m:
+        def killed(*_):
+            raise KeyboardInterrupt
+
+        m.setattr(stores, "put_new", killed)  # all rows are written, nothing is listed
+        with pytest.raises(KeyboardInterrupt):
+            panel.build_store(spark, raw, root, resume=True)
+    assert seen() == old == [("A", 2, 1.0), ("A", 3, 1.0)]
+    panel.build_store(spark, raw, root, resume=True)
+    assert seen() == [("A", 2, 1.0), ("A", 3, 1.0), ("B", 2, 5.0), ("B", 4, 5.0)]
+    assert reader.count() == 2  # a reader that began before sees what it saw
+    assert snapshots.read(spark, f"{root}/bars", snapshot=before).count() == 2
+    with pytest.raises(FileExistsError):
+        snapshots.commit(spark, f"{root}/bars", snapshots.stage(reader, f"{root}/bars"), before)  # another writer was first
+    assert snapshots.vacuum(spark, f"{root}/bars", keep=1) >= 2  # what the killed run and the late writer left
+    assert len(seen()) == 4
+    assert [r["date"].day for r in snapshots.read(spark, f"{root}/bars", ["2024-01-04", "2031-01-01"]).collect()] == [4]
+
+
+def test_reload_forgets_dates_and_months_keep_their_neighbours(spark, tmp_path):
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "store")
+    late = raw_row("A", "2024-02-01 02:00", 7.0)  # still January in New York
+    files.write_raw_bars(spark.createDataFrame([raw_row("A", "2024-01-31 14:30", 1.0), late, raw_row("A", "2024-02-05 14:30", 2.0, 2)], RAW), raw)
+    seen = lambda: sorted((str(r["date"]), r["close"]) for r in snapshots.read(spark, f"{root}/bars").collect())
+    panel.build_store(spark, raw, root, session=None)
+    assert seen() == [("2024-01-31", 1.0), ("2024-01-31", 7.0), ("2024-02-05", 2.0)]
+    files.write_raw_bars(spark.createDataFrame([late, raw_row("A", "2024-02-06 14:30", 3.0, 2)], RAW), raw)
+    panel.build_store(spark, raw, root, ["2024-02"], session=None)
+    assert seen() == [("2024-01-31", 1.0), ("2024-01-31", 7.0), ("2024-02-06", 3.0)]
+    os.remove(f"{raw}/A/2024-01.csv.gz")
+    panel.build_store(spark, raw, root, session=None)
+    assert seen() == [("2024-01-31", 7.0), ("2024-02-06", 3.0)]
+
+
+def test_a_changed_file_is_loaded_again(spark, tmp_path):
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "store")
+    for close in (1.0, 2.0):
+        files.write_raw_bars(spark.createDataFrame([raw_row("A", "2024-01-02 14:30", close)], RAW), raw)
+        os.utime(f"{raw}/A/2024-01.csv.gz", (1e9 + close * 1000,) * 2)
+        panel.build_store(spark, raw, root, resume=True)
+    assert [r["close"] for r in snapshots.read(spark, f"{root}/bars").collect()] == [2.0]
+
+
+def test_a_date_larger_than_a_task_is_several_files(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    rows = spark.range(20_000).selectExpr("concat('S', lpad(id % 97, 2, '0')) AS sym", "TIMESTAMP_NTZ'2024-01-02 09:30:00' + make_interval(0, 0, 0, 0, 0, id) AS time", "id", "CASE WHEN id % 10 = 0 THEN date_add(DATE'2024-01-03', CAST(id % 7 AS INT)) ELSE DATE'2024-01-02' END AS date")
+    files.write_by_date(rows, path, rows_a_file=2500)
+    parts = [f for f in os.listdir(f"{path}/date=2024-01-02") if f.startswith("part")]
+    assert len(parts) >= 6
+    spans = []
+    for f in parts:  # each in order, and each a range of symbols of its own
+        t = pd.read_parquet(f"{path}/date=2024-01-02/{f}")
+        assert list(zip(t["sym"], t["time"], strict=True)) == sorted(zip(t["sym"], t["time"], strict=True)) and len(t) < 5000
+        spans.append((t["sym"].iloc[0], t["time"].iloc[0], t["sym"].iloc[-1], t["time"].iloc[-1]))
+    spans.sort()
+    assert all(a[2:] < b[:2] for a, b in zip(spans, spans[1:], strict=False))
+    assert spark.read.parquet(path).select(rows.columns).exceptAll(rows).count() == 0 and spark.read.parquet(path).count() == 20_000
+    assert max(len(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("date=2024-01-0") and d != "date=2024-01-02") <= 4
 
 
 def test_write_by_date_replaces_only_its_dates(spark, tmp_path):
