@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.operators.chunks import bounds, chunked
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], chunk: str | None = None) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], chunk: str | int | None = None) -> DataFrame:
     """left with `values` of the right row with equal `by` and the greatest right_ts <= left_ts; null where there is none.
 
     A right row counts even if its values are null. Right times should be unique within `by`; of equal ones any is taken.
     Both sides go through one shuffle by `by` and one ordered window, which nothing but the newest row crosses. With few
-    keys, `chunk` (a unit of date_trunc, such as 'MONTH') deals each key's time out in chunks: the last right row before a
-    chunk is carried into it from a table of one row for each key and chunk.
+    keys, `chunk` deals a key's time out in chunks: the last right row before a chunk is carried into it from a table of one
+    row for each key and chunk. It is a unit of date_trunc, such as 'MONTH', or about how many rows a chunk may have: keys with
+    more are then divided at quantiles of their own times, however they crowd, and others stay whole.
     """
     held = F.struct(*[F.col(v) for v in values])
     l = left.select(*by, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_left"))  # noqa: E741
     r = right.select(*by, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), held.alias("_right")).where("_t IS NOT NULL")
     keys = list(by)
     if chunk:
-        of = F.date_trunc(chunk, F.col("_t").cast("timestamp"))
-        l, r = l.withColumn("_chunk", of), r.withColumn("_chunk", of)
+        if isinstance(chunk, int):
+            limits = bounds(l.select(*by, "_t").unionByName(r.select(*by, "_t")), by, "_t", chunk)
+            l, r = chunked(l, by, "_t", limits), chunked(r, by, "_t", limits)  # noqa: E741
+        else:
+            of = F.date_trunc(chunk, F.col("_t").cast("timestamp"))
+            l, r = l.withColumn("_chunk", of), r.withColumn("_chunk", of)  # noqa: E741
         last = r.groupBy(*by, "_chunk").agg(F.max_by("_right", "_t").alias("_last"))
         chunks = last.select(*by, "_chunk").unionByName(l.select(*by, "_chunk")).distinct().join(last, [*by, "_chunk"], "left")
         w = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.numbers import simple_return
+from tapewright.operators.metrics import order_statistic
+from tapewright.sources.scratch import written
 
 FACTOR_NAMES = ["mkt_rf", "smb", "hml", "wml"]
 
@@ -98,4 +100,8 @@ def rolling_betas(daily: DataFrame, factors: DataFrame, window: int = 250, min_o
 
 
 def median_fit(betas: DataFrame) -> DataFrame:
-    return betas.agg(F.percentile("r2", 0.5).alias("median_r2"), F.count("*").alias("n_fits"))
+    """(median_r2, n_fits): the exact median, the mean of the middle two if their number is even. Windows without a fit don't count; null of none."""
+    fits = written(betas.select("r2"), "fits").where("r2 IS NOT NULL AND NOT isnan(r2)")
+    n = fits.count()
+    middle = order_statistic(fits, "r2", sorted({(n - 1) // 2, n // 2})) if n else []
+    return betas.sparkSession.createDataFrame([(sum(middle) / len(middle) if middle else None, n)], "median_r2 double, n_fits long")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.numbers import correlation
+from tapewright.operators.chunks import bounds, chunked
+from tapewright.sources.scratch import written
 
 
 def oos_r2(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -59,9 +61,53 @@ def pnl_scenarios(days: DataFrame, slips: DataFrame, book: float = 1_000_000.0)
     return m.crossJoin(F.broadcast(slips.select("slip").distinct())).select("config", "slip", "n_days", (mean * F.col("n_days")).alias("total"), mean.alias("mean"), F.try_divide(mean, sd).alias("ratio"), F.col("b").alias("traded")).withColumn("sharpe", F.col("ratio") * F.sqrt(F.lit(252.0))).drop("ratio")
 
 
-def cumulative(days: DataFrame, value: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select(*by, "date", F.sum(value).over(w).alias("cumulative"))
+def cumulative(days: DataFrame, value: str, by: list[str], target: int = 1_000_000) -> DataFrame:
+    """(by, date, cumulative): running total of each series in order of date; a missing value adds nothing.
+
+    A scan in two levels: series of more than `target` rows are cut into chunks at quantiles of their dates, chunks are summed,
+    the sums before each chunk are its offset, and only rows of one chunk meet in a window.
+    """
+    limits = bounds(days, by, "date", target)
+    rows = chunked(days.select(*by, "date", F.col(value).alias("_v")), by, "date", limits)
+    sums = rows.groupBy(*by, "_chunk").agg(F.sum("_v").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(b).alias(f"_of_{b}") for b in by], F.col("_chunk").alias("_of"), F.sum("_sum").over(before).alias("_before")).where("_before IS NOT NULL")
+    same = [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by]
+    own = F.sum("_v").over(Window.partitionBy(*by, "_chunk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    here = rows.withColumn("_own", own).join(offsets, [*same, F.col("_chunk") == F.col("_of")], "left")
+    total = F.when(F.col("_own").isNull() & F.col("_before").isNull(), None).otherwise(F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0)))
+    return here.select(*by, "date", total.alias("cumulative"))
+
+
+def order_statistic(rows: DataFrame, column: str, places: list[int], held: int = 10_000) -> list[float]:
+    """The values at the given places (from 0) of a column in order; nulls and NaN don't count.
+
+    By selection: a sketch gives two values near each place, exact counts below, at, between and above them say where the place
+    is, and the search goes on among the values between them, until `held` at most are left and come to the driver. No task has
+    more than a sketch and counts.
+    """
+    values = written(rows.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)"), "values")
+    return [_at_place(values, place, held) for place in places]
+
+
+def _at_place(values: DataFrame, place: int, held: int, accuracy: int = 10_000) -> float:
+    n = values.count()
+    if not 0 <= place < n:
+        raise IndexError(f"place {place} of {n} values")
+    v = F.col("v")
+    while n > held:
+        share, slack = place / n, 2 / accuracy
+        low, high = values.agg(F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], accuracy)).first()[0]
+        regions = [(v < low, values.where(v < low)), (v == low, None), ((v > low) & (v < high), values.where((v > low) & (v < high))), ((v == high) & (v > low), None), (v > high, values.where(v > high))]
+        counts = values.agg(*[F.count_if(c).alias(f"n{i}") for i, (c, _) in enumerate(regions)]).first()
+        for i, (_, part) in enumerate(regions):
+            if place < counts[i]:
+                break
+            place -= counts[i]
+        if part is None:
+            return float(low if i == 1 else high)
+        values, n = part, counts[i]
+    return float(sorted(r[0] for r in values.collect())[place])
 
 
 def head_to_head(results: DataFrame, metrics: list[str], by: str = "label") -> DataFrame:
