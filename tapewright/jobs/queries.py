@@ -129,6 +129,11 @@ def _stand_in_days(spark, sf):
         (F.max("l_extendedprice") - 50000).alias("gross"), F.min("l_discount").alias("fees"), (F.max("l_quantity") * 1000).alias("traded"), (F.min("l_quantity") * 1000).alias("sold"), F.count("*").alias("trades"))
 
 
+_DST = "d >= make_date(year(d), 3, 8) + CAST((7 - dayofweek(make_date(year(d), 3, 8))) % 7 AS INT) AND d < make_date(year(d), 11, 1) + CAST((7 - dayofweek(make_date(year(d), 11, 1))) % 7 AS INT)"
+_NY = {"ny": f"SELECT *, CAST(t AS DATE) AS day, 60 * hour(t) + minute(t) AS m FROM (SELECT *, ts - INTERVAL 5 HOUR + CASE WHEN {_DST} THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS t FROM (SELECT *, CAST(ts - INTERVAL 5 HOUR AS DATE) AS d FROM raw_bars))"}
+_MARKED = _NY | {"marked": "SELECT *, coalesce(m BETWEEN 570 AND 959, false) AS inside, row_number() OVER (PARTITION BY sym, t, coalesce(m BETWEEN 570 AND 959, false) ORDER BY seq) AS rn FROM ny"}
+
+
 # ---- sources and sinks
 
 
@@ -196,6 +201,22 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("s13_resumed_store", "sym:s time:t close:f date:d", "SELECT sym, t AS time, close, day AS date FROM marked WHERE inside AND rn = 1", "raw_bars", _MARKED)
+def _(spark, sf):
+    raw, store = scratch_path(spark, "raw"), scratch_path(spark, "store")
+    files.write_raw_bars(load(spark, sf, "raw_bars"), raw)
+    for months in (["2024-01"], None, None):  # one month first, then what is left of all, then nothing
+        panel.build_store(spark, raw, store, months, resume=True)
+    return snapshots.read(spark, f"{store}/bars")
+
+
+@query("s10_dates_in_ranges", "sym:s n:i first:t last:t", "SELECT sym, count(*) AS n, min(time) AS first, max(time) AS last FROM bars GROUP BY sym", "raw_bars", BARS)
+def _(spark, sf):
+    path = scratch_path(spark, "bars")
+    files.write_by_date(_bars(spark, sf), path, rows_a_file=100)  # dates are larger than a file
+    return spark.read.parquet(path).groupBy("sym").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
 @query("s11_write_flat", "date:d mkt_rf:g smb:g hml:g wml:g rf:g", "SELECT * FROM factors", "factors")
 def _(spark, sf):
     path = scratch_path(spark, "factors")
@@ -230,9 +251,6 @@ def _(spark, sf):
     return _dates(spark, sf).select("d", cal.first_sunday("d").alias("sunday"))
 
 
-_DST = "d >= make_date(year(d), 3, 8) + CAST((7 - dayofweek(make_date(year(d), 3, 8))) % 7 AS INT) AND d < make_date(year(d), 11, 1) + CAST((7 - dayofweek(make_date(year(d), 11, 1))) % 7 AS INT)"
-
-
 @query("p2_us_dst", "d:d dst:b", f"SELECT d, {_DST} AS dst FROM d", also=_D)
 def _(spark, sf):
     return _dates(spark, sf).select("d", cal.is_us_dst("d").alias("dst"))
@@ -332,10 +350,6 @@ def _(spark, sf):
 
 # ---- filters
 
-_NY = {"ny": f"SELECT *, CAST(t AS DATE) AS day, 60 * hour(t) + minute(t) AS m FROM (SELECT *, ts - INTERVAL 5 HOUR + CASE WHEN {_DST} THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS t FROM (SELECT *, CAST(ts - INTERVAL 5 HOUR AS DATE) AS d FROM raw_bars))"}
-_MARKED = _NY | {"marked": "SELECT *, coalesce(m BETWEEN 570 AND 959, false) AS inside, row_number() OVER (PARTITION BY sym, t, coalesce(m BETWEEN 570 AND 959, false) ORDER BY seq) AS rn FROM ny"}
-
-
 @query("f1_session", "sym:s seq:i time:t", "SELECT sym, seq, t AS time FROM ny WHERE m BETWEEN 570 AND 959", "raw_bars", _NY)
 def _(spark, sf):
     return clean.in_session(load(spark, sf, "raw_bars").withColumn("time", cal.to_new_york("ts")))
@@ -393,6 +407,13 @@ def _(spark, sf):
     return asof.asof_join(e.where("event_type != 'purchase'"), right, ["g"], "ts", "rts", ["price"], chunk="DAY")
 
 
+@query("j3_asof_in_chunks_of_rows", "event_id:i g:i price:f", "SELECT l.event_id, l.g, r.value AS price FROM (SELECT event_id, user_id % 3 AS g, ts FROM events WHERE event_type <> 'purchase') l ASOF LEFT JOIN (SELECT user_id % 3 AS g, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) r ON l.g = r.g AND l.ts >= r.ts")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("g", F.col("user_id") % 3)
+    right = e.where("event_type = 'purchase'").groupBy("g", F.col("ts").alias("rts")).agg(F.max("value").alias("price"))
+    return asof.asof_join(e.where("event_type != 'purchase'"), right, ["g"], "ts", "rts", ["price"], chunk=200)
+
+
 @query("j3_prior_betas", "sym:s date:d mkt:f", "SELECT * FROM used", "raw_bars daily", BARS | BETAS | USED)
 def _(spark, sf):
     return asof.prior_betas(_bars(spark, sf).where(F.col("sym") != PROXY), _betas(spark, sf), ["mkt"])
@@ -559,10 +580,10 @@ def _(spark, sf):
 _SCEN = DAYS | {"net": "SELECT config, s.slip, gross - fees - traded * s.slip AS x, traded FROM days, (VALUES (0.0), (0.5e-4), (1e-4), (2e-4), (5e-4)) AS s(slip)"}
 
 
-@query("a15_a16_j8_scenarios", "config:s slip:f n_days:i mean:f sharpe:f traded:f", "SELECT config, slip, count(*) AS n_days, avg(x) AS mean, avg(x) / nullif(stddev_samp(x), 0) * sqrt(252.0) AS sharpe, avg(traded) AS traded FROM net GROUP BY config, slip", also=_SCEN)
+@query("a15_a16_j8_scenarios", "config:s slip:f n_days:i total_millions:f mean:f sharpe:f traded:f", "SELECT config, slip, count(*) AS n_days, sum(x) / 1000000 AS total_millions, avg(x) AS mean, avg(x) / nullif(stddev_samp(x), 0) * sqrt(252.0) AS sharpe, avg(traded) AS traded FROM net GROUP BY config, slip", also=_SCEN)
 def _(spark, sf):
     slips = spark.createDataFrame([(0.0,), (0.5e-4,), (1e-4,), (2e-4,), (5e-4,)], "slip double")
-    return metrics.pnl_scenarios(_stand_in_days(spark, sf), slips)
+    return metrics.pnl_scenarios(_stand_in_days(spark, sf), slips).withColumn("total_millions", F.col("total") / 1_000_000)
 
 
 def _attribution_sql(lags: int = 5) -> dict[str, str]:
@@ -632,6 +653,11 @@ def _(spark, sf):
     return metrics.cumulative(_stand_in_days(spark, sf), "gross", ["config"])
 
 
+@query("w8_cumulative_in_chunks", "config:s date:d cumulative:f", "SELECT config, date, sum(gross) OVER (PARTITION BY config ORDER BY date ROWS UNBOUNDED PRECEDING) AS cumulative FROM days", also=DAYS)
+def _(spark, sf):
+    return metrics.cumulative(_stand_in_days(spark, sf), "gross", ["config"], target=200)
+
+
 @query("w9_h1_rolling_betas", "date:d sym:s alpha:f mkt:f smb:f hml:f wml:f r2:f nobs:i", "SELECT * FROM fits", "daily factors", _beta_sql())
 def _(spark, sf):
     return exposures.rolling_betas(load(spark, sf, "daily"), load(spark, sf, "factors"))
@@ -671,6 +697,24 @@ def _(spark, sf):
     return dataset.seeded_sample(rows, 500, 7, ["date", "sym", "bkt", "y", "z30", "z60", "lvs"], ["label", "fold"])
 
 
+_SAMPLED = LONG | {"population": "SELECT fold, count(*) AS n FROM long JOIN folds ON long.date BETWEEN test_start AND test_end GROUP BY fold"}
+
+
+@query("t3_sample_audit", "fold:i n:i n_members:i n_over:i n_other_seed:i n_same:i", "SELECT fold, least(500, n) AS n, least(500, n) AS n_members, 0 AS n_over, least(500, n) AS n_other_seed, least(500, n) AS n_same FROM population", "model_rows", _SAMPLED)
+def _(spark, sf):
+    """Sizes, membership and copies of the sample, by another way than it is drawn; a repartitioned table gives the same one."""
+    rows = written(folds.test_rows(_long(spark, sf), _folds(spark, sf), ["label"]), "population")
+    draw = lambda r, seed: dataset.seeded_sample(r, 500, seed, ["date", "sym", "bkt", "y", "z30", "z60", "lvs"], ["label", "fold"])
+    parts = {"sample": draw(rows, 7), "other": draw(rows, 8), "again": draw(rows.repartition(5), 7), "all": rows}
+    counts = None
+    for name, r in parts.items():
+        one = r.select(*rows.columns, *[F.lit(int(k == name)).alias(k) for k in parts])
+        counts = one if counts is None else counts.unionByName(one)
+    each = counts.groupBy(*rows.columns).agg(*[F.sum(k).alias(k) for k in parts])
+    over, members = F.greatest(F.col("sample") - F.col("all"), F.lit(0)), F.least("sample", "all")
+    return each.groupBy("fold").agg(F.sum("sample").alias("n"), F.sum(members).alias("n_members"), F.sum(over).alias("n_over"), F.sum("other").alias("n_other_seed"), F.sum(F.least("sample", "again")).alias("n_same"))
+
+
 @query("u1_concatenate", "sym:s n:i", "SELECT sym, count(*) AS n FROM (SELECT sym FROM daily UNION ALL SELECT sym FROM daily WHERE volume > 2) GROUP BY sym", "daily")
 def _(spark, sf):
     d = load(spark, sf, "daily")

@@ -18,6 +18,14 @@ def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_without_a_library_of_the_optional_folder():
+    """A library that only the training-data operators need is missing: the other queries are there, and a warning says so."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'minimum_slice' in q and 'pipeline' not in q; print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) > 50 and "left out" in out.stderr
+
+
 def test_without_the_optional_folders(tmp_path):
     shutil.copytree(os.path.join(ROOT, "tapewright"), tmp_path / "tapewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)

@@ -61,12 +61,24 @@ def test_asof_ties_nulls_and_chunks(spark):
     left = spark.createDataFrame([("a", 1, 1), ("a", 5, 2), ("a", 9, 3), ("b", 5, 4), ("a", None, 5)], "k string, t int, id int").withColumn("t", F.timestamp_seconds(F.col("t") * 86400 * 20))
     right = spark.createDataFrame([("a", 5, 1.0), ("a", 6, None), ("a", None, 7.0), ("c", 1, 3.0)], "k string, rt int, v double").withColumn("rt", F.timestamp_seconds(F.col("rt") * 86400 * 20))
     want = {1: None, 2: 1.0, 3: None, 4: None, 5: None}  # a null value is a match as well
-    for chunk in (None, "MONTH"):
+    for chunk in (None, "MONTH", 1, 2):
         got = asof.asof_join(left, right.withColumn("hit", F.lit(1)), ["k"], "t", "rt", ["v", "hit"], chunk).collect()
         assert {r["id"]: r["v"] for r in got} == want
         assert {r["id"]: r["hit"] for r in got} == {1: None, 2: 1, 3: 1, 4: None, 5: None}
 
 
+def test_asof_divides_a_crowded_key(spark):
+    """A key whose rows are all of one day, beside small ones: chunks of its own rows, and the same answer."""
+    left = spark.range(3000).selectExpr("if(id % 10 = 0, concat('k', id % 70), 'hot') AS k", "timestamp_millis(1704067200000 + (id * 7919 % 86400) * 1000) AS t", "id")
+    right = spark.range(900).selectExpr("if(id % 9 = 0, concat('k', id % 70), 'hot') AS k", "timestamp_millis(1704067200000 + (id * 104729 % 86400) * 1000) AS rt", "id AS v")
+    whole = {(r["id"], r["v"]) for r in asof.asof_join(left, right, ["k"], "t", "rt", ["v"]).collect()}
+    parts = asof.asof_join(left, right, ["k"], "t", "rt", ["v"], 100)
+    assert {(r["id"], r["v"]) for r in parts.collect()} == whole and len(whole) == 3000
+    limits = asof.bounds(left.selectExpr("k", "t").union(right.selectExpr("k", "rt")), ["k"], "t", 100)
+    sizes = [r["count"] for r in asof.chunked(left, ["k"], "t", limits).groupBy("k", "_chunk").count().where("k = 'hot'").collect()]
+    assert len(sizes) > 25 and max(sizes) < 200
+
+
 def test_latest_date_differs_from_newest_row(spark):
     betas = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0), ("B", dt.date(2024, 1, 2), 2.0)], "sym string, date date, mkt double")
     days = spark.createDataFrame([("A", dt.date(2024, 1, 3)), ("B", dt.date(2024, 1, 3)), ("B", dt.date(2024, 1, 2))], "sym string, date date")

@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tapewright.operators.attribution import hac
-from tapewright.operators.exposures import FACTOR_NAMES, fit_windows, rolling_betas, window_sums
+from tapewright.operators.attribution import attribute
+from tapewright.operators.chunks import bounds
+from tapewright.operators.exposures import FACTOR_NAMES, fit_windows, median_fit, rolling_betas, window_sums
+from tapewright.operators.linear import fit_folds
+from tapewright.operators.metrics import cumulative, order_statistic
 from tapewright.operators.simulate import BookConfig, simulate, simulate_day
 
 
@@ -97,17 +100,92 @@ def test_chunks_change_nothing(spark):
     assert rolling_betas(daily.limit(0), f).count() == 0
 
 
-def test_hac_equals_the_double_sum():
+def test_attribution_equals_the_double_sum(spark):
+    """Two series of their own dates, out of order, a short one, and a constant one."""
     rng = np.random.default_rng(4)
     n, lags = 80, 5
-    x = np.column_stack([np.ones(n), rng.normal(size=(n, 2))])
-    y = x @ [0.1, 0.5, -0.2] + rng.normal(size=n)
-    beta, t, r2 = hac(x, y, lags)
-    e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-    s = sum(max(0, 1 - abs(i - j) / (lags + 1)) * e[i] * e[j] * np.outer(x[i], x[j]) for i in range(n) for j in range(n))
-    inv = np.linalg.inv(x.T @ x)
-    assert np.allclose(t, beta / np.sqrt(np.diag(inv @ s @ inv)))
-    assert r2 == pytest.approx(1 - (e @ e) / ((y - y.mean()) ** 2).sum())
+    dates = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+    f = rng.normal(size=(n, 4)) * 0.01
+    factors = spark.createDataFrame([(d, *map(float, v)) for d, v in zip(dates, f, strict=True)], "date date, mkt_rf double, smb double, hml double, wml double")
+    series = {"a": np.arange(n), "b": np.arange(3, n, 2), "short": np.arange(8)}
+    y = {s: 0.001 + f[at] @ [0.5, -0.2, 0.1, 0.0] + np.convolve(rng.normal(size=len(at) + 2), [1, 0.7, 0.3], "valid") * 0.01 for s, at in series.items()}
+    rows = [(s, dates[i], float(v)) for s, at in series.items() for i, v in zip(at, y[s], strict=True)] + [("still", d, 0.25) for d in dates] + [("a", dates[0], None), ("a", dt.date(1999, 1, 1), 5.0)]
+    rng.shuffle(rows)
+    rows = [(s, d, None if v is None else float(v)) for s, d, v in rows]
+    got = {r["series"]: r for r in attribute(spark.createDataFrame(rows, "series string, date date, ret double").repartition(3), factors, lags).collect()}
+    for s, at in series.items():
+        x = np.column_stack([np.ones(len(at)), f[at]])
+        e = y[s] - x @ np.linalg.lstsq(x, y[s], rcond=None)[0]
+        mid = sum(max(0, 1 - abs(i - j) / (lags + 1)) * e[i] * e[j] * np.outer(x[i], x[j]) for i in range(len(at)) for j in range(len(at)))
+        inv = np.linalg.inv(x.T @ x)
+        beta = inv @ x.T @ y[s]
+        t = beta / np.sqrt(np.diag(inv @ mid @ inv))
+        r = got[s]
+        assert r["n"] == len(at) and r["alpha_annual"] == pytest.approx(beta[0] * 252) and r["r2"] == pytest.approx(1 - (e @ e) / ((y[s] - y[s].mean()) ** 2).sum())
+        assert np.allclose([r[f"b_{c}"] for c in FACTOR_NAMES], beta[1:]) and np.allclose([r["alpha_t"], *(r[f"t_{c}"] for c in FACTOR_NAMES)], t, rtol=1e-5)
+    assert got["still"]["r2"] is None or abs(got["still"]["b_mkt_rf"]) < 1e-9
+    assert len(got) == 4
+
+
+def test_near_collinear_features_keep_their_digits(spark):
+    """Where a feature is nearly another one, moments lose the difference; triangles agree with direct least squares."""
+    rng = np.random.default_rng(14)
+    n = 5000
+    a = rng.normal(size=n) * 3 + 50
+    frame = pd.DataFrame({"label": "l", "date": [dt.date(2000 + i % 4, 1, 1 + i % 28) for i in range(n)], "a": a, "b": a + rng.normal(size=n) * 1e-6, "c": rng.normal(size=n), "d": 7.0})
+    frame["y"] = 2 * frame["a"] - 1.5 * frame["b"] + 0.3 * frame["c"] + rng.normal(size=n) * 1e-7
+    names = ["a", "b", "c", "d"]
+    got = {r["fold"]: r for r in fit_folds(spark.createDataFrame(frame).repartition(7), spark.createDataFrame([("l", 2002), ("l", 2004)], "label string, fold int"), names).collect()}
+    for fold, r in got.items():
+        train = frame[[d.year < fold for d in frame["date"]]]
+        sd = train[names].std().replace(0, 1)
+        z = (train[names] - train[names].mean()) / sd
+        want = np.linalg.lstsq(np.column_stack([np.ones(len(z)), z]), train["y"].to_numpy(), rcond=1e-13)[0]
+        scale = np.abs(want).max()
+        assert r["n_train"] == len(train) and np.allclose(np.array(r["beta"]) / scale, want / scale, atol=1e-8)
+        assert np.allclose(r["sd"], sd) and np.allclose(r["mu"], train[names].mean()) and r["beta"][4] == pytest.approx(0, abs=1e-9)
+        x = z.to_numpy() - z.to_numpy().mean(0)
+        moments = np.linalg.pinv(x.T @ x, rcond=1e-10, hermitian=True) @ (x.T @ train["y"].to_numpy())
+        assert not np.allclose(moments / scale, want[1:] / scale, atol=1e-4)
+
+
+@pytest.mark.parametrize("held", [3, 200])
+def test_order_statistics_equal_sorting(spark, held):
+    rng = np.random.default_rng(15)
+    ties = np.round(rng.normal(size=3000), 1)
+    cases = {"ties": ties, "wide": np.concatenate([rng.normal(size=500) * 10.0**e for e in (-300, 0, 300)]), "one": np.full(500, 2.5), "two": np.repeat([1.0, -1.0], [250, 251])}
+    for name, v in cases.items():
+        rows = [(float(x),) for x in v] + [(None,), (float("nan"),)] * 20
+        df = spark.createDataFrame(rows, "x double").repartition(4)
+        places = [0, 1, len(v) // 2, len(v) - 1]
+        assert order_statistic(df, "x", places, held) == [float(np.sort(v)[p]) for p in places], name
+    with pytest.raises(IndexError):
+        order_statistic(df.limit(0), "x", [0])
+
+
+def test_median_fit(spark):
+    fits = lambda v: median_fit(spark.createDataFrame([(x,) for x in v], "r2 double")).first()
+    assert tuple(fits([0.5, 0.1, None, 0.2, float("nan"), 0.2])) == (0.2, 4)
+    assert tuple(fits([0.5, 0.1])) == (0.3, 2) and tuple(fits([])) == (None, 0)
+
+
+def test_running_totals_in_chunks(spark):
+    """One long series with crowded and missing dates, small ones, a null key: many chunks equal the window."""
+    rng = np.random.default_rng(16)
+    dates = sorted({dt.date(2000, 1, 1) + dt.timedelta(days=int(i)) for i in np.concatenate([rng.integers(0, 9000, 900), rng.integers(4000, 4300, 300)])})
+    rows = [("long", d, None if i % 50 == 7 else float(rng.normal())) for i, d in enumerate(dates)] + [("small", d, 1.0) for d in dates[:5]] + [(None, d, 2.0) for d in dates[:700]] + [("none", dates[0], None)]
+    df = spark.createDataFrame(rows, "s string, date date, v double").repartition(5)
+    want = {}
+    for s, d, v in rows:
+        before = [x for x in rows if x[0] == s and x[1] <= d and x[2] is not None]
+        want[s, d] = sum(x[2] for x in before) if before else None
+    for target in (40, 10**6):
+        got = cumulative(df, "v", ["s"], target).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["cumulative"] == (None if want[r["s"], r["date"]] is None else pytest.approx(want[r["s"], r["date"]], abs=1e-9))
+    limits = {r["s"]: len(r["bounds"]) for r in bounds(df, ["s"], "date", 40).collect()}
+    assert set(limits) == {"long", None} and limits["long"] >= 25
 
 
 def panel(buckets, names, price=10.0):
