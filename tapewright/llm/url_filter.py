@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import small_batches, table, written
 
-MOST_RULES = 2_000_000
+MOST_RULES = 250_000
 #: Candidate keys that a task holds at once.
 KEYS_HELD = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
