@@ -9,8 +9,9 @@
    the search goes on as long as neighbours lie within the range and a margin around it.
 4. What it finds is verified by the cosine in double precision. A pair counts where its larger node is at home, so tasks hand
    on only sums of links and what links connect, at most a row a node, and never the pairs.
-5. Recall is audited against brute force for a bounded set of nodes over all nodes; below RECALL the number of probes is
-   doubled, up to all shards, and if that isn't enough, all blocks of nodes are compared exactly.
+5. Recall is audited against brute force for a bounded set of nodes over all nodes, and where those have too few links to
+   tell, by questions planted near nodes; below RECALL the number of probes is doubled, up to all shards, and if that isn't
+   enough, all blocks of nodes are compared exactly.
 
 A cluster of more than SHARD_MOST nodes is several shards (by a hash of the node), all of which its queries search, in as
 many turns as its own questions need, so a task's memory is bounded whatever the data.
@@ -41,6 +42,10 @@ DEGREE, POOL, ALPHA, BEAM, MARGIN, EXPANDED = 24, 96, 1.2, 32, 0.10, 16
 #: The audit takes AUDITED nodes, four times as many while it has seen fewer than SEEN links, AUDITED_MOST at most.
 AUDITED, AUDITED_MOST, SEEN, RECALL = 256, 4096, 200, 0.99
 PAIRS_HELD = 1 << 20
+#: Questions that a shard's search takes together.
+TOGETHER = 256
+#: Bytes of audited vectors at most.
+AUDIT_BYTES = 64 << 20
 _log = logging.getLogger(__name__)
 
 
@@ -86,7 +91,7 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from evenly spread starting rows."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        to = (x @ c.T).argmax(axis=1)
+        to = np.concatenate([(x[i : i + 1024] @ c.T).argmax(axis=1) for i in range(0, len(x), 1024)])
         sums = np.zeros_like(c)
         np.add.at(sums, to, x)
         n = np.linalg.norm(sums, axis=1)
@@ -96,29 +101,33 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
     """Adjacency lists by robust pruning of each row's POOL nearest rows, with reverse edges."""
-    n = len(x)
-    out: list[list[int]] = [[] for _ in range(n)]
-    for start in range(0, n, 512):
-        near = x[start : start + 512] @ x.T
-        pool = np.argpartition(-near, min(POOL, n - 1), axis=1)[:, : POOL + 1]
-        for r, own in enumerate(pool):
-            p = start + r
-            own = own[own != p]
-            own = own[np.argsort(-near[r, own], kind="stable")]
-            apart = np.sqrt(np.maximum(2 - 2 * near[r, own], 0))
-            alive = np.ones(len(own), bool)
-            between = np.sqrt(np.maximum(2 - 2 * x[own] @ x[own].T, 0))
-            for i in range(len(own)):
-                if alive[i]:
-                    out[p].append(int(own[i]))
-                    if len(out[p]) >= DEGREE:
-                        break
-                    alive &= ~(ALPHA * between[i] <= apart)
-    back: list[list[int]] = [[] for _ in range(n)]
-    for p, own in enumerate(out):
-        for q in own:
-            back[q].append(p)
-    return [np.unique(np.array(a + b[: 2 * DEGREE], np.int64)) for a, b in zip(out, back, strict=True)]
+    n, block = len(x), 256
+    pool_of = min(POOL, n - 1)
+    kept = np.full((n, DEGREE), -1, np.int64)
+    for start in range(0, n, block):
+        near = x[start : start + block] @ x.T
+        near[np.arange(len(near)), np.arange(start, start + len(near))] = -np.inf
+        pool = np.argpartition(-near, pool_of - 1, axis=1)[:, :pool_of]
+        order = np.argsort(-np.take_along_axis(near, pool, axis=1), axis=1, kind="stable")
+        pool = np.take_along_axis(pool, order, axis=1)
+        apart = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(near, pool, axis=1), 0))
+        rows, alive, at = x[pool], np.ones(pool.shape, bool), np.arange(len(pool))
+        for k in range(min(DEGREE, pool_of)):  # the nearest row that is left is kept, and those much closer to it go
+            first = alive.argmax(axis=1)
+            some = alive[at, first]
+            if not some.any():
+                break
+            kept[start + at[some], k] = pool[at[some], first[some]]
+            between = np.sqrt(np.maximum(2 - 2 * np.matmul(rows, rows[at, first][:, :, None])[:, :, 0], 0))
+            alive &= ~(ALPHA * between <= apart)
+            alive[at, first] = False
+    source, place = np.nonzero(kept >= 0)
+    to = kept[source, place]
+    order = np.lexsort((source, to))
+    to, source_of = to[order], source[order]
+    first = np.searchsorted(to, np.arange(n + 1))
+    back = [source_of[first[i] : first[i + 1]][: 2 * DEGREE] for i in range(n)]
+    return [np.unique(np.concatenate([own[own >= 0], b])) for own, b in zip(kept, back, strict=True)]
 
 
 def entries(x: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
@@ -137,34 +146,40 @@ def entries(x: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], starts: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
-    """Rows of x with a cosine of at least `least` with q, as far as the graph leads there from `starts`."""
-    seen = np.zeros(len(x), bool)
-    seen[starts] = True
-    cos = x[starts] @ q
-    order = np.argsort(-cos, kind="stable")
-    ids, cos, done = starts[order], cos[order], np.zeros(len(starts), bool)
-    found_ids, found_cos = [ids], [cos]
-    keep = max(BEAM, int((cos >= least - MARGIN).sum()))
-    ids, cos, done = ids[:keep], cos[:keep], done[:keep]
-    while True:
-        open_ = np.flatnonzero(~done)
-        if not len(open_):
-            break
-        at = open_[:EXPANDED]  # the best few, as the beam is in order
-        done[at] = True
-        new = np.unique(np.concatenate([lists[i] for i in ids[at]]))
-        new = new[~seen[new]]
-        if len(new):
-            seen[new] = True
-            c = x[new] @ q
-            found_ids.append(new), found_cos.append(c)
-            ids, cos, done = np.concatenate([ids, new]), np.concatenate([cos, c]), np.concatenate([done, np.zeros(len(new), bool)])
-            order = np.argsort(-cos, kind="stable")
-            keep = order[: max(BEAM, int((cos >= least - MARGIN).sum()))]  # whatever is in range stays and is expanded
-            ids, cos, done = ids[keep], cos[keep], done[keep]
-    ids, cos = np.concatenate(found_ids), np.concatenate(found_cos)
-    return ids[cos >= least]
+def padded(lists: list[np.ndarray]) -> np.ndarray:
+    """Adjacency lists as rows of one length, filled up with the row itself."""
+    out = np.repeat(np.arange(len(lists))[:, None], max([1, *map(len, lists)]), axis=1)
+    for i, own in enumerate(lists):
+        out[i, : len(own)] = own
+    return out
+
+
+def range_search(x: np.ndarray, near: np.ndarray, starts: np.ndarray, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(question, row) of rows of x with a cosine of at least `least` with a row of q, as far as the graph leads there from `starts` and from the question's own row (-1: none).
+
+    Questions are searched together: in a step each expands the best EXPANDED rows of its beam, until nothing in any beam is
+    left. A beam is the BEAM best rows seen, and all that are in range or within MARGIN of it.
+    """
+    cos = q.astype(np.float32) @ x.astype(np.float32).T  # shows the way; links are verified in double precision
+    seen = np.zeros(cos.shape, bool)
+    seen[:, starts] = True
+    there = np.flatnonzero(own >= 0)
+    seen[there, own[there]] = True
+    done = np.zeros(cos.shape, bool)
+    active = np.arange(len(q))
+    step = min(EXPANDED, len(x))
+    while len(active):
+        known = np.where(seen[active], cos[active], np.float32(-np.inf))
+        worst = np.partition(known, len(x) - min(BEAM, len(x)), axis=1)[:, -min(BEAM, len(x))]
+        known[(known < np.minimum(worst, least - MARGIN)[:, None]) | done[active]] = -np.inf
+        best = np.argpartition(-known, step - 1, axis=1)[:, :step]
+        open_ = np.take_along_axis(known, best, axis=1) > -np.inf
+        row, _ = np.nonzero(open_)
+        at = best[open_]
+        done[active[row], at] = True
+        seen[active[row][:, None], near[at]] = True
+        active = active[open_.any(axis=1)]
+    return np.nonzero(seen & (cos >= least - 1e-5))
 
 
 def fitted_centroids(members: DataFrame, most: int) -> DataFrame:
@@ -230,9 +245,9 @@ class Shards:
         united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # as many lists as the node has shards
         self.graph = written(members.join(united, "node", "left").select(*key, "home", "node", "vec", "n", F.coalesce("near", F.array().cast("array<long>")).alias("near")), "graph")
 
-    def asked(self, probes: int) -> DataFrame:
-        """The nodes as questions to their nearest clusters."""
-        rows = self.base
+    def asked(self, probes: int, questions: DataFrame | None = None) -> DataFrame:
+        """The nodes, or others like them, as questions to their nearest clusters."""
+        rows = self.base if questions is None else questions.select("dim", F.lit(0).cast("long").alias("cluster"), F.lit(True).alias("home"), "node", "vec", "n")
         for level, centres in enumerate(self.levels):
             rows = divided(rows, centres, max(2, 2 * probes // 3) if level else probes, NEARLY)
         return rows.select("dim", "cluster", "node", "vec", "n")
@@ -290,16 +305,21 @@ def _search(least: float):
                 own = np.asarray(own, np.int64)
                 at = np.minimum(np.searchsorted(node, own), len(node) - 1)
                 lists.append(np.unique(at[node[at] == own]))
-            starts = entries(x, lists)
-            asked = right["node"].to_numpy()
+            starts, near = entries(x, lists), padded(lists)
+            asked, asked_n = right["node"].to_numpy(), right["n"].to_numpy()
             own_at = np.minimum(np.searchsorted(node, asked), len(node) - 1)
-            for q_node, q_n, q, own in zip(asked, right["n"].to_numpy(), _matrix(right["vec"]), own_at, strict=True):
-                from_ = np.union1d(starts, own) if node[own] == q_node else starts
-                found = range_search(x, lists, from_, q, least - 1e-6)
-                if len(found):
-                    found = found[home[found] & (node[found] > q_node)]
-                    found = found[(x[found] * q).sum(axis=1) >= least]
-                    tally.add(np.full(len(found), q_node), node[found], np.full(len(found), q_n), n[found])
+            own_at = np.where(node[own_at] == asked, own_at, -1)
+            vectors = right["vec"].to_numpy()
+            for i in range(0, len(asked), TOGETHER):
+                q = _matrix(vectors[i : i + TOGETHER])
+                question, found = range_search(x, near, starts, q, own_at[i : i + TOGETHER], least - 1e-6)
+                ok = home[found] & (node[found] > asked[i + question])
+                question, found = question[ok], found[ok]
+                for k in range(0, len(found), 16384):
+                    a, b = question[k : k + 16384], found[k : k + 16384]
+                    sure = (q[a] * x[b]).sum(axis=1) >= least
+                    a, b = i + a[sure], b[sure]
+                    tally.add(asked[a], node[b], asked_n[a], n[b])
         return tally.frame()
 
     return search
@@ -310,9 +330,9 @@ def turns_of(asking: DataFrame) -> DataFrame:
     return asking.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / QUERIES_MOST).cast("long").alias("turns"))
 
 
-def links_of(shards: Shards, least: float, probes: int) -> DataFrame:
-    """The tally of verified links by graph search in `probes` clusters a node."""
-    asking = written(shards.asked(probes), "questions")
+def links_of(shards: Shards, least: float, probes: int, questions: DataFrame | None = None) -> DataFrame:
+    """The tally of verified links by graph search in `probes` clusters a node, of all nodes or of other questions."""
+    asking = written(shards.asked(probes, questions), "questions")
     turns = written(turns_of(asking), "turns")
     asked = asking.join(turns, ["dim", "cluster"]).join(shards.shards, ["dim", "cluster"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     # a shard that many nodes ask is read by several tasks, each with some of the questions
@@ -354,10 +374,40 @@ def exact_links(nodes: DataFrame, least: float) -> DataFrame:
     return written(left.unionByName(right).groupBy("dim", "lb", "rb").applyInPandas(_compare(least), TALLY), "links")
 
 
+def _planted(least: float):
+    def plant(frames):
+        """Vectors near nodes: as far from them as a link allows, or up to half as far, in a direction drawn by the node's number."""
+        for f in frames:
+            out = []
+            for node, vec in zip(f["node"], f["vec"], strict=True):
+                v = np.frombuffer(vec, np.float64)
+                rng = np.random.default_rng(int(node))
+                side = rng.normal(size=len(v))
+                side -= (side @ v) * v
+                length = np.sqrt(side @ side)
+                angle = np.arccos(min(1.0, least + 1e-9)) * rng.uniform(0.5, 1.0)
+                out.append(unit(np.cos(angle) * v + np.sin(angle) * side / length).tobytes() if length > 0 else bytes(vec))
+            yield f.assign(node=-1 - f["node"], vec=out)[["node", "vec", "dim", "n"]]
+
+    return plant
+
+
+def planted_recall(nodes: DataFrame, shards: Shards, least: float, probes: int) -> tuple[int, int]:
+    """(found, planted): of AUDITED nodes, how many does a question near them find. Always measurable, whether the nodes have links or not."""
+    some = written(nodes.orderBy(F.xxhash64("node", F.lit(12)), "node").limit(AUDITED).select("node", "vec", "dim", F.lit(1).cast("long").alias("n")), "audited")
+    questions = written(some.mapInPandas(_planted(least), "node long, vec binary, dim int, n long"), "planted")
+    links = links_of(shards, least, probes, questions)
+    own = links.where("a != b").select(F.least("a", "b").alias("q"), F.greatest("a", "b").alias("node")).where("q < 0")
+    hit = own.where(F.col("node") == -1 - F.col("q")).distinct().count()
+    return hit, some.count()
+
+
 def recall_of(nodes: DataFrame, links: DataFrame, least: float) -> tuple[int, int, int]:
-    """(found, true, nodes audited): links of a bounded set of nodes, found and by brute force over all nodes. It grows until SEEN links are seen."""
+    """(found, true, nodes audited): links of a bounded set of nodes, found and by brute force over all nodes. It grows until SEEN links are seen, AUDITED_MOST nodes or AUDIT_BYTES at most."""
     spark, audited = nodes.sparkSession, AUDITED
+    most = min(AUDITED_MOST, max(16, AUDIT_BYTES // (8 * (nodes.agg(F.max("dim")).first()[0] or 1))))
     while True:
+        audited = min(audited, most)
         some = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").select("node", "vec", "dim").limit(audited).collect()
         sent = spark.sparkContext.broadcast([(r["node"], bytes(r["vec"]), r["dim"]) for r in some])
 
@@ -379,7 +429,8 @@ def recall_of(nodes: DataFrame, links: DataFrame, least: float) -> tuple[int, in
         true = nodes.select("node", "vec", "dim", "n").mapInArrow(brute, "a long, true long").groupBy("a").agg(F.sum("true").alias("true"))
         got = links.where("a = b").groupBy("a").agg(F.sum("links").alias("found"))
         both = true.join(got, "a", "left").agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("true"), F.lit(0))).first()
-        if both[1] >= SEEN or len(some) < audited or audited >= AUDITED_MOST:
+        sent.destroy()
+        if both[1] >= SEEN or len(some) < audited or audited >= most:
             return both[0], both[1], len(some)
         audited *= 4
 
@@ -389,10 +440,16 @@ def audited_links(nodes: DataFrame, least: float) -> DataFrame:
     shards = Shards(nodes)
     probes = PROBES
     while True:
-        links = links_of(shards, least, min(probes, shards.most_probes))
+        asked = min(probes, shards.most_probes)
+        links = links_of(shards, least, asked)
         found, true, audited = recall_of(nodes, links, least)
-        _log.info("%d of %d links of %d audited vectors found in %d clusters each", found, true, audited, min(probes, shards.most_probes))
-        if found >= RECALL * true:
+        _log.info("%d of %d links of %d audited vectors found in %d clusters each", found, true, audited, asked)
+        good = found >= RECALL * true
+        if good and true < SEEN:  # too few to tell
+            hit, planted = planted_recall(nodes, shards, least, asked)
+            _log.info("%d of %d questions planted near vectors found them", hit, planted)
+            good = hit >= RECALL * planted
+        if good:
             return links
         if probes >= shards.most_probes:
             _log.warning("the graph search is under a recall of %s: all blocks are compared", RECALL)

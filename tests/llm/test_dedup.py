@@ -187,6 +187,45 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert emb.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_planted_vectors_through_the_query(spark, tmp_path):
+    """A table with pairs on both sides of the limit, chains, equal rows and odd vectors: the query gives what its SQL gives."""
+    rng = np.random.default_rng(21)
+    v = rng.normal(size=(700, 24))
+    at = lambda i, cos: cos * (u := v[i] / np.linalg.norm(v[i])) + np.sqrt(1 - cos * cos) * (w := (r := rng.normal(size=24)) - (r @ u) * u) / np.linalg.norm(w)
+    for k in range(60):
+        v[100 + k] = at(k, 0.951) * 3
+        v[200 + k] = at(k, 0.949) / 7
+    for k in range(40):  # each near the one before it
+        v[301 + k] = at(300 + k, 0.97)
+    v[400:420] = v[5] * 2
+    data = [(i * 3, x.tolist()) for i, x in enumerate(v)] + [(9001, None), (9002, [0.0] * 24), (9003, [float("nan")] * 24), (9004, [1.0] * 5), (9005, [2.0] * 5)]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.sql(emb.OP3_SQL).df()
+    assert (want["n_links"] > 0).sum() > 180
+    assert rows(emb.op3_embedding_dedup(spark, str(tmp_path)).toPandas()) == rows(want)
+
+
+def test_audit_without_links_is_by_planted_questions(spark, monkeypatch):
+    """Vectors far from each other: the search is judged by questions near them, and one that finds nothing is not accepted."""
+    v = np.random.default_rng(22).normal(size=(900, 32))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    nodes = df.selectExpr("vec_id AS node", "embedding").rdd.map(lambda r: (r[0], bytearray(emb.unit(r[1]).tobytes()), 32, 1)).toDF("node long, vec binary, dim int, n long")
+    monkeypatch.setattr(emb, "SHARD", 100)
+    shards = emb.Shards(nodes)
+    hit, planted = emb.planted_recall(nodes, shards, 0.95, min(emb.PROBES, shards.most_probes))
+    assert planted == emb.AUDITED and hit >= 0.99 * planted
+    monkeypatch.setattr(emb, "range_search", lambda *_: (np.zeros(0, np.int64),) * 2)
+    assert emb.planted_recall(nodes, shards, 0.95, 2)[0] == 0
+    asked = []
+    monkeypatch.setattr(emb, "exact_links", lambda nodes, least: asked.append(1) or spark.createDataFrame([], emb.TALLY))
+    emb.audited_links(nodes, 0.95)
+    assert asked == [1]
+
+
 def grouped_vectors(groups=10, size=130, dim=16):
     """Groups of near, unequal vectors far from each other, and what brute force links."""
     rng = np.random.default_rng(5)
@@ -201,7 +240,7 @@ def grouped_vectors(groups=10, size=130, dim=16):
 def test_groups_larger_than_the_pool(spark, monkeypatch, lost):
     """Each group is an island of its shard's graph; if the search finds nothing at all, the links are found exactly."""
     if lost:
-        monkeypatch.setattr(emb, "range_search", lambda *_: [])
+        monkeypatch.setattr(emb, "range_search", lambda *_: (np.zeros(0, np.int64),) * 2)
         monkeypatch.setattr(emb, "SHARD_MOST", 500)
     else:
         monkeypatch.setattr(emb, "exact_links", None, raising=False)
