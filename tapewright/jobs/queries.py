@@ -532,8 +532,10 @@ _FIXED = "0.25 + 0.5 * (z30 - 0.1) / 2.0 - 0.125 * (z60 + 0.2) / 4.0"
 
 
 def _scored(spark, sf):
-    rows = folds.test_rows(_long(spark, sf), _folds(spark, sf), ["label"])
-    models = _folds(spark, sf).select("label", "fold", F.array(F.lit(0.1), F.lit(-0.2)).alias("mu"), F.array(F.lit(2.0), F.lit(4.0)).alias("sd"), F.array(F.lit(0.25), F.lit(0.5), F.lit(-0.125)).alias("beta"))
+    long = written(_long(spark, sf), "long")
+    own = written(folds.walk_forward_folds(long, ["label"]), "folds")
+    rows = folds.test_rows(long, own, ["label"])
+    models = own.select("label", "fold", F.array(F.lit(0.1), F.lit(-0.2)).alias("mu"), F.array(F.lit(2.0), F.lit(4.0)).alias("sd"), F.array(F.lit(0.25), F.lit(0.5), F.lit(-0.125)).alias("beta"))
     return linear.score(rows, models, ["z30", "z60"])
 
 
@@ -809,5 +811,6 @@ def _(spark, sf):
 
 @query("minimum_slice", "sym:s time:t ret5:f spyret:f cum6:f", "SELECT r.sym, r.time, r.ret5, p.ret5 AS spyret, sum(coalesce(r.ret5, 0)) OVER (PARTITION BY r.sym, r.date ORDER BY r.time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS cum6 FROM rets r LEFT JOIN rets p ON p.sym = 'S0' AND p.time = r.time WHERE r.sym <> 'S0'", "raw_bars", RETURNS)
 def flagship(spark, sf):
-    rows = features.with_proxy_return(features.bar_returns(_hours(spark, sf)), PROXY)
+    hours = written(_hours(spark, sf), "hours")
+    rows = features.with_proxy_return(features.bar_returns(hours), PROXY, hours)
     return rows.withColumn("cum6", F.sum(F.coalesce("ret5", F.lit(0.0))).over(features.in_day().rowsBetween(-5, 0)))

@@ -39,14 +39,16 @@ def bar_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ret5", simple_return("close", F.lag("close").over(in_day())))
 
 
-def with_proxy_return(bars: DataFrame, proxy: str) -> DataFrame:
+def with_proxy_return(bars: DataFrame, proxy: str, counted: DataFrame | None = None, most: int = MOST_PROXY) -> DataFrame:
     """spyret: the proxy's ret5 of the same bucket; the proxy's own rows go.
 
-    The proxy has a row a bucket, as many as the calendar has and no more for more symbols. Their number is counted, and up to
-    MOST_PROXY they are broadcast, so bars keep their layout by symbol and day; beyond, both sides are shuffled by time.
+    The proxy has a row a bucket, as many as the calendar has and no more for more symbols. Their number is counted (on
+    `counted`, the bars as stored, where returns needn't be computed for that), and up to `most` they are broadcast, so bars
+    keep their layout by symbol and day; beyond, both sides are shuffled by time.
     """
     own = bars.where(F.col("sym") == proxy).select("time", F.col("ret5").alias("spyret"))
-    own = F.broadcast(own) if own.limit(MOST_PROXY + 1).count() <= MOST_PROXY else own
+    rows = (bars if counted is None else counted).where(F.col("sym") == proxy).limit(most + 1).count()
+    own = F.broadcast(own) if rows <= most else own
     return bars.where(F.col("sym") != proxy).join(own, "time", "left")
 
 
@@ -86,7 +88,7 @@ def signal_table(bars: DataFrame, betas: DataFrame, daily: DataFrame, config: Fe
     """
     config = config or FeatureConfig()
     bars = bars.select("sym", "date", "time", "open", "close", "volume")
-    rows = with_proxy_return(bar_returns(bars), config.proxy)
+    rows = with_proxy_return(bar_returns(bars), config.proxy, bars)
     rows = rows.join(prior_betas(rows, betas, ["mkt"]), ["sym", "date"], "left").withColumn("resid", F.col("ret5") - F.col("mkt") * F.col("spyret"))
     rows = trailing(rows, config)
     rows = rows.join(previous_close(daily), ["sym", "date"], "left")

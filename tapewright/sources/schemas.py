@@ -1,6 +1,6 @@
 """Declared schemas of every input and output table; nothing is inferred."""
 
-from pyspark.sql.types import DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 
 def _struct(**columns) -> StructType:
@@ -10,10 +10,6 @@ def _struct(**columns) -> StructType:
 PRICES = {"open": DoubleType, "high": DoubleType, "low": DoubleType, "close": DoubleType}
 RAW_BARS_CSV = _struct(ts=TimestampType, **PRICES, volume=LongType, ntrades=LongType, vwap=DoubleType)
 RAW_BARS = _struct(sym=StringType, ts=TimestampNTZType, **PRICES, volume=LongType, ntrades=LongType, vwap=DoubleType, seq=LongType)
-BARS = _struct(sym=StringType, time=TimestampNTZType, **PRICES, volume=LongType, ntrades=LongType, vwap=DoubleType, date=DateType)
 DAILY_CSV = _struct(date=DateType, **PRICES, volume=LongType)
 FACTORS = _struct(date=DateType, mkt_rf=DoubleType, smb=DoubleType, hml=DoubleType, wml=DoubleType, rf=DoubleType)
-BETAS = _struct(date=DateType, sym=StringType, alpha=DoubleType, mkt=DoubleType, smb=DoubleType, hml=DoubleType, wml=DoubleType, r2=DoubleType, nobs=LongType)
 PREDS_CSV = _struct(date=DateType, sym=StringType, bkt=StringType, pred=DoubleType)
-PREDS = _struct(date=DateType, sym=StringType, bkt=IntegerType, pred=DoubleType)
-DAY_RESULTS = _struct(config=StringType, date=DateType, gross=DoubleType, fees=DoubleType, traded=DoubleType, sold=DoubleType, trades=IntegerType)

@@ -100,6 +100,13 @@ def test_labels_stop_at_the_clock_and_rows_may_be_missing(spark):
     assert one["ret5"] is None
 
 
+def test_proxy_return_whether_broadcast_or_not(spark):
+    rows = [(s, at(f"2024-01-02 09:3{i}"), float(i)) for s in ("SPY", "A", "B") for i in range(4)] + [("A", at("2024-01-02 10:00"), 9.0)]
+    df = spark.createDataFrame(rows, "sym string, time timestamp_ntz, ret5 double")
+    got = [sorted((r["sym"], r["time"], r["spyret"] is None, r["spyret"] or 0.0) for r in features.with_proxy_return(df, "SPY", most=m).collect()) for m in (2, 100)]
+    assert got[0] == got[1] and len(got[0]) == 9 and sum(r[2] for r in got[0]) == 1
+
+
 def test_clip_keeps_null_and_constant_has_no_correlation(spark):
     df = spark.createDataFrame([(None, 1.0), (99.0, 1.0), (-99.0, 1.0)], "x double, y double")
     assert [r[0] for r in df.select(num.clip("x", -8, 8)).collect()] == [None, 8.0, -8.0]
