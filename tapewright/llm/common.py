@@ -80,6 +80,17 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df, if its rows come straight from files, so that every reading, and every task that is run again, has the same rows in the same order; else df written."""
+    nodes, left = set(), [df._jdf.queryExecution().analyzed()]
+    while left:
+        node = left.pop()
+        nodes.add(node.getClass().getSimpleName())
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return df if nodes <= {"LogicalRelation", "SubqueryAlias", "Project", "Filter"} else written(df, name)
+
+
 def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
     """rows with the columns of their class (null for rows without one). classes: a row for each value of keys, with its number of rows n.
 

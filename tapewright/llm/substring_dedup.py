@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import by_bytes, row_batches, small_batches, table, written
+from tapewright.llm.common import by_bytes, row_batches, small_batches, steady, table, written
 
 #: A missing id counts as this one, after all others.
 NO_ID = 2**63 - 1
@@ -386,7 +386,8 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t"), "text")
+    # batches are numbered by task and place: a task that is run again must find the same rows in the same order
+    texts = steady(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "texts").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t"), "text")
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shape = "range int, kind int, batch long, data binary, more binary"
     sent = texts.select("id", "t", "text").mapInArrow(_sent(window, ranges), shape).repartition("range").sortWithinPartitions("range", "kind")
