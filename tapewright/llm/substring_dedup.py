@@ -44,6 +44,7 @@ _ROWS = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("batch", pa.int
 _BLOCKS = np.dtype([("m", "<u8"), ("id", "<i8"), ("t", "<i8"), ("at", "<i4"), ("place", "<u4")])
 _HITS = np.dtype([("place", "<u4"), ("at", "<i4"), ("id", "<i8"), ("t", "<i8")])
 _NEEDS = pa.schema([("id", pa.int64()), ("t", pa.int64()), ("spans", pa.binary()), ("starts", pa.binary()), ("at", pa.int32())])
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 _WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("s", pa.int32())])
 
 
@@ -357,23 +358,16 @@ def _hashed(window: int):
 
 
 def _kept(window: int):
-    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(frames: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for frame in by_bytes(frames, "zipped"):
-            n_words, texts, removed = [], [], []
-            for zipped, size, spans, starts in zip(*(frame.column(c).to_pylist() for c in ("zipped", "size", "spans", "starts")), strict=True):
+            for doc, zipped, size, spans, starts in zip(*(frame.column(c).to_pylist() for c in ("doc_id", "zipped", "size", "spans", "starts")), strict=True):
                 words = _unpacked(zipped, size).split()
                 pairs = _joined(spans).reshape(-1, 2).tolist() + [(s, s + window) for s in starts or []]
                 gone = _ranges_marked(len(words), *np.array(pairs, np.int64).T) if pairs else np.zeros(len(words), bool)
                 edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                n_words.append(len(words))
-                texts.append(b" ".join(compress(words, ~gone)))
-                removed.append([{"start": int(a), "end": int(z)} for a, z in edge.reshape(-1, 2)])
-            yield pa.RecordBatch.from_arrays(
-                [frame.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_words", "kept_text", "removed"],
-            )
+                yield doc, len(words), b" ".join(compress(words, ~gone)), [{"start": int(a), "end": int(z)} for a, z in edge.reshape(-1, 2)]
 
-    return run
+    return lambda frames: row_batches(rows(frames), _KEPT)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
