@@ -65,7 +65,9 @@ def stage(rows: DataFrame, path: str, *order: str, rows_a_file: int | None = Non
     if sources is not None:
         sources.write.parquet(f"{path}/sources/load={load}")
     dates = [p.rsplit("date=", 1)[1] for p, _, _ in store.found(rows.sparkSession, f"{folder}/date=*")]
-    return Staged(load, [d for d in dates if d != "__HIVE_DEFAULT_PARTITION__"], json.loads(rows.schema.json()))
+    if "__HIVE_DEFAULT_PARTITION__" in dates:
+        raise ValueError("rows without a date have no place in the table")
+    return Staged(load, dates, json.loads(rows.schema.json()))
 
 
 def commit(spark: SparkSession, path: str, staged: Staged, before: Snapshot, gone: list[str] | None = None, with_sources: bool = False) -> Snapshot:

@@ -282,6 +282,8 @@ def test_a_load_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert snapshots.read(spark, f"{root}/bars", snapshot=before).count() == 2
     with pytest.raises(FileExistsError):
         snapshots.commit(spark, f"{root}/bars", snapshots.stage(reader, f"{root}/bars"), before)  # another writer was first
+    with pytest.raises(ValueError, match="without a date"):
+        snapshots.replace(reader.withColumn("date", F.lit(None).cast("date")), f"{root}/bars")
     assert snapshots.vacuum(spark, f"{root}/bars", keep=1) >= 2  # what the killed run and the late writer left
     assert len(seen()) == 4
     assert [r["date"].day for r in snapshots.read(spark, f"{root}/bars", ["2024-01-04", "2031-01-01"]).collect()] == [4]
