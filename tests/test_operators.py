@@ -304,6 +304,14 @@ def test_reload_forgets_dates_and_months_keep_their_neighbours(spark, tmp_path):
     assert seen() == [("2024-01-31", 7.0), ("2024-02-06", 3.0)]
 
 
+def test_the_report_needs_no_second_reading(spark, tmp_path):
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "store")
+    files.write_raw_bars(spark.createDataFrame([raw_row("A", "2024-01-02 14:30"), raw_row("A", "2024-01-02 14:30", 3.0, 2), raw_row("A", "2024-01-02 03:00", seq=3)], RAW), raw)
+    told = panel.build_store(spark, raw, root)
+    stores.remove(spark, raw)
+    assert [(r["raw"], r["dropped_outside"], r["dropped_dupes"], r["written"]) for r in told.orderBy("month").collect()] == [(3, 1, 1, 1)]
+
+
 def test_a_changed_file_is_loaded_again(spark, tmp_path):
     raw, root = str(tmp_path / "raw"), str(tmp_path / "store")
     for close in (1.0, 2.0):
