@@ -307,7 +307,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     least: the least similarity in hundredths, 72 or more. A text without words (null, empty, blank)
     is linked with nothing and is its own component. A row with a null id is linked with nothing either, has no component and
-    is kept. Rows that repeat an id are judged by their own texts. Other columns are not read.
+    is kept. Rows that repeat an id are judged by their own texts; rows equal in id and text are one component and, with the
+    smallest id in it, all kept. Long texts are read whole, in batches of bounded bytes. An empty table gives an empty result.
+    Other columns are not read.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()

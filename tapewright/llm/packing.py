@@ -174,7 +174,8 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 2048, end_id: int | None
 
     Pieces of one sequence stand one after the other from offset 0 and hold `width` ids at most; a sequence is padded to
     `width` unless its ids are as many as a power of two. A null or empty text is just the end id; without an end id it has
-    no piece. Repeated rows are packed as often as they occur. An empty table gives an empty result. Other columns are not read.
+    no piece. Long texts are tokenized whole and cut into whole sequences and a remainder. Repeated rows are packed as often as
+    they occur. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, width, end_id, id_col, text_col, keep_ids), "pieces")

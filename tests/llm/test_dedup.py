@@ -156,6 +156,8 @@ def test_near_copies_edges(spark):
     assert len(got) == len(EDGES)
     assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(None, True)]
     assert {r["doc_id"]: r["component_id"] for r in got}[6] == 0
+    twice = docs.where("doc_id IN (0, 4)")
+    assert [(r["doc_id"], r["component_id"], r["kept"]) for r in mh.minhash_dedup(twice.union(twice)).orderBy("doc_id").collect()] == [(0, 0, True)] * 2 + [(4, 4, True)] * 2
     assert mh.minhash_dedup(docs.limit(0)).count() == 0
 
 
