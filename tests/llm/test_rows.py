@@ -23,8 +23,9 @@ def frames(spark, path):
 @pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies])
 def test_one_row_of_each_text_stays(spark, sf, tmp_path, monkeypatch, stage):
     cases = frames(spark, str(tmp_path / "docs"))
-    for i, name in enumerate([*cases, "plain", "join"]):
-        monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 2_000_000 if i < len(cases) else 0)  # both ways of leaving rows out
+    some = [*cases] if stage is corpus_pipeline.drop_copies else ["plain", "join", "sample", "twice"]
+    for i, name in enumerate([*some, "plain", "join"]):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 2_000_000 if i < len(some) else 0)  # both ways of leaving rows out
         docs = cases[name]
         want = sorted({(r["doc_id"], r["text"]) for r in docs.collect()})
         got = stage(spark, docs, sf)
