@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import tapewright.llm.components as parts
@@ -14,7 +15,7 @@ from compare import duck, rows
 from fixtures import EDGES, edge_docs, words
 from tapewright.llm.common import with_class
 from tapewright.llm.components import components
-from tapewright.llm.exact_dedup import OP8_SQL, exact_dedup, op8_exact_dedup
+from tapewright.llm.exact_dedup import OP8_SQL, Entries, exact_dedup, merge, op8_exact_dedup
 
 
 def closed(nodes, links):
@@ -62,7 +63,7 @@ def test_exact_sql(spark, sf):
 
 def test_exact_edges_and_rounds(spark):
     docs = edge_docs(spark).repartition(7)
-    got = exact_dedup(docs, fan=2).collect()
+    got = exact_dedup(docs, fan=2, segment=2).collect()
     bare = lambda t: "".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r")
     groups = Counter(bare(t) for _, t in EDGES)
     assert len(got) == len(EDGES) and sum(r["kept"] for r in got) == len(groups)
@@ -75,6 +76,39 @@ def test_exact_edges_and_rounds(spark):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("fan, segment", [(2, 16), (4, 50), (16, 8), (16, 1 << 16)])
+def test_exact_rounds_equal_brute_force(spark, fan, segment):
+    """A third of the rows are one text in many spellings; ids repeat or are missing, and so are keys made of several columns."""
+    r = random.Random(fan)
+    texts = ["a b c" if r.random() < 0.33 else f"t{r.randrange(250)}" for _ in range(900)]
+    texts = [(" " * r.randrange(3)).join(t) for t in texts]
+    data = [(r.choice([None, r.randrange(600)]) if i % 50 == 0 else r.randrange(600), t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    groups = {}
+    for i, t in data:
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), i is None, i or 0))
+    want = Counter()
+    for i, t in data:
+        g = groups[t.replace(" ", "")]
+        want[i, None if min(g)[1] else min(g)[2], len(g)] += 1
+    got = exact_dedup(docs, fan=fan, segment=segment).collect()
+    assert Counter((x["doc_id"], x["keep_id"], x["group_size"]) for x in got) == want
+    assert sum(x["kept"] for x in got) == len(groups)
+    keyed = docs.selectExpr("struct(doc_id IS NULL AS no_id, doc_id, monotonically_increasing_id() AS row) AS key", "text")
+    by_key = exact_dedup(keyed, "key", fan=fan, segment=segment).collect()
+    assert Counter((x["key"]["doc_id"], x["keep_id"]["doc_id"], x["group_size"]) for x in by_key) == want
+
+
+def test_entries_whose_first_words_are_equal_stay_apart():
+    """Digests that agree in their first 64 bits, in any order of runs, and hashes or lengths that differ under one digest."""
+    keys = [(5, 1, 0, 0, 7, 3), (5, 0, 0, 0, 7, 3), (5, 1, 0, 0, 7, 3), (5, 1, 0, 0, 8, 3), (5, 1, 0, 0, 7, 4), (4, 9, 0, 0, 0, 0)]
+    nums = [(1, i, 1) for i in range(len(keys))]
+    out = merge(Entries(np.array(keys, np.uint64), np.array(nums, np.int64), pa.array([9, 1, 2, 3, 4, None])))
+    assert [tuple(map(int, w)) for w in out.words] == sorted(set(keys))
+    assert dict(zip(map(tuple, out.words.tolist()), out.ids.to_pylist(), strict=True))[5, 1, 0, 0, 7, 3] == 2
+    assert sorted(out.nums[:, 2].tolist()) == [1, 1, 1, 1, 2]
+
+
 def test_near_copies_and_vectors_sql(spark, sf):
     assert rows(mh.op2_minhash_dedup(spark, sf).toPandas()) == rows(duck(sf).sql(mh.OP2_SQL).df())
     assert rows(emb.op3_embedding_dedup(spark, sf).toPandas()) == rows(duck(sf).sql(emb.OP3_SQL).df())
