@@ -1,9 +1,9 @@
 """Licence scans by a positional index of rare tokens.
 
-Templates (short characteristic passages of licences) are indexed by word and position. A first pass counts over all
-documents how many hold each template word, which gives the words' inverse document frequencies. The second pass looks up
-each template's own rarest words, gathers the positions at which those words would put its beginning, and takes a beginning
-that two of them agree on (or one, where the template has one such word); it is a match if enough of the template's words
+Templates (characteristic passages of licences, several a licence, and their identifiers) are indexed by word and position. A
+first pass counts over all documents how many hold each template word, which gives the words' inverse document frequencies.
+The second pass looks up a file's words among the rarest ones of each template, gathers the positions at which those words
+would put a template's beginning, and takes a beginning that two of them agree on (or one, where the template has one such word); it is a match if enough of the template's words
 stand at their places and all of its mandatory key phrases occur there. So many of a template's words are looked up that two
 of them are at their places wherever enough of all its words are; a file that holds too few of them is passed over.
 
@@ -48,7 +48,37 @@ TEMPLATES = [
     ("ofl-1", "this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
     ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", ["without a written agreement is hereby granted"]),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ["without any express or implied warranty"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included in all copies or substantial portions"]),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["distributed under the license is distributed on an as is basis"]),
+    ("apache-2", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form", ["each contributor hereby grants to you a perpetual worldwide", "copyright license to reproduce"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain the above copyright notice"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce the above copyright notice"]),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["in the hope that it will be useful", "gnu general public license for more details"]),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ["copy of the gnu general public license"]),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", ["gnu lesser general public license"]),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", ["copy of the gnu lesser general public license"]),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program", ["copy of the gnu affero general public license"]),
+    ("agpl", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the corresponding source of your version", ["interacting with it remotely through a computer network"]),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at", ["a copy of the mpl was not distributed with this file"]),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", ["this permission notice appear in all copies"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["anyone is free to copy modify publish use compile sell or distribute this software"]),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ["you must not claim that you wrote the original software"]),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["altered source versions must be plainly marked as such"]),
+    ("bsl-1", "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor", ["machine executable object code generated by a source language processor"]),
+    ("cc0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright and related rights", ["waives abandons and surrenders all of affirmer s copyright"]),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", ["distribute your contributions under the same license as the original"]),
+    ("ofl-1", "original or modified versions of the font software may be bundled redistributed and or sold with any software provided that each copy contains the above copyright notice and this license", ["versions of the font software may be bundled redistributed and or sold"]),
+    ("postgresql", "provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies", ["this paragraph and the following two paragraphs appear in all copies"]),
+    ("artistic-2", "you may distribute verbatim copies of the source form of the standard version of this package in any medium without restriction either gratis or for a distributor fee", ["source form of the standard version of this package"]),
 ]
+#: Identifiers by label, as a file's first lines have them.
+IDENTIFIERS = [
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("gpl", "gpl 2 0"), ("gpl", "gpl 3 0"),
+    ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl", "agpl 3 0"), ("mpl-2", "mpl 2 0"), ("isc", "isc"), ("unlicense", "unlicense"),
+    ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc-by-nc", "cc by nc 4 0"), ("cc0", "cc0 1 0"), ("bsl-1", "bsl 1 0"),
+    ("epl-2", "epl 2 0"), ("ofl-1", "ofl 1 1"), ("postgresql", "postgresql"), ("zlib", "zlib"), ("artistic-2", "artistic 2 0"),
+]
+TEMPLATES += [(label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for label, name in IDENTIFIERS]
 #: The share of a template's words that must stand at their places.
 LEAST = 0.8
 
@@ -74,6 +104,11 @@ class Index:
             sorted(range(len(words)), key=lambda i: (-self.idf(words[i]), words[i], i))[: len(words) - enough + needed]
             for (_, words, _), enough, needed in zip(self.templates, self.enough, self.needed, strict=True)
         ]
+        #: templates by the words that are looked up, once for each of their places
+        self.postings: dict[bytes, list[int]] = {}
+        for t, (_, words, _) in enumerate(self.templates):
+            for i in self.rare[t]:
+                self.postings.setdefault(words[i], []).append(t)
         self.phrases = []
         for text, label in phrases:
             words = words_of(text)
@@ -105,8 +140,10 @@ class Index:
                     base.add(label)
         found, best = set(), 1.0 if base else 0.0
         votes: Counter = Counter()
-        for t, (_, template, _) in enumerate(self.templates):
-            if sum(n for w, n in self.counts[t].items() if w in own) >= self.enough[t]:
+        hits = Counter(t for w in own if w in self.postings for t in self.postings[w])
+        for t, n in hits.items():
+            template = self.templates[t][1]
+            if n >= self.needed[t] and sum(m for w, m in self.counts[t].items() if w in own) >= self.enough[t]:
                 for position in self.rare[t]:
                     if template[position] in own:
                         for i in at(template[position]):
