@@ -36,13 +36,13 @@ def test_rows(rows: DataFrame, folds: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fold_sizes(rows: DataFrame, folds: DataFrame, by: list[str], min_train: int = 100_000, min_test: int = 10_000) -> DataFrame:
-    """(by, fold, n_train, n_test) of folds with enough rows, from counts by date."""
+    """(by, fold, n_train, n_test) of folds with enough rows, from counts by date. Both sides are dates by groups; Spark broadcasts one if it is small."""
     days = rows.groupBy(*by, "date").agg(F.count("*").alias("n"))
     f = folds.select(*[F.col(b).alias(f"_{b}") for b in by], "fold", "train_end", "test_start", "test_end")
     on = F.col("date") <= F.col("test_end")
     for b in by:
         on = on & (F.col(b) == F.col(f"_{b}"))
-    both = days.join(F.broadcast(f), on)
+    both = days.join(f, on)
     out = both.groupBy(*by, "fold").agg(
         F.coalesce(F.sum(F.when(F.col("date") <= F.col("train_end"), F.col("n"))), F.lit(0)).alias("n_train"),
         F.coalesce(F.sum(F.when(F.col("date") >= F.col("test_start"), F.col("n"))), F.lit(0)).alias("n_test"),

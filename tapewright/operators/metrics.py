@@ -51,14 +51,17 @@ def lagged_correlation(rows: DataFrame, columns: list[str], lags: int = 12) -> D
 def pnl_scenarios(days: DataFrame, slips: DataFrame, book: float = 1_000_000.0) -> DataFrame:
     """(config, slip, n_days, total, mean, sharpe, traded): every day result under every slippage rate of a short list.
 
-    Sums of moments by config first: a config's days are read once and meet the rates as one row.
+    Sums of moments by config first: a config's days are read once and meet the rates as one row. More than 10,000 rates are an error.
     """
+    rates = slips.select("slip").distinct()
+    if rates.limit(10_001).count() > 10_000:
+        raise ValueError("too many slippage rates to broadcast")
     net = F.col("gross") - F.col("fees")
     m = days.groupBy("config").agg(F.count("*").alias("n_days"), F.avg(net).alias("a"), F.avg("traded").alias("b"), F.var_samp(net).alias("va"), F.var_samp("traded").alias("vb"), F.covar_samp(net, F.col("traded")).alias("cab"))
     s = F.col("slip")
     mean = F.col("a") - s * F.col("b")
     sd = F.sqrt(F.greatest(F.col("va") - 2 * s * F.col("cab") + s * s * F.col("vb"), F.lit(0.0)))
-    return m.crossJoin(F.broadcast(slips.select("slip").distinct())).select("config", "slip", "n_days", (mean * F.col("n_days")).alias("total"), mean.alias("mean"), F.try_divide(mean, sd).alias("ratio"), F.col("b").alias("traded")).withColumn("sharpe", F.col("ratio") * F.sqrt(F.lit(252.0))).drop("ratio")
+    return m.crossJoin(F.broadcast(rates)).select("config", "slip", "n_days", (mean * F.col("n_days")).alias("total"), mean.alias("mean"), F.try_divide(mean, sd).alias("ratio"), F.col("b").alias("traded")).withColumn("sharpe", F.col("ratio") * F.sqrt(F.lit(252.0))).drop("ratio")
 
 
 def cumulative(days: DataFrame, value: str, by: list[str], target: int = 1_000_000) -> DataFrame:

@@ -372,3 +372,5 @@ def test_scenarios_equal_direct(spark):
     for r in got:
         net = frame["gross"] - frame["fees"] - frame["traded"] * r["slip"]
         assert r["total"] == pytest.approx(net.sum()) and r["sharpe"] == pytest.approx(net.mean() / net.std() * 252**0.5)
+    with pytest.raises(ValueError):
+        metrics.pnl_scenarios(spark.createDataFrame(frame), spark.range(10_001).select(F.col("id").cast("double").alias("slip")))
