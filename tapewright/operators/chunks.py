@@ -1,4 +1,4 @@
-"""Long keys dealt out in chunks of their order, whose bounds come from the rows."""
+"""Rows dealt to tasks by their number; long keys dealt out in chunks of their order, whose bounds come from the rows."""
 
 from __future__ import annotations
 
@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from tapewright.sources.scratch import written
 
 
+#: Rows of a task that sorts them several times.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, keys: list[str], target: int = TASK_ROWS) -> DataFrame:
+    """rows by hash of the keys, in tasks of about `target` rows; rows of one key stay together. Up to `target` rows are left to Spark.
+
+    Spark puts shuffled rows together by their compressed bytes, of which 64 MB are millions of narrow rows and gigabytes where
+    several windows sort them. The rows are counted first, so they should be a written table or come from one without a shuffle.
+    """
+    n = rows.count()
+    return rows.repartition(-(-n // target), *keys) if n > target else rows
+
+
 def bounds(rows: DataFrame, by: list[str], order: str, target: int, chunks: int = 64) -> DataFrame:
     """(by, bounds): for each key with more than `target` rows, up to chunks - 1 quantiles of its order, of a sketch that partial aggregates merge.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.numbers import correlation
-from tapewright.operators.chunks import bounds, chunked
+from tapewright.operators.chunks import TASK_ROWS, bounds, chunked, dealt
 from tapewright.sources.scratch import written
 
 
@@ -24,14 +24,16 @@ def average_rank(value: str, keys: list[str]) -> F.Column:
     return F.when(F.col(value).isNotNull(), place + (ties - 1) / 2)
 
 
-def rank_ic(rows: DataFrame, pred: str, label: str, by: list[str], per: str = "day") -> DataFrame:
+def rank_ic(rows: DataFrame, pred: str, label: str, by: list[str], per: str = "day", target: int = TASK_ROWS) -> DataFrame:
     """(by, mean_ic, t_ic, n_days): skill of ranks.
 
     Ranks are taken within each (date, bkt). per="day" correlates a day's pooled ranks once; per="bucket" correlates each
     cross-section and averages over the day. Days without a correlation don't count. t is mean / (sd / sqrt(days)).
+    Cross-sections are dealt to tasks of about `target` rows.
     """
     keys = [*by, "date", "bkt"]
-    ranked = rows.where(F.col(pred).isNotNull() & F.col(label).isNotNull()).withColumn("_p", average_rank(pred, keys)).withColumn("_y", average_rank(label, keys))
+    narrow = dealt(rows.select(*dict.fromkeys([*keys, pred, label])), keys, target)
+    ranked = narrow.where(F.col(pred).isNotNull() & F.col(label).isNotNull()).withColumn("_p", average_rank(pred, keys)).withColumn("_y", average_rank(label, keys))
     daily = ranked.groupBy(*([*by, "date"] if per == "day" else keys)).agg(correlation("_p", "_y").alias("ic"))
     if per != "day":
         daily = daily.groupBy(*by, "date").agg(F.avg("ic").alias("ic"))

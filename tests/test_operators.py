@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import calendar as cal
 from tapewright.functions import numbers as num
 from tapewright.jobs import panel
-from tapewright.operators import asof, clean, dataset, features, folds, linear, metrics, resample
+from tapewright.operators import asof, chunks, clean, dataset, features, folds, linear, metrics, resample
 from tapewright.sources import files, snapshots
 from tapewright.sources import store as stores
 
@@ -120,6 +120,34 @@ def test_rank_ties(spark):
     assert [r["r"] for r in got if r["v"] is None] == [None]
 
 
+def _sections(spark, days: int):
+    """500 rows a day in five buckets, with ties."""
+    date = F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") % days).cast("int"))
+    noise = lambda k: F.pmod(F.hash("id", F.lit(k)), F.lit(50)).cast("double")
+    return spark.range(days * 500).select(F.lit(1).alias("fold"), date.alias("date"), F.floor(F.col("id") / days % 5).cast("int").alias("bkt"), noise(1).alias("pred"), noise(2).alias("y"))
+
+
+def test_tasks_that_rank_grow_in_number_and_not_in_rows(spark):
+    keys = ["fold", "date", "bkt"]
+    for days in (8, 64):
+        parts = chunks.dealt(_sections(spark, days), keys, 1000).groupBy(F.spark_partition_id().alias("part"), *keys).count().toPandas()
+        assert parts.groupby("part")["count"].sum().max() <= 4000 and parts["count"].sum() == days * 500
+        assert not parts.duplicated(keys).any()  # a cross-section lies in one task
+    few = _sections(spark, 2)
+    assert chunks.dealt(few, keys, 1000) is few
+
+
+@pytest.mark.parametrize("per", ["day", "bucket"])
+def test_rank_skill_is_the_same_however_rows_are_dealt(spark, per):
+    rows = _sections(spark, 16)
+    a, b = (metrics.rank_ic(rows, "pred", "y", ["fold"], per, n) for n in (500, 1_000_000))
+    assert a._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert "RepartitionByExpression" not in b._jdf.queryExecution().optimizedPlan().toString()
+    (x,), (y,) = a.collect(), b.collect()
+    assert x["n_days"] == y["n_days"] == 16 and x["mean_ic"] == pytest.approx(y["mean_ic"], abs=1e-12) and x["t_ic"] == pytest.approx(y["t_ic"], abs=1e-9)
+    assert metrics.rank_ic(rows, "y", "y", ["fold"], per, 500).first()["mean_ic"] == pytest.approx(1.0)
+
+
 def test_folds_embargo(spark):
     days = [dt.date(y, 1, d) for y in (2020, 2021) for d in range(1, 11)] + [dt.date(2022, 1, d) for d in range(1, 5)]
     rows = spark.createDataFrame([("l", d) for d in days], "label string, date date")
