@@ -702,12 +702,17 @@ def _(spark, sf):
 _SAMPLED = LONG | {"population": "SELECT fold, count(*) AS n FROM long JOIN folds ON long.date BETWEEN test_start AND test_end GROUP BY fold"}
 
 
+def dealt_anew(rows):
+    """rows in another partitioning, whose number of tasks grows with their bytes."""
+    return rows.hint("rebalance")
+
+
 @query("t3_sample_audit", "fold:i n:i n_members:i n_over:i n_other_seed:i n_same:i", "SELECT fold, least(500, n) AS n, least(500, n) AS n_members, 0 AS n_over, least(500, n) AS n_other_seed, least(500, n) AS n_same FROM population", "model_rows", _SAMPLED)
 def _(spark, sf):
     """Sizes, membership and copies of the sample, by another way than it is drawn; a repartitioned table gives the same one."""
     rows = written(folds.test_rows(_long(spark, sf), _folds(spark, sf), ["label"]), "population")
     draw = lambda r, seed: dataset.seeded_sample(r, 500, seed, ["date", "sym", "bkt", "y", "z30", "z60", "lvs"], ["label", "fold"])
-    parts = {"sample": draw(rows, 7), "other": draw(rows, 8), "again": draw(rows.repartition(5), 7), "all": rows}
+    parts = {"sample": draw(rows, 7), "other": draw(rows, 8), "again": draw(dealt_anew(rows), 7), "all": rows}
     counts = None
     for name, r in parts.items():
         one = r.select(*rows.columns, *[F.lit(int(k == name)).alias(k) for k in parts])

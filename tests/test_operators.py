@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import calendar as cal
 from tapewright.functions import numbers as num
-from tapewright.jobs import panel
+from tapewright.jobs import panel, queries
 from tapewright.operators import asof, chunks, clean, dataset, features, folds, linear, metrics, resample
 from tapewright.sources import files, snapshots
 from tapewright.sources import store as stores
@@ -393,6 +393,29 @@ def test_seeded_sample_of_repeated_keys(spark):
     assert dataset.seeded_sample(nothing, 1, 0, ["k"], ["g"]).count() == 1
 
 
+def test_rows_dealt_anew_come_in_more_tasks_as_they_grow(spark, tmp_path):
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for n in (5_000, 50_000):
+            spark.range(0, n, 1, 8).select("id", F.xxhash64("id").alias("h")).write.parquet(f"{tmp_path}/{n}")
+            rows = spark.read.parquet(f"{tmp_path}/{n}")
+            parts = queries.dealt_anew(rows).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.max("id"), F.max("h")).toPandas()["n"]
+            assert parts.sum() == n and parts.max() <= 10_000 and len(parts) >= n // 10_000
+        again = queries.dealt_anew(rows).exceptAll(rows)
+        assert again.isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_audit_deals_by_no_fixed_number(spark, sf):
+    plan = queries.QUERIES["t3_sample_audit"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan and "Repartition 5" not in plan
+
+
 def test_scenarios_equal_direct(spark):
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"config": "c", "gross": rng.normal(size=50) * 100, "fees": rng.random(50), "traded": rng.random(50) * 1e5})
