@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from compare import duck
 from tapewright.functions import calendar as cal
 from tapewright.functions import numbers as num
 from tapewright.jobs import panel, queries
@@ -148,6 +149,14 @@ def test_rank_skill_is_the_same_however_rows_are_dealt(spark, per):
     assert metrics.rank_ic(rows, "y", "y", ["fold"], per, 500).first()["mean_ic"] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("name, per", [("a13_w6_rank_ic", "day"), ("a13_rank_ic_per_bucket", "bucket")])
+def test_rank_skill_in_many_tasks_equals_sql(spark, sf, name, per):
+    got = metrics.rank_ic(queries._scored(spark, sf), "pred", "y", ["fold"], per, 500)
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
+    shown = [tuple(r) for r in got.orderBy("fold").select("fold", F.round("mean_ic", 6), F.round("t_ic", 6), "n_days").collect()]
+    assert shown == duck(sf).sql(queries.ORACLES[name]).order("fold").project("fold, mean_ic, t_ic, n_days").fetchall()
+
+
 def test_folds_embargo(spark):
     days = [dt.date(y, 1, d) for y in (2020, 2021) for d in range(1, 11)] + [dt.date(2022, 1, d) for d in range(1, 5)]
     rows = spark.createDataFrame([("l", d) for d in days], "label string, date date")
