@@ -15,8 +15,8 @@ TASK_ROWS = 250_000
 def dealt(rows: DataFrame, keys: list[str], target: int = TASK_ROWS) -> DataFrame:
     """rows by hash of the keys, in tasks of about `target` rows; rows of one key stay together. Up to `target` rows are left to Spark.
 
-    Spark puts shuffled rows together by their compressed bytes, of which 64 MB are millions of narrow rows and gigabytes where
-    several windows sort them. The rows are counted first, so they should be a written table or come from one without a shuffle.
+    Spark puts shuffled rows together by their compressed bytes, of which 64 MB are millions of narrow rows and more than a GB
+    where several windows sort them. The rows are counted first, so they should be a written table or come from one without a shuffle.
     """
     n = rows.count()
     return rows.repartition(-(-n // target), *keys) if n > target else rows
